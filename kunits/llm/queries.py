@@ -7,13 +7,31 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kunits.llm import chat_templates, sentencepiece_codec, wordpiece_counts
+from kunits.llm import chat_templates, decontamination, html_extraction, rule_ensemble, sentencepiece_codec, url_rules, wordpiece_counts
 from kunits.llm.common import table
 
 #: Vocabulary file of ops 4 and 8; a parameter, the file stays where it is.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_rules.parsed(table(spark, sf_dir, "pages"))
+    return url_rules.judge(rows, url_rules.mine(rows, table(spark, sf_dir, "labels")))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return rule_ensemble.classify(documents, rule_ensemble.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), Path(PIECES).read_bytes())
 
@@ -49,8 +67,27 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
+    "op5_html_text": op5_html_text,
+    "op7_quality": op7_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(list_slice(w, k, k + 9), ' '))) AS win, least(len(w), 10) AS size FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS k, w FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT dw.doc_id, dw.k, dw.size, iw.item FROM (SELECT doc_id, k, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS win FROM dw) dw JOIN iw USING (win, size)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT doc_id, k, size FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL}
