@@ -6,14 +6,19 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kunits.llm import chat_templates, decontamination, html_extraction, rule_ensemble, sentencepiece_codec, url_rules, wordpiece_counts
+from kunits.llm import adaptive_scan, chat_templates, decontamination, html_extraction, rule_ensemble, sentencepiece_codec, url_rules, wordpiece_counts
 from kunits.llm.common import table
 
 #: Vocabulary file of ops 4 and 8; a parameter, the file stays where it is.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +72,7 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op5_html_text": op5_html_text,
