@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kunits.llm import adaptive_scan, chat_templates, decontamination, html_extraction, rule_ensemble, sentencepiece_codec, url_rules, wordpiece_counts
+from kunits.llm import adaptive_scan, chat_templates, decontamination, html_extraction, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
 from kunits.llm.common import table
 
 #: Vocabulary file of ops 4 and 8; a parameter, the file stays where it is.
@@ -32,6 +32,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return rule_ensemble.classify(documents, rule_ensemble.train(documents, table(spark, sf_dir, "labels")))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op5_html_text": op5_html_text,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_token_counts": op8_token_counts,
@@ -96,4 +103,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL}
+OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 19), ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY words ORDER BY doc_id, k) AS nth FROM win) WHERE nth > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(k, k + 20)) AS p FROM late) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+removed AS (SELECT doc_id, unnest(ps) AS p FROM gone),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL}
