@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kunits.llm import adaptive_scan, chat_templates, decontamination, html_extraction, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
+from kunits.llm import adaptive_scan, chat_templates, decontamination, html_extraction, order_minhash, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
 from kunits.llm.common import table
 
 #: Vocabulary file of ops 4 and 8; a parameter, the file stays where it is.
@@ -52,6 +52,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_counts.count_tokens(table(spark, sf_dir, "documents"), vocab)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_token_counts": op8_token_counts,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
 }
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
