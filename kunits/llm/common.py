@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kunits.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
@@ -34,6 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
