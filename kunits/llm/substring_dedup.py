@@ -30,6 +30,8 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Words hashed together in a task; anchors that a bucket should hold.
 CHUNK, BUCKET = 1_500_000, 1_000_000
+#: Bytes of text whose documents' repeats are put together in a task.
+PART = 64_000_000
 LATE = 2**63 - 1  # the document id that stands for null
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -94,7 +96,8 @@ def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _PACKED = "bucket int, docs binary, marks binary, sizes binary, keys binary, places binary"
 _NAMES = ["bucket", "docs", "marks", "sizes", "keys", "places"]
-_REPLY = "doc long, mark long, places binary"
+_REPLY = "part int, docs binary, marks binary, sizes binary, places binary"
+_RUNS = "doc long, marks binary, sizes binary, runs binary"
 _ANCHOR, _LONG = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
@@ -134,16 +137,54 @@ def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(docs, sizes), np.repeat(marks, sizes), np.frombuffer(b"".join(group.places), "<i4")
 
 
-def _replies(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> pd.DataFrame:
-    """A row for each document with its places."""
-    order = np.lexsort((place, mark, doc))
-    doc, mark, place = doc[order], mark[order], place[order].astype("<i4")
-    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else np.empty(0, int)
-    ends = np.r_[starts[1:], len(doc)] if len(doc) else starts
-    return pd.DataFrame({"doc": doc[starts], "mark": mark[starts], "places": [place[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal keys."""
+    if not len(keys[0]):
+        return np.empty(0, int)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
 
 
-def _anchor_stage(buckets: int, window: int):
+def _replies(doc: np.ndarray, mark: np.ndarray, place: np.ndarray, parts: int) -> pd.DataFrame:
+    """Places by document, packed in a row for each part of the documents."""
+    part = (_mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((place, mark, doc, part))
+    part, doc, mark, place = part[order], doc[order], mark[order], place[order].astype("<i4")
+    rows = []
+    cuts = np.r_[_edges(part), len(part)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        heads = _edges(doc[a:b], mark[a:b])
+        sizes = np.diff(np.r_[heads, b - a]).astype("<i4")
+        rows.append((part[a], doc[a:b][heads].tobytes(), mark[a:b][heads].tobytes(), sizes.tobytes(), place[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["part", "docs", "marks", "sizes", "places"])
+
+
+def _runs_of(back: int):
+    """Merges the places of a part's documents to runs (first, last); each place reaches *back* before it."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        doc, mark, place = _unpacked(group)
+        order = np.lexsort((place, mark, doc))
+        doc, mark, last = doc[order], mark[order], place[order].astype(np.int64)
+        first = np.maximum(last - back, 0)
+        fresh = np.zeros(len(doc), bool)
+        fresh[_edges(doc, mark)] = True
+        fresh[1:] |= first[1:] > last[:-1] + 1
+        at = np.flatnonzero(fresh)
+        runs = np.stack([first[at], last[np.r_[at[1:], len(doc)] - 1]], axis=1).astype("<i4") if len(at) else np.empty((0, 2), "<i4")
+        doc, mark = doc[at], mark[at]
+        heads = _edges(doc, mark)
+        sizes = np.diff(np.r_[heads, len(doc)]).astype("<i4")
+        tops = _edges(doc[heads])
+        rows = []
+        for a, b in zip(tops, np.r_[tops[1:], len(heads)], strict=True):
+            low, high = heads[a], heads[b] if b < len(heads) else len(doc)
+            rows.append((doc[low], mark[heads[a:b]].tobytes(), sizes[a:b].tobytes(), runs[low:high].tobytes()))
+        return pd.DataFrame(rows, columns=["doc", "marks", "sizes", "runs"])
+
+    return merge
+
+
+def _anchor_stage(buckets: int, parts: int, window: int):
     """Places of anchors that occur more than once (a few others may pass)."""
     size = window - PERIOD + 1
     cover = np.zeros(PERIOD, bool)
@@ -169,7 +210,7 @@ def _anchor_stage(buckets: int, window: int):
             _, inverse, times = np.unique(np.frombuffer(b"".join(group["keys"]), _ANCHOR), return_inverse=True, return_counts=True)
             many = times[inverse] > 1
             doc, mark, place = doc[many], mark[many], place[many]
-        return _replies(doc, mark, place)
+        return _replies(doc, mark, place, parts)
 
     return run, reduce
 
@@ -184,7 +225,7 @@ def _later(doc: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.nda
     return np.sort(order[after]), np.sort(order[~after])
 
 
-def _window_stage(buckets: int, window: int):
+def _window_stage(buckets: int, parts: int, window: int):
     """Starts of windows whose words also start earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +233,10 @@ def _window_stage(buckets: int, window: int):
             docs, marks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             base = np.cumsum(counts) - counts
             near = np.zeros(len(h) + 1, np.int32)
-            for (_, _, places), n, low in zip(rows, counts, base, strict=True):
-                anchors = np.frombuffer(b"".join(places), "<i4").astype(np.int64)
-                anchors = anchors[anchors <= n - (window - PERIOD + 1)]  # another row of this id may have had them
-                np.add.at(near, low + np.maximum(anchors - (PERIOD - 1), 0), 1)
-                np.add.at(near, low + anchors + 1, -1)
+            for (_, _, runs, *_), n, low in zip(rows, counts, base, strict=True):
+                runs = np.minimum(np.frombuffer(runs, "<i4").astype(np.int64), n)  # another row of this id may have had them
+                np.add.at(near, low + runs[::2], 1)
+                np.add.at(near, low + np.minimum(runs[1::2] + 1, n), -1)
             row, place = _places(counts)
             at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (place <= counts[row] - window))
             keys = np.empty(len(at), _LONG)
@@ -213,18 +253,26 @@ def _window_stage(buckets: int, window: int):
         if group.bucket.iloc[0] < buckets:
             later, _ = _later(doc, place, np.frombuffer(b"".join(group["keys"]), _LONG))
             doc, mark, place = doc[later], mark[later], place[later]
-        return _replies(doc, mark, place)
+        return _replies(doc, mark, place, parts)
 
     return run, reduce
 
 
-def kept_text(text: str, starts: np.ndarray, window: int = WINDOW) -> tuple[str, int, int]:
-    """(text without the words of the windows, words before, words removed)."""
+def _own_runs(mark: int, marks: bytes, sizes: bytes, runs: bytes) -> np.ndarray:
+    """The runs of the text with this mark: rows of (first, last)."""
+    at = np.flatnonzero(np.frombuffer(marks, "<i8") == mark)
+    ends = np.r_[0, np.cumsum(np.frombuffer(sizes, "<i4"))]
+    every = np.frombuffer(runs, "<i4").reshape(-1, 2)
+    return every[ends[at[0]] : ends[at[0] + 1]] if len(at) else every[:0]
+
+
+def kept_text(text: str, runs: np.ndarray, window: int = WINDOW) -> tuple[str, int, int]:
+    """(text without the words of windows that start in the runs, words before, words removed)."""
     raw = text.encode()
     spans = [m.span() for m in _RUN.finditer(raw)]
     cover = np.zeros(len(spans) + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + window, -1)
+    np.add.at(cover, runs[:, 0], 1)
+    np.add.at(cover, runs[:, 1] + window, -1)
     gone = np.cumsum(cover[:-1]) > 0
     kept = np.flatnonzero(~gone)
     if not len(kept):
@@ -251,17 +299,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "do
     doc, mark, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LATE)), F.xxhash64(F.col(text_col)), F.col(text_col)
     size = documents.agg(F.sum(F.octet_length(text_col)).alias("n")).head().n or 0
     buckets = max(8, int(size / 6 * len(COVER) / PERIOD / BUCKET))  # about six bytes a word
-    plain = documents.select(doc.alias("doc"), text.alias("text"))
-    run, reduce = _anchor_stage(buckets, window)
-    anchors = plain.mapInArrow(run, _PACKED).groupBy("bucket").applyInPandas(reduce, _REPLY)
-    anchors = anchors.groupBy("doc").agg(F.collect_list("places").alias("places"))  # as long as the document at most
-
+    parts = max(8, int(size / PART))
     rest = [c for c in documents.columns if c not in (text_col, n_words, n_removed)]
     packed = documents.select(doc.alias("doc"), mark.alias("mark"), text.alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest"))
-    asked = packed.select("doc", "mark", "text", "rest").join(anchors, "doc").select("doc", "mark", "text", "places")
-    run, reduce = _window_stage(buckets, window)
+    run, reduce = _anchor_stage(buckets, parts, window)
+    anchors = packed.select("doc", "text").mapInArrow(run, _PACKED).groupBy("bucket").applyInPandas(reduce, _REPLY)
+    anchors = anchors.groupBy("part").applyInPandas(_runs_of(PERIOD - 1), _RUNS)
+    # Both joins take the same columns, so that Spark shuffles the texts once.
+    asked = packed.join(anchors, "doc").select("doc", "mark", "text", "runs", "rest")
+    run, reduce = _window_stage(buckets, parts, window)
     found = asked.mapInArrow(run, _PACKED).groupBy("bucket").applyInPandas(reduce, _REPLY)
-    found = found.groupBy("doc").agg(F.collect_list(F.struct("mark", "places")).alias("cuts"))
+    found = found.groupBy("part").applyInPandas(_runs_of(0), _RUNS)
 
     schema = T.StructType([packed.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -270,12 +318,12 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "do
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out: list[tuple[str | None, int, int]] = []
-                for mark, text, cuts in zip(part.column("mark").to_pylist(), part.column("text").to_pylist(), part.column("cuts").to_pylist(), strict=True):
-                    starts = np.frombuffer(b"".join(c["places"] for c in cuts or () if c["mark"] == mark), "<i4")
-                    out.append(kept_text(text, starts, window) if len(starts) else (text, len(words(text)), 0))
+                for mark, text, marks, sizes, runs in zip(*(part.column(c).to_pylist() for c in ("mark", "text", "marks", "sizes", "runs")), strict=True):
+                    own = _own_runs(mark, marks, sizes, runs) if marks else ()
+                    out.append(kept_text(text, own, window) if len(own) else (text, len(words(text)), 0))
                 texts, before, gone = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], ["rest", "text", "n_words", "n_removed"])
 
-    done = packed.join(found, "doc", "left").select("mark", "text", "cuts", "rest").mapInArrow(cut, schema)
+    done = packed.join(found, "doc", "left").select("mark", "text", "marks", "sizes", "runs", "rest").mapInArrow(cut, schema)
     columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns if c not in (n_words, n_removed)]
     return done.select(*columns, F.col("n_words").alias(n_words), F.col("n_removed").alias(n_removed))
