@@ -60,7 +60,7 @@ def identity_key(column: Column, normal: bool = True) -> Column:
 
 def unique_sorted(values: Column) -> Column:
     """Trimmed, non-empty, distinct, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v.isNotNull() & (v != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))))
 
 
 def unique_first(values: Column, most: int | None = None) -> Column:

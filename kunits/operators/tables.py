@@ -140,7 +140,7 @@ def subjects(cells: DataFrame, keys: list[str]) -> DataFrame:
 def key_points(found: DataFrame, keys: list[str], key: str = "table_key") -> DataFrame:
     """point_id, content, evidence_ids for each kept row; equal contents of one document once."""
     doc = [k for k in keys if k != key]
-    rows = found.where("dropped is null").withColumn("normal", F.lower("content"))
+    rows = found.where("dropped is null").withColumn("normal", F.lower(cell_text(F.col("content"))))
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(*doc, "normal").orderBy(key, "row"))).where("nth = 1")
     evidence = F.transform("fields", lambda f: F.concat(F.lit("table-evidence-"), F.substring(F.sha2(F.concat_ws("|", f["block_id"], F.col("row").cast("string"), f["col"].cast("string"), f["value"]), 256), 1, 20)))
     return rows.select(*doc, key, "row", F.concat(F.lit("table-point-"), F.substring(F.sha2(F.concat_ws("|", key, "content"), 256), 1, 20)).alias("point_id"), "subject", "content", F.array_distinct(evidence).alias("evidence_ids"))
@@ -149,7 +149,7 @@ def key_points(found: DataFrame, keys: list[str], key: str = "table_key") -> Dat
 def new_points(points: DataFrame, existing: DataFrame, doc: list[str]) -> DataFrame:
     """Points whose content a document's summary doesn't have yet: left anti join by lower-case content."""
     known = existing.select(*doc, F.lower(cell_text(F.col("content"))).alias("normal"))
-    return points.withColumn("normal", F.lower("content")).join(known, [*doc, "normal"], "left_anti").drop("normal")
+    return points.withColumn("normal", F.lower(cell_text(F.col("content")))).join(known, [*doc, "normal"], "left_anti").drop("normal")
 
 
 def diagnostics(found: DataFrame, points: DataFrame, doc: list[str], key: str = "table_key") -> DataFrame:
