@@ -57,8 +57,8 @@ def commit_counts(verified: DataFrame) -> DataFrame:
 class VersionedStore:
     """Records as versioned folders with a pointer; a version shows only once its pointer is written.
 
-    ``root/v=<n>`` holds all records of version n, ``root/_pointer`` names the
-    current one, ``root/_manifest`` holds a row for each transaction. Paths may
+    ``root/v=<n>`` holds all records of version n, ``root/pointer`` names the
+    current one, ``root/manifest`` holds a row for each transaction. Paths may
     be of any file system that Spark reads and writes.
     """
 
@@ -66,7 +66,7 @@ class VersionedStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_pointer")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def version(self) -> int:
@@ -74,11 +74,11 @@ class VersionedStore:
         fs, path = self._fs()
         if not fs.exists(path):
             return 0
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/_pointer").collect()))["version"]  # one line
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/pointer").collect()))["version"]  # one line
 
     def _point(self, version: int) -> None:
         fs, path = self._fs()
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_pointer-{uuid.uuid4().hex}")
+        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
@@ -135,10 +135,10 @@ class VersionedStore:
 
     def _log(self, *row) -> None:
         version, transaction, run, task, status, records = row
-        self.spark.createDataFrame([(version, transaction, run, task, status, time.time(), records)], MANIFEST).write.mode("append").parquet(f"{self.root}/_manifest")
+        self.spark.createDataFrame([(version, transaction, run, task, status, time.time(), records)], MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
 
     def manifest(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/_manifest")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
 
 
 def verified_records(rows: DataFrame) -> DataFrame:
