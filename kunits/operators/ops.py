@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: HTTP statuses worth another try, besides all of 5xx (fixed values).
 TRANSIENT = (408, 425, 429, 529)
@@ -157,7 +158,7 @@ def provider_map(rows: DataFrame, key: str, request: Callable[[list[dict]], list
     that fails gives rows with ``error``, and its siblings go on.
     """
     size = max(1, min(20, size))
-    names = [p.strip().split(" ")[0].strip("`") for p in schema.split(",")]
+    names = T.StructType.fromDDL(schema).fieldNames()
     full = f"{key} string, {schema}, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
