@@ -33,9 +33,9 @@ SHINGLE, SIMILARITY, FUNCTIONS, KEPT = 5, 0.8, 30, 5
 SHORT, SHORT_KEPT = 16, 2
 #: Rounds with one leader a bucket; random orders of a round's leaders.
 ROUNDS, ORDERS = 2, 3
-#: Nodes outside a bucket's largest component that are compared at once; more are dealt by further
-#: sketches first, up to so many of them.
-MOST_OTHERS, REFINED = 4000, 4
+#: Nodes outside a bucket's largest component that are compared in one block; where there are more,
+#: longer texts are dealt by further sketches first, up to AGREED, which loses no candidate.
+MOST_OTHERS = 4000
 #: Sketches that two longer texts agree in to be candidates: of 30, texts of
 #: similarity 0.8 agree in about ten, and in fewer than this once in a thousand pairs.
 AGREED = 3
@@ -233,17 +233,22 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
             return labels
     sketch_of = nodes.select("node", "sketch")
     while True:
-        # The nodes outside the largest component of each bucket; too many of them are dealt again by further sketches.
+        # The nodes outside the largest component of each bucket. Where there are too many, pairs with a short text, which
+        # need one sketch, are compared here; longer texts are dealt again, up to the sketches that their pairs need.
         per = open_rows.groupBy("key", "label").agg(F.count("*").alias("members"))
         major = per.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("major"), (F.sum("members") - F.max("members")).alias("others"))
         rows = open_rows.join(major, "key")
-        whole = rows.where((F.col("others") <= MOST_OTHERS) | (F.col("depth") >= REFINED))
-        few = whole.where("label <> major").select("key", F.struct("node", "n", "label", "marks").alias("f"))
+        rows = rows.withColumn("large", (F.col("others") > MOST_OTHERS) & (F.col("depth") < AGREED))
+        whole = rows.where(~F.col("large") | ((F.col("depth") == 1) & (F.col("n") * least <= SHORT)))
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("others") / MOST_OTHERS)).cast("int")
+        few = whole.where("label <> major").select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.struct("node", "n", "label", "marks").alias("f"))
+        whole = whole.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         first = (F.col("depth") > 1) | (F.array_position(F.zip_with("marks", "f.marks", lambda x, y: x == y), True) == F.col("last") + 1)
         once = (F.col("label") == F.col("major")) | (F.col("node") > F.col("f.node"))
-        pairs = whole.join(few, "key").where(candidate("f") & once & first).select("node", F.col("f.node").alias("leader")).distinct()
+        here = ~F.col("large") | (F.least("n", "f.n") <= SHORT)
+        pairs = whole.join(few, ["key", "block"]).where(candidate("f") & once & first & here).select("node", F.col("f.node").alias("leader")).distinct()
         labels = joined(pairs, labels)
-        large = rows.where((F.col("others") > MOST_OTHERS) & (F.col("depth") < REFINED)).drop("major", "others")
+        large = rows.where(F.col("large") & (F.col("n") > SHORT)).drop("major", "others", "large")
         further = large.join(sketch_of, "node").select("key", "node", "n", "last", "marks", "depth", F.posexplode("sketch").alias("next", "also")).where("next > last")
         further = further.select(F.xxhash64("key", "also").alias("key"), "node", "n", F.col("next").alias("last"), "marks", (F.col("depth") + 1).alias("depth"), F.col("node").alias("label"))
         open_rows = written(left_of(further, labels), "buckets")

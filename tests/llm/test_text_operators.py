@@ -113,6 +113,25 @@ def test_near_duplicates_in_a_bucket_of_unlike_texts(spark):
     assert all(got[200 + i] == i for i in range(20))
 
 
+@pytest.mark.parametrize(("functions", "passage_words", "tail"), [(1, 17, 3), (3, 28, 6)])
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch, functions, passage_words, tail):
+    """Unlike pairs of copies in common buckets, which agree in just as many sketches as candidates need."""
+    monkeypatch.setattr(order_minhash, "MOST_OTHERS", 2)
+    passage = prose(77, passage_words, 5000)
+    sketch = lambda text: tuple(order_minhash.sketches(order_minhash.labelled(text), functions))
+    found: dict[tuple, list[str]] = {}
+    seed = 1000
+    while max(map(len, found.values()), default=0) < 12:
+        seed += 1
+        text = passage + " " + prose(seed, tail, 5000)
+        if sketch(text) == sketch(text + " end"):
+            found.setdefault(sketch(text), []).append(text)
+    texts = max(found.values(), key=len)
+    docs = [doc(i, text) for i, text in enumerate(texts)] + [doc(100 + i, text + " end") for i, text in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(docs, DOCS), functions=functions).collect()}
+    assert got == {d[0]: d[0] % 100 for d in docs}
+
+
 def test_similarity_is_an_alignment():
     a = prose(3, 300, 50)
     w = a.split()
