@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +56,67 @@ def top_k_cosine(index: DataFrame, query: DataFrame, k: int, vector: str = "vect
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
 
+#: Rows of the index and of the queries, about, in one block of a search of many queries.
+INDEX_BLOCK, QUERY_BLOCK = 20_000, 2_000
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows; those that are null, incomplete or of another length are zero, so that their cosine is 0."""
+    rows = [v if v is not None and len(v) == width and None not in v else [0.0] * width for v in column.to_pylist()]
+    return np.array(rows, np.float64).reshape(len(rows), width)
+
+
+def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed in the order of :func:`_dot`, so that equal vectors have equal scores."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[..., i]
+    return out
+
+
+def top_k_cosine_many(index: DataFrame, query: DataFrame, k: int, vector: str = "vector", key: str = "id", filters: list[str] | None = None, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score, rank as :func:`top_k_cosine`, of any number of queries.
+
+    Both sides are dealt into blocks, every block of queries meets every block
+    of the index, and nothing is broadcast. A block keeps its *k* best rows of
+    each query, so the best of all are among them.
+    """
+    names = list(filters or [])
+    parts, turns = (max(1, -(-df.count() // most)) for df, most in ((index, index_block), (query, query_block)))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), *names]
+    a = index.select(*own, block(parts).alias("_part"), every(turns).alias("_turn"))
+    b = query.select(*own, block(turns).alias("_turn"), every(parts).alias("_part"))
+    kind = index.schema[key].dataType
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
+        found: list[tuple] = []
+        width = max((len(v) for c in (left, right) for v in c.column("v").to_pylist() if v is not None), default=0)
+        rows, wanted = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
+        size, length = np.sqrt(_fold(rows, rows)), np.sqrt(_fold(wanted, wanted))
+        unit = np.divide(rows, size[:, None], out=np.zeros_like(rows), where=size[:, None] > 0)
+        for i in range(len(asked)):
+            others = np.flatnonzero(ids != asked[i])
+            if not len(others):
+                continue
+            rough = (unit[others] @ wanted[i]) / (length[i] or 1.0)
+            if len(others) > k:  # all that may be among the best, whatever the rounding
+                others = others[rough >= np.partition(rough, -k)[-k] - 1e-9]
+            below = size[others] * length[i]
+            score = np.divide(_fold(rows[others], wanted[i]), below, out=np.zeros(len(others)), where=below > 0)
+            for j in np.lexsort((ids[others], -score))[:k]:
+                found.append((asked[i], ids[others[j]], score[j]))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table({"query_id": pa.array(columns[0], right.schema.field("id").type), "id": pa.array(columns[1], left.schema.field("id").type), "score": pa.array(columns[2], pa.float64())})
+
+    by = [*names, "_part", "_turn"]
+    scored = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: best(x, y), f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "score", "rank")
+
+
 def tombstoned(index: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
     return index.join(removed.select(key), key, "left_anti")
 

@@ -349,3 +349,14 @@ def test_vectors(spark):
     assert "a4" not in groups
     relation = spark.range(1).select(vectors.infer_relation(F.lit("v2 替代 v1"), F.lit("旧版"), F.lit(0.9)).alias("r")).head().r
     assert relation == "supersedes"
+
+
+def test_top_k_of_many_queries_in_blocks(spark):
+    given = [(i, "lm"[i % 2], [float(i * 7 % 5), float(i * 3 % 4), float(i % 3)]) for i in range(120)] + [(120, "l", None)]
+    rows = spark.createDataFrame(given, "id long, library string, vector array<double>")
+    got = vectors.top_k_cosine_many(rows, rows.where("id % 20 = 0"), 5, filters=["library"], index_block=30, query_block=2).collect()
+    want = []
+    for i in range(0, 121, 20):
+        want += vectors.top_k_cosine(rows, rows.where(F.col("id") == i), 5, filters=["library"]).collect()
+    assert len(want) == 35
+    assert sorted(got) == sorted(want)
