@@ -112,10 +112,15 @@ def redact(column: Column) -> Column:
     return column
 
 
-def strip_html(column: Column) -> Column:
-    """Text of markup: scripts, styles and comments go first, tags become spaces, entities are decoded."""
+def strip_html(column: Column, native: bool = False) -> Column:
+    """Text of markup: scripts, styles and comments go first, tags become spaces, entities are decoded.
+
+    *native* decodes the common named entities only, without Python.
+    """
     bare = F.regexp_replace(F.coalesce(column, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(decode_entities_native(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
+    decoded = decode_entities_native(bare) if native else F.translate(decode_entities(bare), "\xa0", " ")
+    return F.trim(F.regexp_replace(decoded, r"\s+", " "))
 
 
 #: Entities that are decoded natively (fixed values); ``&amp;`` last.

@@ -340,8 +340,8 @@ SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(repla
   regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS text_hash FROM pages""")
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
-    """X-11, X-12: text of markup with the common entities, native."""
-    return _t(spark, sf, "pages").select("page_id", F.sha2(strip_html(F.col("html")), 256).alias("text_hash"))
+    """X-12 and the common entities of X-11, native; html_text_decoded has them all."""
+    return _t(spark, sf, "pages").select("page_id", F.sha2(strip_html(F.col("html"), native=True), 256).alias("text_hash"))
 
 
 def _redact_sql(column: str) -> str:
@@ -486,6 +486,12 @@ def markdown_profile(spark: SparkSession, sf: str) -> DataFrame:
     return split.profile_markdown(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.to_json("heading_counts").alias("heading_counts"), "dominant_level", "has_tables", "has_code", "has_math", "strategy")
 
 
+@query()
+def html_text_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """X-11, X-12: text of markup with all named, decimal and hexadecimal entities."""
+    return _t(spark, sf, "pages").select("page_id", F.sha2(strip_html(F.col("html")), 256).alias("text_hash"))
+
+
 @query()
 def simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     """X-33: documents by SimHash of their first line."""

@@ -124,3 +124,24 @@ def test_numbers_and_dates(spark):
     assert not one(spark, numbers.is_date_format(F.col("t")), '0.00"days"')
     assert one(spark, numbers.looks_like_gibberish(F.col("t")), "\ufffd\ufffd\ufffdabc")
     assert not one(spark, numbers.looks_like_gibberish(F.col("t")), "正常文本 with words.")
+
+
+def test_html_text_decoded_against_brute_force(spark):
+    import hashlib
+    import html
+    import re
+
+    from kunits.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert one(spark, text.strip_html(F.col("t")), "<p>caf&eacute; &middot;&nbsp;&#233;&#xE9; &amp;lt; &nope;</p>") == "café · éé &lt; &nope;"
+
+    def plain(page):
+        bare = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ", page)
+        found = re.sub(r"&(?:#\w+|\w+);", lambda m: html.unescape(m[0]), re.sub(r"<[^>]*>", " ", bare))
+        return re.sub(r"[ \t\n\x0b\f\r]+", " ", found.replace("\xa0", " ")).strip(" ")
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()}
+    assert any("&middot;" in p for p in pages.values())
+    got = {r.page_id: r.text_hash for r in QUERIES["html_text_decoded"](spark, sf).collect()}
+    assert got == {i: hashlib.sha256(plain(p).encode()).hexdigest() for i, p in pages.items()}
