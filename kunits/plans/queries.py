@@ -494,9 +494,8 @@ def html_text_decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """X-33: documents by SimHash of their first line."""
-    first = F.split("text", "\n")[0]
-    return _t(spark, sf, "documents").select("doc_id", vectors.simhash(first).alias("simhash")).groupBy("simhash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """X-33: documents by SimHash of their whole text."""
+    return _t(spark, sf, "documents").select("doc_id", vectors.simhash(F.col("text")).alias("simhash")).groupBy("simhash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query()

@@ -360,3 +360,12 @@ def test_top_k_of_many_queries_in_blocks(spark):
         want += vectors.top_k_cosine(rows, rows.where(F.col("id") == i), 5, filters=["library"]).collect()
     assert len(want) == 35
     assert sorted(got) == sorted(want)
+
+
+def test_simhash_groups_take_the_whole_text(spark, tmp_path):
+    from kunits.plans.queries import QUERIES
+
+    given = [(1, "title\nthe quick brown fox"), (2, "title\nquality management of suppliers"), (3, "title\nthe quick brown fox")]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.first_doc, r.n) for r in QUERIES["simhash_groups"](spark, str(tmp_path)).collect())
+    assert got == [(1, 2), (2, 1)]
