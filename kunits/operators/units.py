@@ -133,10 +133,27 @@ def crowded(rows: DataFrame, key: str, identity: str, most: int) -> DataFrame:
     return rows.groupBy(identity).agg(F.count_distinct(key).alias("members")).where(F.col("members") > most)
 
 
+def _identities(planned: DataFrame, id_col: str) -> DataFrame:
+    """unit_id, place, identity: a row for each project and entity of a unit."""
+    return planned.select("unit_id", F.concat_ws("\x1f", F.col(id_col).cast("string"), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("place"), F.explode(F.array_distinct(F.concat("project_ids", "entity_ids"))).alias("identity"))
+
+
+def crowded_members(planned: DataFrame, id_col: str = "source_document_id", most: int = 40) -> DataFrame:
+    """identity, place, unit_id: all units of the identities that :func:`relations` refuses, of the same *most*.
+
+    Each two of an identity with different ids are related, the earlier place
+    first; the rows grow with the units, not with their pairs.
+    """
+    some = _identities(planned, id_col).distinct().withColumn("_n", F.count("*").over(W.partitionBy("identity")))
+    return some.where(F.col("_n") > most).select("identity", "place", "unit_id")
+
+
 def relations(planned: DataFrame, id_col: str = "source_document_id", most: int = 40) -> DataFrame:
-    """Edges between units that share a project or entity: from_unit_id, to_unit_id, type, confidence, evidence."""
-    ids = planned.select("unit_id", F.concat_ws("\x1f", F.col(id_col).cast("string"), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("place"), F.explode(F.array_distinct(F.concat("project_ids", "entity_ids"))).alias("identity"))
-    pairs = shared_identity_pairs(ids, "unit_id", "identity", "place", most)
+    """Edges between units that share a project or entity: from_unit_id, to_unit_id, type, confidence, evidence.
+
+    Identities of more than *most* units come back whole by :func:`crowded_members`.
+    """
+    pairs = shared_identity_pairs(_identities(planned, id_col), "unit_id", "identity", "place", most)
     return pairs.select(F.col("from_id").alias("from_unit_id"), F.col("to_id").alias("to_unit_id"), F.lit("related").alias("type"), F.lit(1.0).alias("confidence"), F.struct(F.lit("shared_explicit_identity").alias("kind"), F.col("identity").alias("value")).alias("evidence"))
 
 

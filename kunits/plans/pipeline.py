@@ -25,7 +25,10 @@ def raw_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def run(raw: DataFrame, documents: DataFrame | None = None, scoped: bool = True, explicit_library: str | None = None) -> dict[str, DataFrame]:
-    """All stages from raw blocks; *documents* may give metadata by source_document_id."""
+    """All stages from raw blocks; *documents* may give metadata by source_document_id.
+
+    Units of an identity that has too many for pairs in "relations" are in "crowded".
+    """
     blocks = B.canonical_blocks(raw)
     profiles = B.profiles(blocks, documents)
     regions = S.regions(S.segments(blocks, scoped=scoped))
@@ -34,5 +37,5 @@ def run(raw: DataFrame, documents: DataFrame | None = None, scoped: bool = True,
     reviews = U.review_groups(units)
     return {
         "blocks": blocks, "profiles": profiles, "regions": regions, "units": units, "coverage": ledger, "gaps": U.coverage_gaps(regions, ledger),
-        "relations": U.relations(units), "reviews": reviews, "telemetry": U.telemetry(blocks, regions, units, ledger, reviews),
+        "relations": U.relations(units), "crowded": U.crowded_members(units), "reviews": reviews, "telemetry": U.telemetry(blocks, regions, units, ledger, reviews),
     }

@@ -369,3 +369,13 @@ def test_simhash_groups_take_the_whole_text(spark, tmp_path):
     spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.first_doc, r.n) for r in QUERIES["simhash_groups"](spark, str(tmp_path)).collect())
     assert got == [(1, 2), (2, 1)]
+
+
+def test_crowded_identities_keep_their_units(spark):
+    rows = [{"text": "必须 完成", "metadata": {"project_id": "P"}}] * 45 + [{"text": "风险 B", "metadata": {"project_id": "Q"}}] * 2
+    each = raw(spark, rows).withColumn("source_document_id", F.col("ord").cast("string"))  # a document for each block
+    out = {k: v.cache() for k, v in pipeline.run(each).items() if k in ("units", "relations", "crowded")}
+    held = {r.unit_id for r in out["units"].where("array_contains(project_ids, 'P')").select("unit_id").collect()}
+    assert len(held) == 45
+    assert sorted((r.identity, r.unit_id) for r in out["crowded"].collect()) == sorted(("P", u) for u in held)
+    assert [r.evidence.value for r in out["relations"].collect()] == ["Q"]
