@@ -7,10 +7,13 @@ be close in edit distance. Candidates are aligned: labelled k-mers are unique
 within a text, so the longest common subsequence within the band is a longest
 increasing run of matched places. The similarity is matched / (a + b - matched).
 
-Equal texts are one node. Nodes of a bucket are compared with a leader first;
-then those outside its largest component are compared with all candidates of
-other components. Classes are connected components, so a pair within one need
-not be compared.
+Equal texts are one node. Nodes of a bucket are compared with a leader first,
+which joins most of a group. What may still link two components is found among
+the candidates by their rarest k-mers: a pair of this similarity has a common
+one early in the order of both (prefix filter), and few that only one has. Both
+are necessary conditions, so no candidate is lost and unlike members of a large
+group aren't compared. Classes are connected components, so a pair within one
+need not be compared.
 """
 
 from __future__ import annotations
@@ -29,16 +32,17 @@ from kunits.llm.common import fresh, text_key, written
 
 #: Words of a k-mer, least similarity, hash functions, k-mers of a sketch.
 SHINGLE, SIMILARITY, FUNCTIONS, KEPT = 5, 0.8, 30, 5
-#: Texts of so few k-mers take sketches of two k-mers in the last third of the functions.
+#: Texts of so few k-mers, and those that may be similar to them, take sketches of two k-mers by the last third of the functions too.
 SHORT, SHORT_KEPT = 16, 2
 #: Rounds with one leader a bucket; random orders of a round's leaders.
 ROUNDS, ORDERS = 2, 3
-#: Nodes outside a bucket's largest component that are compared in one block; where there are more,
-#: longer texts are dealt by further sketches first, up to AGREED, which loses no candidate.
-MOST_OTHERS = 4000
-#: Sketches that two longer texts agree in to be candidates: of 30, texts of
-#: similarity 0.8 agree in about ten, and in fewer than this once in a thousand pairs.
+#: Sketches that a longer text shares with a leader to be compared with it. Of 30, texts of similarity 0.8 share about
+#: ten. Pairs that share fewer aren't left out: they are compared after the rounds with leaders.
 AGREED = 3
+#: Rarest k-mers of a text that stand beside each of them, to bound what a pair has in common.
+HEAD = 32
+#: For sums of fractions that should be whole numbers.
+SLACK = 1e-6
 #: Keys of 16 bytes that are broadcast at most; beyond, texts are joined by shuffling.
 BROADCAST_KEYS = 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -88,16 +92,16 @@ def labelled(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def sketches(kmers: np.ndarray, functions: int = FUNCTIONS, kept: int = KEPT) -> np.ndarray:
+def sketches(kmers: np.ndarray, functions: int = FUNCTIONS, kept: int = KEPT, least: float = SIMILARITY) -> np.ndarray:
     """One 64-bit hash for each function: its least k-mers, in text order.
 
     A difference of one k-mer counts for much in a short text, so those have
-    smaller sketches too.
+    smaller sketches too, and so have texts that may be similar to a short one.
     """
-    if len(kmers) > SHORT:
-        return _least(kmers, 0, functions, kept)
-    cut = functions - functions // 3
-    return np.concatenate([_least(kmers, 0, cut, kept), _least(kmers, cut, functions, SHORT_KEPT)])
+    found = _least(kmers, 0, functions, kept)
+    if len(kmers) * least > SHORT:
+        return found
+    return np.concatenate([found, _least(kmers, functions - functions // 3, functions, SHORT_KEPT)])
 
 
 def _least(kmers: np.ndarray, low: int, high: int, kept: int) -> np.ndarray:
@@ -139,7 +143,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return matched / (total - matched)
 
 
-def _sketched(documents: DataFrame, text_col: str, id_col: str, shingle: int, functions: int) -> DataFrame:
+def _sketched(documents: DataFrame, text_col: str, id_col: str, shingle: int, least: float, functions: int) -> DataFrame:
     """doc_id, node (16-byte text key), n (k-mers), sketch: a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def _sketched(documents: DataFrame, text_col: str, id_col: str, shingle: int, fu
                 for text in part.column(2).to_pylist():
                     kmers = labelled(text, shingle)
                     counts.append(len(kmers))
-                    found.append(sketches(kmers, functions).view(np.int64) if len(kmers) else np.empty(0, np.int64))
+                    found.append(sketches(kmers, functions, least=least).view(np.int64) if len(kmers) else np.empty(0, np.int64))
                 offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), values], ["doc_id", "node", "n", "sketch"])
@@ -181,27 +185,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame | None:
     """node, label: components of verified links; None without candidates. *nodes*: node, n, sketch.
 
-    Candidates are pairs that share a bucket and agree in enough sketches. A
-    bucket is open while it holds nodes of several components. First a few
-    rounds compare open buckets with a leader each, in other random orders
-    from round to round, which joins most components by few comparisons. Then
-    the nodes outside a bucket's largest component are compared with all
-    candidates of other components there, so that no candidate is left out.
+    Candidates are pairs that share a bucket. A bucket is open while it holds
+    nodes of several components. A few rounds compare open buckets with a
+    leader each, in other random orders from round to round, which joins most
+    components by few comparisons. Then all candidates of different components
+    are compared, but those that their rarest k-mers rule out.
     """
     marks = F.transform("sketch", lambda x: (x.bitwiseAND(F.lit(0xFFFF).cast("long")) - 32768).cast("smallint"))
-    rows = nodes.where("n > 0").select("node", "n", marks.alias("marks"), F.posexplode("sketch").alias("last", "key"))
-    rows = rows.select("key", "node", "n", "last", "marks", F.lit(1).alias("depth"), F.col("node").alias("label"))
-
-    def opened(buckets: DataFrame) -> DataFrame:
-        """The rows of buckets with two components at least."""
-        several = buckets.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        return buckets.join(several.select("key"), "key", "left_semi")
-
-    def candidate(other: str) -> Column:
-        """Whether a row and another of its bucket make a candidate of two components."""
-        same = F.zip_with("marks", f"{other}.marks", lambda x, y: x == y)
-        agree = (F.size(F.filter(same, lambda x: x)) >= AGREED) | (F.least("n", f"{other}.n") <= SHORT)
-        return (F.col("label") != F.col(f"{other}.label")) & (F.least("n", f"{other}.n") >= least * F.greatest("n", f"{other}.n")) & agree
+    rows = nodes.where("n > 0").select("node", "n", marks.alias("marks"), F.explode("sketch").alias("key"))
+    rows = rows.select("key", "node", "n", "marks", F.col("node").alias("label"))
 
     def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The components after the pairs are verified."""
@@ -212,9 +204,9 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
 
     def left_of(buckets: DataFrame, labels: DataFrame) -> DataFrame:
         known = buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        return opened(known.select(*buckets.columns))
+        return _opened(known.select(*buckets.columns))
 
-    open_rows = written(opened(rows), "buckets")
+    open_rows = written(_opened(rows), "buckets")
     wanted = open_rows.select("node").distinct()
     count = wanted.count()
     if not count:
@@ -226,34 +218,74 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
     for turn in range(ROUNDS):
         order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)), F.lit(turn))
         heads = open_rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "label", "marks")).alias("head"))
-        pairs = open_rows.join(heads, "key").where(candidate("head")).select("node", F.col("head.node").alias("leader")).distinct()
+        enough = (_agreeing("marks", "head.marks") >= AGREED) | (F.least("n", "head.n") <= SHORT)
+        pairs = open_rows.join(heads, "key").where(_apart("head", least) & enough).select("node", F.col("head.node").alias("leader")).distinct()
         labels = joined(pairs, labels)
         open_rows = written(left_of(open_rows, labels), "buckets")
         if open_rows.isEmpty():
             return labels
-    sketch_of = nodes.select("node", "sketch")
-    while True:
-        # The nodes outside the largest component of each bucket. Where there are too many, pairs with a short text, which
-        # need one sketch, are compared here; longer texts are dealt again, up to the sketches that their pairs need.
-        per = open_rows.groupBy("key", "label").agg(F.count("*").alias("members"))
-        major = per.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("major"), (F.sum("members") - F.max("members")).alias("others"))
-        rows = open_rows.join(major, "key")
-        rows = rows.withColumn("large", (F.col("others") > MOST_OTHERS) & (F.col("depth") < AGREED))
-        whole = rows.where(~F.col("large") | ((F.col("depth") == 1) & (F.col("n") * least <= SHORT)))
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("others") / MOST_OTHERS)).cast("int")
-        few = whole.where("label <> major").select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.struct("node", "n", "label", "marks").alias("f"))
-        whole = whole.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        first = (F.col("depth") > 1) | (F.array_position(F.zip_with("marks", "f.marks", lambda x, y: x == y), True) == F.col("last") + 1)
-        once = (F.col("label") == F.col("major")) | (F.col("node") > F.col("f.node"))
-        here = ~F.col("large") | (F.least("n", "f.n") <= SHORT)
-        pairs = whole.join(few, ["key", "block"]).where(candidate("f") & once & first & here).select("node", F.col("f.node").alias("leader")).distinct()
-        labels = joined(pairs, labels)
-        large = rows.where(F.col("large") & (F.col("n") > SHORT)).drop("major", "others", "large")
-        further = large.join(sketch_of, "node").select("key", "node", "n", "last", "marks", "depth", F.posexplode("sketch").alias("next", "also")).where("next > last")
-        further = further.select(F.xxhash64("key", "also").alias("key"), "node", "n", F.col("next").alias("last"), "marks", (F.col("depth") + 1).alias("depth"), F.col("node").alias("label"))
-        open_rows = written(left_of(further, labels), "buckets")
-        if open_rows.isEmpty():
-            return labels
+    nodes_left = written(open_rows.groupBy("node").agg(F.first("label").alias("label"), F.first("marks").alias("marks")), "open")
+    return joined(_by_rarest(texts, nodes_left, shingle, least), labels)
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """The rows of keys with two components at least."""
+    several = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    return rows.join(several.select("key"), "key", "left_semi")
+
+
+def _agreeing(marks: str, others: str) -> Column:
+    """Sketches that two texts share."""
+    return F.size(F.filter(F.zip_with(marks, others, lambda x, y: x == y), lambda x: x))
+
+
+def _apart(other: str, least: float) -> Column:
+    """Whether a row and another are of different components and of similar length."""
+    return (F.col("label") != F.col(f"{other}.label")) & (F.least("n", f"{other}.n") >= least * F.greatest("n", f"{other}.n"))
+
+
+def _by_rarest(texts: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """node, leader: pairs of different components that share a sketch and may be similar. *nodes*: node, label, marks.
+
+    All k-mers have one order, the rarest first. Similar texts have *least*
+    of the longer one's k-mers in common, so the first common one is among the
+    first ``n - least * n + 1`` of each. From the place of this k-mer, and from
+    the first few of both texts, follows how many they have in common at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [labelled(text, shingle) for text in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(found).view(np.int64))], ["node", "kmer"])
+
+    kmers = written(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node binary, kmer long"), "kmers")
+    seen = kmers.groupBy("kmer").agg(F.count("*").alias("seen")).where("seen > 1")
+    # Rarity above, 48 bits of the k-mer below: one number whose order is that of all k-mers. Chance equals only add candidates.
+    rarity = F.least(F.coalesce("seen", F.lit(1)), F.lit(0x7FFF)).cast("long")
+    token = F.shiftleft(rarity, 48).bitwiseOR(F.col("kmer").bitwiseAND(F.lit((1 << 48) - 1).cast("long")))
+    each = kmers.join(seen, "kmer", "left").select("node", token.alias("token")).groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    n = F.size("tokens")
+    first = F.posexplode(F.slice("tokens", 1, n - F.ceil(n * least - SLACK).cast("int") + 1)).alias("at", "key")
+    each = each.join(nodes, "node").select("node", "label", "marks", n.alias("n"), F.slice("tokens", 1, HEAD).alias("head"), first)
+    rows = written(_opened(each.where(F.shiftright("key", 48) > 1)), "rarest")
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("members"))
+    major = written(per.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("major")), "majors")
+    rows = rows.join(major, "key")
+    few = rows.where("label <> major").select("key", F.struct("node", "n", "label", "marks", "head", "at").alias("f"))
+    once = (F.col("label") == F.col("major")) | (F.col("node") > F.col("f.node"))
+    needed = least / (1 + least) * (F.col("n") + F.col("f.n"))
+    common = F.array_intersect("head", "f.head")
+    last = F.least(F.element_at("head", -1), F.element_at("f.head", -1))
+    within = {side: F.size(F.filter(f"{side}head", lambda t: t <= last)) for side in ("", "f.")}
+    rest = F.least(F.col("n") - within[""], F.col("f.n") - within["f."])
+    is_first = (F.size(common) == 0) | (F.element_at(common, 1) == F.col("key"))
+    placed = F.least(F.col("n") - F.col("at"), F.col("f.n") - F.col("f.at")) >= needed - SLACK
+    reached = F.size(common) + rest >= needed - SLACK
+    fits = once & _apart("f", least) & placed & is_first & reached & (_agreeing("marks", "f.marks") > 0)
+    return rows.join(few, "key").where(fits).select("node", F.col("f.node").alias("leader")).distinct()
 
 
 def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +324,7 @@ def _components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def _grouped(documents: DataFrame, id_col: str, text_col: str, shingle: int, least: float, functions: int) -> DataFrame:
     """doc_id, node, label for each document; label is null for texts without any characters."""
-    found = written(_sketched(documents, text_col, id_col, shingle, functions), "sketches")
+    found = written(_sketched(documents, text_col, id_col, shingle, least, functions), "sketches")
     nodes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     links = _linked(documents, nodes, text_col, shingle, least)

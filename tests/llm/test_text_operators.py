@@ -115,8 +115,8 @@ def test_near_duplicates_in_a_bucket_of_unlike_texts(spark):
 
 @pytest.mark.parametrize(("functions", "passage_words", "tail"), [(1, 17, 3), (3, 28, 6)])
 def test_near_duplicates_in_a_large_bucket(spark, monkeypatch, functions, passage_words, tail):
-    """Unlike pairs of copies in common buckets, which agree in just as many sketches as candidates need."""
-    monkeypatch.setattr(order_minhash, "MOST_OTHERS", 2)
+    """Unlike pairs of copies in common buckets, however few sketches they share."""
+    monkeypatch.setattr(order_minhash, "HEAD", 2)
     passage = prose(77, passage_words, 5000)
     sketch = lambda text: tuple(order_minhash.sketches(order_minhash.labelled(text), functions))
     found: dict[tuple, list[str]] = {}
@@ -132,6 +132,22 @@ def test_near_duplicates_in_a_large_bucket(spark, monkeypatch, functions, passag
     assert got == {d[0]: d[0] % 100 for d in docs}
 
 
+def test_near_duplicates_of_one_text_with_many_edits(spark):
+    """Copies of one text with more and more edits, many of the pairs just below the threshold."""
+    r = random.Random(5)
+    base = prose(91, 150, 5000).split()
+    docs = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.randrange(7)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = [] if r.random() < 0.5 else [f"new{r.randrange(10**6)}"]
+        docs.append(doc(i, " ".join(words)))
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == classes(docs)
+    assert len(set(got.values())) > 10
+
+
 def test_similarity_is_an_alignment():
     a = prose(3, 300, 50)
     w = a.split()
