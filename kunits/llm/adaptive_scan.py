@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from kunits.llm.common import written
 
 #: Rows that train the lists at most (those of the least hash); all rows are indexed.
-SAMPLE = 20_000
-LISTS = 1024
+SAMPLE = 65_536
+#: Lists at most: sixteen of the sample's rows for each. Up to there they grow with the square root of the rows.
+LISTS = SAMPLE // 16
 #: Columns between two tests; strictness of the test; candidates and queries of a block.
 STEP, EPSILON, BLOCK, QUERY_BLOCK, SEED = 16, 2.1, 4096, 2048, 11
 
@@ -43,6 +44,10 @@ def rotation(size: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _nearest_centre(rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    return np.concatenate([(rows[a : a + 2048] @ middle.T).argmax(axis=1) for a in range(0, len(rows), 2048)])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     scaled = rows / np.abs(rows).max(axis=1, keepdims=True)  # no overflow in the squares
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
@@ -54,7 +59,7 @@ def centres(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = SEED)
     lists = max(1, min(lists, len(sample)))
     found = sample[rng.choice(len(sample), lists, replace=False)].copy()
     for _ in range(rounds):
-        near = (sample @ found.T).argmax(axis=1)
+        near = _nearest_centre(sample, found)
         total = np.zeros_like(found)
         np.add.at(total, near, sample)
         norm = np.linalg.norm(total, axis=1)
@@ -74,7 +79,7 @@ def probes_for(sample: np.ndarray, middle: np.ndarray, k: int, recall: float, qu
     if k < 1:
         return len(middle)
     near = np.argpartition(-close, k - 1, axis=1)[:, :k]
-    home = (sample @ middle.T).argmax(axis=1)
+    home = _nearest_centre(sample, middle)
     place = np.argsort(np.argsort(-(some @ middle.T), axis=1), axis=1)
     ranks = np.take_along_axis(place, home[near], axis=1)
     return int(np.quantile(ranks, recall, method="higher")) + 1
@@ -117,8 +122,10 @@ def nearest(
     *queries* is a condition on ``vec_id``; candidates are all rows but the
     query's own. Vectors that aren't usable, null ids and vectors whose length
     isn't the most frequent one take no part. Of rows that repeat an id the
-    one of the greatest vector counts. *probes* is the share of lists probed
-    (4 at least); *lists* shrinks with the square root of the rows.
+    one of the greatest vector counts. There are half as many lists as the
+    square root of the distinct vectors, *lists* at most, and one where a block
+    holds all; as many are probed as the sample's own neighbours need for
+    *recall*, 4 at least.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null").where(usable(F.col("v")))
@@ -135,7 +142,8 @@ def nearest(
     kept = kept.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     kept = written(kept.withColumn("rep", F.col("ids")[0]), "vectors")
     count = kept.count()
-    train = np.array([r.v for r in kept.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()])  # bounded by *sample*
+    given = kept.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column("v").combine_chunks()  # bounded by *sample*
+    train = given.flatten().to_numpy().reshape(len(given), size)
     n_lists = max(1, min(lists, int(math.sqrt(count) / 2), len(train))) if count > BLOCK else 1
     turn = rotation(size)
     train = _unit(train) @ turn
@@ -147,15 +155,11 @@ def nearest(
         turn, middle = shared.value
         for pdf in batches:
             if len(pdf):
-                near = (_unit(np.stack(pdf.v)) @ turn @ middle.T).argmax(axis=1)
+                near = _nearest_centre(_unit(np.stack(pdf.v)) @ turn, middle)
                 yield pdf.assign(list=near.astype(np.int32))[["rep", "ids", "v", "list"]]
 
     listed = kept.mapInPandas(assign, "rep long, ids array<long>, v array<double>, list int")
     listed = written(listed, "lists")
-    per_list = listed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))  # one row for each list
-    blocks = {r.list: r.blocks for r in per_list.collect()}
-    blocked = listed.join(F.broadcast(per_list), "list").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
     # Distinct query vectors, with the query ids that have them.
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").join(kept.select("v", "rep"), "v")
     asked = written(asked.select("query_id", "rep", "v"), "queries")
@@ -164,14 +168,25 @@ def nearest(
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn, middle = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            near = np.argpartition(-(_unit(np.stack(pdf.v)) @ turn @ middle.T), n_probes - 1, axis=1)[:, :n_probes]
-            made = [(rep, v, int(i), b) for rep, v, some in zip(pdf.rep, pdf.v, near, strict=True) for i in some for b in range(blocks.get(int(i), 0))]
-            for at in range(0, len(made), 4096):
-                yield pd.DataFrame(made[at : at + 4096], columns=["rep", "v", "list", "block"])
+            for at in range(0, len(pdf), 1024):
+                some = pdf[at : at + 1024]
+                near = np.argpartition(-(_unit(np.stack(some.v)) @ turn @ middle.T), n_probes - 1, axis=1)[:, :n_probes]
+                yield pd.DataFrame({"rep": np.repeat(some.rep.to_numpy(), n_probes), "v": [v for v in some.v for _ in range(n_probes)], "list": near.ravel().astype(np.int32)})
+
+    sent = written(distinct.mapInPandas(probe, "rep long, v array<double>, list int"), "sent")
+    # Lists and the queries that probe them are cut into bounded blocks; each pair of blocks is a task's group.
+    cuts = listed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    asks = sent.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("parts"))
+    cuts = F.broadcast(cuts.join(asks, "list"))  # one row for each list
+
+    def dealt(count: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    sent = distinct.mapInPandas(probe, "rep long, v array<double>, list int, block int")
+    blocked = listed.join(cuts, "list").withColumns({"block": dealt("blocks"), "part": every("parts")}).drop("blocks", "parts")
+    sent = sent.join(cuts, "list").withColumns({"part": dealt("parts"), "block": every("blocks")}).drop("blocks", "parts")
 
     def search(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -190,7 +205,7 @@ def nearest(
         return pd.DataFrame(out, columns=["rep", "vec_id", "score"])
 
     found = (
-        sent.groupBy("list", "block").cogroup(blocked.groupBy("list", "block"))
+        sent.groupBy("list", "block", "part").cogroup(blocked.groupBy("list", "block", "part"))
         .applyInPandas(search, "rep long, vec_id long, score double")
     )
     best = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
