@@ -5,6 +5,8 @@ Text length and punctuation are aggregated per tag path, smoothed along the
 page, fused into one score and thresholded; the paths that pass span the
 content element, whose blocks are the main text. What markup itself declares
 as furniture (navigation, forms, adverts, comments and the like) scores zero.
+Where a name or a place only hints at it, as outside of the article element,
+the score of the path is weighed by that, and decides.
 """
 
 from __future__ import annotations
@@ -22,19 +24,20 @@ from pyspark.sql import functions as F
 #: Elements without text of the article (fixed values of the markup language and its conventions).
 FURNITURE_TAGS = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object svg canvas dialog menu audio video map".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id attributes that name furniture.
-FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion promoted banner banners "
-    "nav navs navbar navigation menu menus breadcrumb breadcrumbs pagination pager skip "
-    "header masthead topbar footer colophon copyright legal "
-    "sidebar sidebars aside widget widgets related recommended recommendations trending popular "
-    "notice notices cookie cookies consent gdpr alert popup modal overlay paywall "
-    "form search login signin signup subscribe subscription newsletter "
-    "share sharing social comment comments commentlist respond reply replies disqus discussion".split()
+#: Names in class and id attributes that no section of prose has.
+FURNITURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising advertorial sponsored banner banners nav navs navbar navigation menu menus breadcrumb breadcrumbs pagination pager "
+    "masthead topbar footer colophon sidebar sidebars widget widgets cookie cookies consent gdpr popup modal overlay paywall login signin signup subscribe newsletter comments commentlist disqus".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion ad ads advert advertisement sponsored related".split())
-#: Words of class and id attributes by which a header belongs to the article.
-ARTICLE_WORDS = frozenset("article post entry story content".split())
+#: Names that hint at furniture, but may be those of sections too.
+HINTS = frozenset(
+    "header aside sponsor sponsors promo promos promotion related recommended recommendations trending popular notice notices alert alerts legal copyright "
+    "form search subscription share sharing social comment respond reply replies discussion skip".split()
+)
+#: Names that say nothing by themselves beside another.
+LAYOUT = frozenset("area bar block bottom box button buttons card cards col column container content group holder inner item items left link links list outer panel posts right row section site stories thread top wrap wrapper".split())
+#: Weight of a path in an element whose name hints at furniture; outside of the article element, if there is one.
+HINTED, OUTSIDE = 0.5, 0.1
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSE_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -48,6 +51,8 @@ IMPLIED = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+#: Elements of prose, for pages without one element around the content.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 RAW = "script|style|textarea|title|noscript|iframe|template"
 
 _MARKUP = re.compile(
@@ -67,7 +72,7 @@ class Element:
     tag: str
     parent: Element | None
     label: str
-    furniture: bool
+    weight: float  # 0 for furniture, 1 for what nothing speaks against
     article: bool
     depth: int
 
@@ -80,23 +85,32 @@ class Block:
     text: str = ""
 
 
-def _element(tag: str, attrs: str, parent: Element | None) -> Element:
+def _named(names: str) -> float:
+    """Weight by class and id: names count whole, each of their words being of furniture or of mere layout."""
+    weight = 1.0
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & FURNITURE_NAMES and words <= FURNITURE_NAMES | HINTS | LAYOUT:
+            return 0.0
+        if words & HINTS and words <= HINTS | LAYOUT:
+            weight = HINTED
+    return weight
+
+
+def _element(tag: str, attrs: str, parent: Element) -> Element:
     given = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if "=" in attrs or "hidden" in attrs.lower() else {}
-    words = {w.lower() for w in _WORD.findall(given.get("class", "") + " " + given.get("id", ""))}
     role = given.get("role", "").lower()
-    own = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")))
-    if tag == "article":
-        own = own or bool(words & COMMENT_WORDS)
-    elif tag not in ("html", "body", "main"):
-        named = words & FURNITURE_WORDS
-        own = own or bool(named - {"header"}) or bool(named) and not words & ARTICLE_WORDS
+    hidden = "hidden" in given or given.get("aria-hidden") == "true" or bool(re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")))
+    own = 0.0 if role in FURNITURE_ROLES or hidden or tag in FURNITURE_TAGS and not (tag == "header" and parent.article) else 1.0
+    if own and tag not in ("html", "body", "main"):
+        own = _named(given.get("class", "") + " " + given.get("id", ""))
     article = tag in ("article", "main") or role == "main" or given.get("itemprop", "").lower() == "articlebody"
-    return Element(tag, parent, tag, own or bool(parent and parent.furniture), article or bool(parent and parent.article), parent.depth + 1 if parent else 0)
+    return Element(tag, parent, tag, min(own, parent.weight), article or parent.article, parent.depth + 1)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with the innermost block element of each."""
-    root = Element("", None, "", False, False, 0)
+    root = Element("", None, "", 1.0, False, 0)
     stack, found, at, links = [root], [Block(root)], 0, 0
 
     def say(raw: str, decode: bool = True) -> None:
@@ -160,7 +174,7 @@ def blocks_of(page: str) -> list[Block]:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in INLINE and made.furniture == stack[-1].furniture:
+        if tag in INLINE and made.weight == stack[-1].weight:
             stack.append(made)
         else:
             stack.append(made)
@@ -187,40 +201,46 @@ def _path(element: Element) -> tuple[str, ...]:
     return tuple(reversed(out))
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused score of each tag path: text and punctuation per block of the path, smoothed along the page."""
-    paths = [_path(b.element) for b in blocks]
-    total: dict[tuple[str, ...], list[float]] = {}
-    for b, p in zip(blocks, paths, strict=True):
-        t = total.setdefault(p, [0, 0, 0])
+#: A tag path and the weight of its blocks.
+Key = tuple[tuple[str, ...], float]
+
+
+def path_scores(blocks: list[Block], keys: list[Key]) -> dict[Key, float]:
+    """Fused score of each tag path: text and punctuation per block of the path, smoothed along the page, times the weight."""
+    total: dict[Key, list[float]] = {}
+    for b, k in zip(blocks, keys, strict=True):
+        t = total.setdefault(k, [0, 0, 0])
         t[0] += 1
         t[1] += max(0, len(b.text) - b.linked)
         t[2] += len(PUNCTUATION.findall(b.text))
-    ratio = {p: (chars / n) * math.log(2 + punctuation / n) for p, (n, chars, punctuation) in total.items()}
-    raw = [ratio[p] for p in paths]
+    ratio = {k: (chars / n) * math.log(2 + punctuation / n) for k, (n, chars, punctuation) in total.items()}
+    raw = [ratio[k] for k in keys]
     half = len(KERNEL) // 2
-    smooth = []
-    for i in range(len(raw)):
-        near = [(KERNEL[k + half], raw[i + k]) for k in range(-half, half + 1) if 0 <= i + k < len(raw)]
-        smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-    out: dict[tuple[str, ...], float] = {}
-    for p, s in zip(paths, smooth, strict=True):
-        n = total[p][0]
-        out[p] = out.get(p, 0.0) + math.sqrt(s * ratio[p]) / n
+    out: dict[Key, float] = {}
+    for i, k in enumerate(keys):
+        near = [(KERNEL[j + half], raw[i + j]) for j in range(-half, half + 1) if 0 <= i + j < len(raw)]
+        smooth = sum(w * v for w, v in near) / sum(w for w, _ in near)
+        out[k] = out.get(k, 0.0) + k[1] * math.sqrt(smooth * ratio[k]) / total[k][0]
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The page's main text; empty for a null page or one without content."""
-    blocks = [b for b in blocks_of(page or "") if not b.element.furniture]
-    if any(b.element.article for b in blocks):
-        blocks = [b for b in blocks if b.element.article]
+    """The page's main text; empty for a null page or one without content.
+
+    Every block that isn't declared furniture has a path score, and only
+    paths near the best score choose. Inside the content element that they
+    span, blocks of a lower score stay too if nothing hints at furniture and
+    they aren't mere links: headings, list items, short lines.
+    """
+    blocks = [b for b in blocks_of(page or "") if b.element.weight]
     if not blocks:
         return ""
-    scores = path_scores(blocks)
+    marked = any(b.element.article for b in blocks)
+    weights = [b.element.weight * (1.0 if b.element.article or not marked else OUTSIDE) for b in blocks]
+    keys = [(_path(b.element), w) for b, w in zip(blocks, weights, strict=True)]
+    scores = path_scores(blocks, keys)
     least = THRESHOLD * max(scores.values())
-    chosen = [scores[_path(b.element)] >= least for b in blocks]
-    # The content element spans the chosen paths; inside it only blocks of mere links go.
+    chosen = [scores[k] >= least for k in keys]
     top: Element | None = None
     for b, ok in zip(blocks, chosen, strict=True):
         if ok:
@@ -232,13 +252,15 @@ def main_text(page: str | None) -> str:
                 if not top.parent:
                     break
     spans = top is not None and (top.tag not in ("", "html", "body") or not any(b.linked for b in blocks))
-    kept = [
-        b.text
-        for b, ok in zip(blocks, chosen, strict=True)
-        if ok or (top is not None and _under(b.element, top) and spans and not (b.linked * 2 > len(b.text) and not b.element.article))
-        or (not spans and b.element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre") and b.linked * 2 <= len(b.text))
-    ]
-    return " ".join(kept)
+
+    def stays(b: Block, weight: float) -> bool:
+        """Whether a block of a path that isn't chosen belongs to the content."""
+        links = b.linked * 2 > len(b.text)
+        if top is not None and spans and _under(b.element, top):
+            return weight == 1.0 and (b.element.article or not links)
+        return not spans and weight == 1.0 and b.element.tag in PROSE and not links
+
+    return " ".join(b.text for b, ok, w in zip(blocks, chosen, weights, strict=True) if ok or stays(b, w))
 
 
 def _under(element: Element, top: Element) -> bool:
