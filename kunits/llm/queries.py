@@ -24,8 +24,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = url_rules.parsed(table(spark, sf_dir, "pages"))
-    return url_rules.judge(rows, url_rules.mine(rows, table(spark, sf_dir, "labels")))
+    rows, labels = url_rules.parsed(table(spark, sf_dir, "pages")), table(spark, sf_dir, "labels")
+    return url_rules.judge(rows, url_rules.mine(rows, labels), default=url_rules.default_verdict(rows, labels))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
