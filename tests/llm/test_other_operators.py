@@ -46,23 +46,27 @@ def test_nearest_with_few_or_no_candidates(spark):
     assert adaptive_scan.nearest(few.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_nearest_recall_with_many_lists(spark):
-    sf = "/root/testdata/check_s"
-    try:
-        table = spark.read.parquet(f"{sf}/embeddings.parquet")
-    except Exception:
-        pytest.skip("no larger table here")
-    rows = table.select("vec_id", "embedding").toPandas()
-    v = np.stack(rows.embedding).astype(float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    ids = rows.vec_id.to_numpy()
-    found = adaptive_scan.nearest(table, F.col("vec_id") % 500 == 0).toPandas()
+def test_nearest_recall_with_many_lists(spark, monkeypatch):
+    """More vectors than a block holds: lists, blocks of lists and of queries, ties across them."""
+    monkeypatch.setattr(adaptive_scan, "BLOCK", 64)
+    monkeypatch.setattr(adaptive_scan, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(3)
+    v = (rng.standard_normal((60, 16))[rng.integers(0, 60, 5000)] + 0.4 * rng.standard_normal((5000, 16))).astype(np.float32)
+    v[4000:4010] = v[0]  # copies of a query: ties at every rank
+    table = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], VECTORS)
+    found = adaptive_scan.nearest(table, F.col("vec_id") % 50 == 0).toPandas()
+    assert (found.groupby("query_id").size() == 5).all()
+    assert found.query_id.nunique() == 100
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     hit = 0
     for query, group in found.groupby("query_id"):
-        score = v @ v[np.flatnonzero(ids == query)[0]]
-        score[ids == query] = -9
-        hit += len(set(ids[np.lexsort((ids, -np.round(score, 12)))[:5]]) & set(group.vec_id))
+        score = np.round(u @ u[query], 12)
+        score[query] = -9
+        best = np.lexsort((np.arange(5000), -score))[:5]
+        hit += len(set(best) & set(group.vec_id))
+        assert np.allclose(group.sort_values("rank").score, u[group.sort_values("rank").vec_id] @ u[query], atol=1e-9)
     assert hit / len(found) >= 0.9
+    assert found[found.query_id == 0].sort_values("rank").vec_id.tolist() == [4000, 4001, 4002, 4003, 4004]
 
 
 def test_rotation_and_scan():
@@ -107,6 +111,8 @@ def test_mined_rules_decide(spark):
     mined = url_rules.mine(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     rules = [r.asDict() for r in mined.collect()]
     assert any(r["verdict"] == "block" and r["tokens"] == ["query=buy"] for r in rules)
+    # Removing the mined rules changes verdicts.
+    assert {r.verdict for r in url_rules.judge(rows, mined.limit(0)).collect()} == {"allow"}
     new = url_rules.parsed(spark.createDataFrame([(1, "http://other.example.com/x/1?buy=2", None), (2, "http://other.example.com/x/1", None)], URLS))
     got = {r.page_id: r.verdict for r in url_rules.judge(new, mined).collect()}
     assert got == {1: "block", 2: "allow"}
@@ -118,6 +124,54 @@ def test_mined_rules_decide(spark):
         assert r.verdict == best or r.rule is not None
 
 
+def test_mined_rules_of_all_parts_of_urls(spark):
+    """Deep segments, later parameters and shared parts of hosts are tokens; a URL of many parts repeated often makes no explosion."""
+    pages, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        pages.append((i, f"https://{'m' if i % 2 else 'www'}.h{i % 7}.example.org/en/a/{'gallery/' if bad else 'text/'}b/{i}?page=1&{'aff' if bad else 'ref'}=x", None))
+        labels.append((i, 1, 1 if bad else 0))
+    deep = "/".join(f"s{k}" for k in range(60))
+    for i in range(300, 340):
+        pages.append((i, f"http://deep.example.org/{deep}/{i}", None))
+        labels.append((i, 0, 0))
+    labels += [(0, None, None), (None, 0, 0)]
+    label_table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = url_rules.parsed(spark.createDataFrame(pages, URLS).withColumns({"tokens": F.lit("x"), "verdict": F.lit("y"), "rule": F.lit(1), "host": F.lit(None)}))
+    mined = url_rules.mine(rows, label_table)
+    verdicts = {r.page_id: r.verdict for r in url_rules.judge(rows, mined).collect()}
+    assert verdicts == {i: "block" if i >= 300 or i % 4 == 0 else "allow" for i, _, _ in pages}
+    new = [(1, "https://x.example.com/q/gallery/9", None), (2, f"https://deep.example.org/{deep}/7?" + "&".join(f"k{i}=v" for i in range(5000)), None), (3, "http://q.example.com/?aff=2", None), (4, "http://q.example.com/", None)]
+    got = {r.page_id: r.verdict for r in url_rules.judge(url_rules.parsed(spark.createDataFrame(new, URLS)), mined).collect()}
+    assert got[2] == "block" and got[4] == "allow"
+    assert "block" in (got[1], got[3])  # one of two tokens that always occur together stands for both
+
+
+def test_default_verdict_follows_the_labels(spark):
+    pages = [(i, f"http://h{i}.example.org/{i}", None) for i in range(30)]
+    rows = url_rules.parsed(spark.createDataFrame(pages, URLS))
+    for bad, want in ((25, "block"), (10, "allow"), (15, "allow")):
+        labels = spark.createDataFrame([(i, 0 if i < bad else 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+        assert url_rules.default_verdict(rows, labels) == want
+    assert url_rules.default_verdict(rows, labels.limit(0)) == "allow"
+
+
+def test_labels_of_the_tables_say_little_about_urls(spark):
+    """On the driver's tables no rule passes, or those that do agree with the default; with labels that follow the hosts they decide."""
+    sf = "/root/testdata/sf0.1"
+    rows = url_rules.parsed(spark.read.parquet(f"{sf}/pages.parquet"))
+    own = rows.withColumn("doc_id", url_rules.document_of(F.col("url"))).where("doc_id is not null").select("doc_id", F.col("host").contains("blog.").alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
+    labels = own.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    known = rows.withColumn("fold", F.crc32(F.col("url").cast("binary")) % 5)
+    mined = url_rules.mine(known.where("fold <> 0"), labels)
+    held = known.where("fold = 0")
+    told = url_rules.judge(held, mined).where("rule is null")
+    right = told.join(held.select("page_id", "url"), "page_id").where((F.col("verdict") == "block") == F.col("host").contains("blog."))
+    plain = url_rules.judge(held, mined.limit(0)).where("rule is null").where(F.col("host").contains("blog.")).count()
+    assert plain > 0
+    assert told.count() - right.count() < 0.5 * plain  # the default alone gets all of these wrong
+
+
 ARTICLE = (
     "<!doctype html><html><head><title>T</title><style>p{{}}</style></head><body><header><h2>Site</h2></header><nav><a href=/>Home</a> <a href=/b>More</a></nav>{before}<article{attrs}><h1>A &amp; B</h1>"
     "<p>First <b>bold</b>ed&nbsp;words, with more of them.<p>Second\n line<br>here.</p><ul><li>one<li>two, three</ul><aside>aside</aside><form><label>Mail</label><input></form><script>if (a<b) x()</script>"
@@ -149,6 +203,35 @@ def test_main_text_of_unmarked_furniture():
     assert text.count("sentence") == 6
 
 
+def test_names_of_prose_sections_are_no_furniture():
+    page = '<article><p>One two, three.</p><section id="search-methods"><p>Kept prose, long enough.</p></section><div class="related-work"><p>Earlier studies, in prose.</p></div></article>'
+    assert html_extraction.main_text(page) == "One two, three. Kept prose, long enough. Earlier studies, in prose."
+    prose = "<p>A sentence of some length, as articles have them, with commas. And one more, to be sure of it.</p>"
+    # A hint doesn't hold against the score of its path; short labels under it go.
+    assert html_extraction.main_text(f"<article>{prose}<section class=legal>{prose}</section><div class=share>Share</div></article>").count("A sentence") == 2
+    assert "Share" not in html_extraction.main_text(f"<article>{prose}<section class=legal>{prose}</section><div class=share>Share</div></article>")
+    assert html_extraction.main_text(f"<article><header><h1>Title</h1></header>{prose}</article>").startswith("Title A sentence")
+
+
+@pytest.mark.parametrize("page", ["<body><div>{teaser}</div><section>{prose}</section><p>{teaser}</p></body>", "<body><article>{teaser}</article><section>{prose}</section><p><a href=/>{teaser}</a></p></body>"])
+def test_scores_of_paths_decide(page, monkeypatch):
+    """With and without an article element, in pages without helpful names: without scores other texts come out."""
+    prose = "".join(f"<p>This is sentence number {i}, and it has a few words more. It goes on, and on, and ends somewhere.</p>" for i in range(5))
+    page = page.format(teaser="Read on", prose=prose)
+    text = html_extraction.main_text(page)
+    assert not text.endswith("Read on")
+    assert text.count("sentence") == 5
+    monkeypatch.setattr(html_extraction, "path_scores", lambda blocks, keys: dict.fromkeys(keys, 1.0))
+    assert html_extraction.main_text(page) != text
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 3000 + "<p>Deep down, there is a sentence.</p>" + "</div>" * 3000
+    assert html_extraction.main_text(deep) == "Deep down, there is a sentence."
+    many = "<article>" + "<p>One sentence, of many.</p>" * 20_000 + "</article>"
+    assert html_extraction.main_text(many).count("sentence") == 20_000
+
+
 def test_pages_against_their_article(spark):
     import html
 

@@ -36,6 +36,18 @@ def test_decontamination_of_empty_tables(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in rows] == [(3, 0, False)]
 
 
+def test_decontamination_by_shuffled_shingles(spark, monkeypatch):
+    """Long texts and copies where nothing is small enough to be broadcast."""
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    item = prose(70, 40)
+    docs = [doc(1, prose(71, 10_000) + " " + item + " " + prose(72, 10_000)), doc(2, item), doc(3, item), doc(4, prose(73, 50)), doc(5, " ".join(item.split()[5:14])), doc(6, "a b a b a b")]
+    items = [(1, item), (2, "a b")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    for d in docs:
+        n, hit, names = hits(d[1], items)
+        assert got[d[0]] == (n, hit, len(names))
+
+
 def test_substring_dedup_against_brute_force(spark):
     docs = odd_documents()
     got = substring_dedup.remove_repeats(clashing(spark, docs).drop("n_words", "n_removed"))
@@ -259,6 +271,39 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.97
 
 
+def test_quality_counts_each_statistic_once(spark):
+    """The filter of the pipeline reads counts that are bound once, however many rules there are."""
+    rules = tuple((0.1, rule_ensemble.Rule(((name, True, 0.5), ("log_chars", False, 1.0)))) for name in rule_ensemble.NAMES for _ in range(3))
+    kept = rule_ensemble.keep_good(spark.createDataFrame([doc(1, "a b")], DOCS), rule_ensemble.RuleModel(0.0, rules))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(rule_ensemble.COUNTS)
+
+
+def test_quality_scores_against_plain_python(spark):
+    """Counts, shares and rules of a fitted model, recomputed without Spark."""
+    import math
+
+    import regex
+
+    docs = [d for d in odd_documents() if d[0] is not None and d[0] < 18] + [doc(100 + i, prose(i, 5 + i) + ("\n# !! 12 | x x" if i % 2 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(d[0], d[0] % 2, 0) for d in docs], "doc_id long, quality int, toxic int")
+    given = spark.createDataFrame(docs, DOCS)
+    model = rule_ensemble.train(given, labels)
+    assert model.weighted
+    patterns = {n: regex.compile(p) for n, p in rule_ensemble.COUNTS.items()}
+
+    def score(text: str | None) -> float:
+        t = text or ""
+        of = {"chars": len(t)} | {n: sum(1 for _ in p.finditer(t)) for n, p in patterns.items()}
+        stats = {"log_chars": math.log1p(len(t))} | {n: of[a] / of[b] if of[b] else 0.0 for n, (a, b) in rule_ensemble.SHARES.items()}
+        total = model.intercept + sum(w for w, rule in model.weighted if all((stats[n] <= x) == at_most for n, at_most, x in rule.conditions))
+        return 1 / (1 + math.exp(-total))
+
+    texts = {d[0]: d[1] for d in docs if d[0] not in (7, 16, 18)}  # repeated ids; white space beyond ASCII
+    got = {r.doc_id: r.score for r in rule_ensemble.classify(given, model).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-9 for i, t in texts.items())
+
+
 def test_quality_of_odd_rows(spark):
     docs = clashing(spark, odd_documents())
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (12, 0, 0), (13, 0, 1), (4, 0, None), (None, 1, 0), (7, None, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
