@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -17,34 +18,45 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kunits.llm.common import fresh
-
 #: Labelled rows that training takes at most (those of the least hash); scoring takes all rows.
 SAMPLE = 20_000
 FOLDS, CUT = 5, 0.3
 TREES, DEPTH, PENALTY, SEED = 24, 4, 0.002, 7
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Statistics of a text as columns; all are 0 for a null or empty text."""
+#: Statistics that are counted in a text, and shares: (what is counted, among what).
+COUNTS = {
+    "upper": r"\p{Lu}",
+    "marks": r"[^\p{L}\p{N}\s.,;:'\"-]",
+    "stops": r"[.,;:](?=\s|$)",
+    "digits": r"[0-9]",
+    "bars": r"\|",
+    "again": r"(?<!\S)(\S++)(?=\s\1(?!\S))",
+    "marked_ends": r"[#$%&*!@]{2,}(?=\s|$)",
+    "lines": r"\n",
+    "words": r"\S+",
+}
+SHARES = {
+    "chars_per_word": ("chars", "words"), "upper_share": ("upper", "chars"), "mark_share": ("marks", "chars"), "stop_share": ("stops", "words"), "digit_share": ("digits", "chars"),
+    "bar_share": ("bars", "words"), "again_share": ("again", "words"), "marked_end_share": ("marked_ends", "words"), "line_share": ("lines", "words"),
+}
+NAMES = ("log_chars", *SHARES)
+
+
+def counts(text: Column, names: Iterable[str] = NAMES) -> dict[str, Column]:
+    """What is counted in a text for the statistics *names*; all 0 for a null or empty text."""
     t = F.coalesce(text, F.lit(""))
-    chars, words = F.char_length(t), F.regexp_count(t, F.lit(r"\S+"))
+    wanted = {"chars"} | {c for n in names for c in SHARES.get(n, ())}
+    return {"chars": F.char_length(t)} | {c: F.regexp_count(t, F.lit(pattern)) for c, pattern in COUNTS.items() if c in wanted}
+
+
+def features(of: Mapping[str, Column], names: Iterable[str] = NAMES) -> dict[str, Column]:
+    """The statistics *names* from the counts of a text; shares of nothing are 0."""
 
-    def share(pattern: str, of: Column) -> Column:
-        return F.coalesce(F.try_divide(F.regexp_count(t, F.lit(pattern)).cast("double"), of.cast("double")), F.lit(0.0))
+    def share(part: str, whole: str) -> Column:
+        return F.coalesce(F.try_divide(of[part].cast("double"), of[whole].cast("double")), F.lit(0.0))
 
-    return {
-        "log_chars": F.log1p(chars.cast("double")),
-        "chars_per_word": F.coalesce(F.try_divide(chars.cast("double"), words.cast("double")), F.lit(0.0)),
-        "upper_share": share(r"\p{Lu}", chars),
-        "mark_share": share(r"[^\p{L}\p{N}\s.,;:'\"-]", chars),
-        "stop_share": share(r"[.,;:](?=\s|$)", words),
-        "digit_share": share(r"[0-9]", chars),
-        "bar_share": share(r"\|", words),
-        "again_share": share(r"(?<!\S)(\S++)(?=\s\1(?!\S))", words),
-        "marked_end_share": share(r"[#$%&*!@]{2,}(?=\s|$)", words),
-        "line_share": share(r"\n", words),
-    }
+    return {n: share(*SHARES[n]) if n in SHARES else F.log1p(of["chars"].cast("double")) for n in names}
 
 
 @dataclass(frozen=True)
@@ -65,6 +77,10 @@ class RuleModel:
     intercept: float
     weighted: tuple[tuple[float, Rule], ...]
 
+    def names(self) -> list[str]:
+        """The statistics that the rules read."""
+        return sorted({name for _, rule in self.weighted for name, _, _ in rule.conditions})
+
     def score(self, of: dict[str, Column]) -> Column:
         total = F.lit(self.intercept)
         for weight, rule in self.weighted:
@@ -104,9 +120,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     given = documents.select(ids.alias("id"), F.col(text_col).alias("text")).where("id is not null").join(F.broadcast(known), "id")  # at most *sample* rows
-    of = features(F.col("text"))
-    names = list(of)
-    rows = sorted(given.select("label", *(c.alias(n) for n, c in of.items())).take(2 * sample))  # bounded, as the sample is
+    names = list(NAMES)
+    counted = given.select("label", *(c.alias(n) for n, c in counts(F.col("text")).items()))
+    of = features({c: F.col(c) for c in counted.columns})
+    rows = sorted(counted.select("label", *(of[n].alias(n) for n in names)).take(2 * sample))  # bounded, as the sample is
     share = sum(r[0] for r in rows) / len(rows) if rows else 0.5
     if share in (0.0, 1.0) or not rows:
         inside = min(max(share, 0.01), 0.99)
@@ -133,14 +150,18 @@ def classify(documents: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
     Native columns only, no shuffle. Null texts score as empty ones; a null id
     isn't held out; repeated rows are scored each; other columns don't matter.
     """
-    base = documents.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for n, c in features(F.col(text_col)).items()))
-    at = {n: F.col(n) for n in features(F.lit(""))}
-    return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(at).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    of = counts(F.col(text_col), model.names())
+    base = documents.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for n, c in of.items()))
+    score = model.score(features({n: F.col(n) for n in of}, model.names()))
+    return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(documents: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """The rows of *documents* that the model predicts as good, with their own columns."""
-    stats = {fresh(documents, f"stat_{n}"): (n, c) for n, c in features(documents[text_col]).items()}
-    base = documents.select("*", *(c.alias(k) for k, (_, c) in stats.items()))
-    at = {n: F.col(k) for k, (n, _) in stats.items()}
-    return base.where(model.score(at) >= CUT).select(*(F.col(f"`{c}`") for c in documents.columns))
+    """The rows of *documents* that the model predicts as good, with their own columns.
+
+    The counts are bound once, in a struct that the rules read: a filter over
+    plain columns would be pushed below them and repeat each count in each rule.
+    """
+    of = counts(documents[text_col], model.names())
+    bound = F.array(F.struct(*(c.alias(n) for n, c in of.items())))
+    return documents.where(F.exists(bound, lambda s: model.score(features({n: s[n] for n in of}, model.names())) >= CUT))
