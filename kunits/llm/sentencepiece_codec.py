@@ -129,6 +129,8 @@ class PieceModel:
         """Whether BPE keeps piece b after piece a (-1: after nothing)."""
         key = a << 32 | b
         if key not in self._follows:
+            if len(self._follows) > KEPT_WORDS:
+                self._follows.clear()
             after = [self.texts[a]] if a >= 0 else []
             self._follows[key] = self._merged("".join(after) + self.texts[b]) == [*after, self.texts[b]]
         return self._follows[key]
