@@ -29,10 +29,12 @@ WINDOW = 20
 #: A perfect difference cover: every remainder modulo 13 is a difference of two of these (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Words hashed together in a task; anchors that a bucket should hold.
-CHUNK, BUCKET = 1_500_000, 1_000_000
+CHUNK, BUCKET = 1_000_000, 1_000_000
 #: Bytes of text whose documents' repeats are put together in a task.
 PART = 64_000_000
 LATE = 2**63 - 1  # the document id that stands for null
+#: Word hashes that a worker keeps.
+KEPT_HASHES = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,7 +42,7 @@ class _Hashes(dict):
     """64-bit hashes of words; bounded by clearing."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KEPT_HASHES:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -97,7 +99,7 @@ def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PACKED = "bucket int, docs binary, marks binary, sizes binary, keys binary, places binary"
 _NAMES = ["bucket", "docs", "marks", "sizes", "keys", "places"]
 _REPLY = "part int, docs binary, marks binary, sizes binary, places binary"
-_RUNS = "doc long, marks binary, sizes binary, runs binary"
+_RUNS = "doc long, mark long, runs binary"
 _ANCHOR, _LONG = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
@@ -111,11 +113,9 @@ def _blocks(deal: np.ndarray, buckets: int, docs: np.ndarray, marks: np.ndarray,
     """Packed blocks of entries, dealt by a hash."""
     bucket = ((deal >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        some = order[ends[b] : ends[b + 1]]
+    for some in np.split(order, _edges(bucket[order])[1:]):  # the buckets that occur, however many there are
         if len(some):
-            yield _pack(b, docs, marks, row[some], place[some], keys[some])
+            yield _pack(int(bucket[some[0]]), docs, marks, row[some], place[some], keys[some])
 
 
 def _settled(buckets: int, docs: np.ndarray, marks: np.ndarray, row: np.ndarray, place: np.ndarray, keys: np.dtype) -> Iterator[tuple]:
@@ -173,13 +173,8 @@ def _runs_of(back: int):
         runs = np.stack([first[at], last[np.r_[at[1:], len(doc)] - 1]], axis=1).astype("<i4") if len(at) else np.empty((0, 2), "<i4")
         doc, mark = doc[at], mark[at]
         heads = _edges(doc, mark)
-        sizes = np.diff(np.r_[heads, len(doc)]).astype("<i4")
-        tops = _edges(doc[heads])
-        rows = []
-        for a, b in zip(tops, np.r_[tops[1:], len(heads)], strict=True):
-            low, high = heads[a], heads[b] if b < len(heads) else len(doc)
-            rows.append((doc[low], mark[heads[a:b]].tobytes(), sizes[a:b].tobytes(), runs[low:high].tobytes()))
-        return pd.DataFrame(rows, columns=["doc", "marks", "sizes", "runs"])
+        rows = [(doc[a], mark[a], runs[a:b].tobytes()) for a, b in zip(heads, np.r_[heads[1:], len(doc)].astype(int), strict=True)]
+        return pd.DataFrame(rows, columns=["doc", "mark", "runs"])
 
     return merge
 
@@ -191,15 +186,14 @@ def _anchor_stage(buckets: int, parts: int, window: int):
     cover[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, counts, h in _chunks(batches, 1):
-            docs = np.array([r[0] for r in rows], np.int64)
+        for rows, counts, h in _chunks(batches, 2):
+            docs, marks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             row, place = _places(counts)
             at = np.flatnonzero(cover[place % PERIOD] & (place <= counts[row] - size))
             key = _rolled(h, at, size, _M1)
             row, place = row[at], place[at]
             _, first, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             twice, first = np.flatnonzero(times[inverse] > 1), np.sort(first)
-            marks = np.zeros(len(docs), np.int64)
             out = list(_settled(buckets, docs, marks, row[twice], place[twice], _ANCHOR))
             out += _blocks(key[first], buckets, docs, marks, row[first], place[first], key[first].astype(_ANCHOR))
             yield _batch(out)
@@ -234,7 +228,7 @@ def _window_stage(buckets: int, parts: int, window: int):
             base = np.cumsum(counts) - counts
             near = np.zeros(len(h) + 1, np.int32)
             for (_, _, runs, *_), n, low in zip(rows, counts, base, strict=True):
-                runs = np.minimum(np.frombuffer(runs, "<i4").astype(np.int64), n)  # another row of this id may have had them
+                runs = np.frombuffer(runs, "<i4").astype(np.int64)
                 np.add.at(near, low + runs[::2], 1)
                 np.add.at(near, low + np.minimum(runs[1::2] + 1, n), -1)
             row, place = _places(counts)
@@ -258,14 +252,6 @@ def _window_stage(buckets: int, parts: int, window: int):
     return run, reduce
 
 
-def _own_runs(mark: int, marks: bytes, sizes: bytes, runs: bytes) -> np.ndarray:
-    """The runs of the text with this mark: rows of (first, last)."""
-    at = np.flatnonzero(np.frombuffer(marks, "<i8") == mark)
-    ends = np.r_[0, np.cumsum(np.frombuffer(sizes, "<i4"))]
-    every = np.frombuffer(runs, "<i4").reshape(-1, 2)
-    return every[ends[at[0]] : ends[at[0] + 1]] if len(at) else every[:0]
-
-
 def kept_text(text: str, runs: np.ndarray, window: int = WINDOW) -> tuple[str, int, int]:
     """(text without the words of windows that start in the runs, words before, words removed)."""
     raw = text.encode()
@@ -303,10 +289,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "do
     rest = [c for c in documents.columns if c not in (text_col, n_words, n_removed)]
     packed = documents.select(doc.alias("doc"), mark.alias("mark"), text.alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest"))
     run, reduce = _anchor_stage(buckets, parts, window)
-    anchors = packed.select("doc", "text").mapInArrow(run, _PACKED).groupBy("bucket").applyInPandas(reduce, _REPLY)
+    anchors = packed.select("doc", "mark", "text").mapInArrow(run, _PACKED).groupBy("bucket").applyInPandas(reduce, _REPLY)
     anchors = anchors.groupBy("part").applyInPandas(_runs_of(PERIOD - 1), _RUNS)
-    # Both joins take the same columns, so that Spark shuffles the texts once.
-    asked = packed.join(anchors, "doc").select("doc", "mark", "text", "runs", "rest")
+    # Both joins take the same columns, so that Spark shuffles the texts once; with the mark of the text
+    # among the keys, rows without an id are dealt by their texts.
+    asked = packed.join(anchors, ["doc", "mark"]).select("doc", "mark", "text", "runs", "rest")
     run, reduce = _window_stage(buckets, parts, window)
     found = asked.mapInArrow(run, _PACKED).groupBy("bucket").applyInPandas(reduce, _REPLY)
     found = found.groupBy("part").applyInPandas(_runs_of(0), _RUNS)
@@ -318,12 +305,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "do
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out: list[tuple[str | None, int, int]] = []
-                for mark, text, marks, sizes, runs in zip(*(part.column(c).to_pylist() for c in ("mark", "text", "marks", "sizes", "runs")), strict=True):
-                    own = _own_runs(mark, marks, sizes, runs) if marks else ()
-                    out.append(kept_text(text, own, window) if len(own) else (text, len(words(text)), 0))
+                for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
+                    out.append(kept_text(text, np.frombuffer(runs, "<i4").reshape(-1, 2), window) if runs else (text, len(words(text)), 0))
                 texts, before, gone = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], ["rest", "text", "n_words", "n_removed"])
 
-    done = packed.join(found, "doc", "left").select("mark", "text", "marks", "sizes", "runs", "rest").mapInArrow(cut, schema)
+    done = packed.join(found, ["doc", "mark"], "left").select("text", "runs", "rest").mapInArrow(cut, schema)
     columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns if c not in (n_words, n_removed)]
     return done.select(*columns, F.col("n_words").alias(n_words), F.col("n_removed").alias(n_removed))
