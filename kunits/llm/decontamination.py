@@ -4,7 +4,7 @@ Windows of benchmark items are sets of word shingles. Shingles are ordered by
 rarity, counted over the whole corpus. Since every shingle of a window must
 occur, the window's prefix is its rarest shingle alone; documents are joined
 on it. Length and position bounds drop starts where the window doesn't fit,
-and the words around the shared shingle decide exact containment.
+and the words at that place of the text decide exact containment.
 """
 
 from __future__ import annotations
@@ -49,55 +49,66 @@ def shingles_of(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return placed.withColumn("hash", F.xxhash64(F.array_join(F.slice("win", F.col("offset") + 1, F.col("length")), " ")))
 
 
-def matches(docs: DataFrame, key: str, text_col: str, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Exact occurrences of windows in documents: key, start (from 1), size, items."""
+def placed_shingles(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> DataFrame:
+    """key, at (from 1), length, hash: the shingles of all *lengths* in each text, in one pass."""
+    split = docs.select(key, words(F.col(text_col)).alias("w"))
+    # A row for each position with the words that follow; fewer than the longest shingle at the end of a text.
+    runs = F.arrays_zip(*(F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(max(lengths))))
+    placed = split.select(key, F.posexplode(runs).alias("at", "run"))
+
+    def hashed(n: int) -> Column:
+        return F.xxhash64(F.concat_ws(" ", *(F.col("run")[f"w{i}"] for i in range(n))))
+
+    at = (F.col("at") + 1).alias("at")
+    if len(lengths) == 1:
+        whole = placed.where(F.col("run")[f"w{lengths[0] - 1}"].isNotNull()) if lengths[0] > 1 else placed
+        return whole.select(key, at, F.lit(lengths[0]).alias("length"), hashed(lengths[0]).alias("hash"))
+    each = F.array(*(F.struct(F.lit(n).alias("length"), F.when(F.col("run")[f"w{n - 1}"].isNotNull(), hashed(n)).alias("hash")) for n in lengths))
+    return placed.select(key, at, F.inline(each)).where("hash is not null")
+
+
+def matches(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Exact occurrences of windows in texts: key, start (from 1), size, items.
+
+    *docs*: key, text; rows of one key have equal texts. Shingles are joined
+    without the texts; only texts that hold a window's prefix are read again.
+    """
     parts = written(shingles_of(windows, shingle), "shingles")
     known = parts.groupBy("hash", "length").agg(F.count("*").alias("n"))
     lengths = sorted(r.length for r in parts.select("length").distinct().limit(shingle).collect())  # at most *shingle* sizes
     if not lengths:
-        return docs.sparkSession.createDataFrame([], T.StructType([docs.schema[key], *T.StructType.fromDDL("start int, size int, items array<string>").fields]))
+        return docs.sparkSession.createDataFrame([], T.StructType([docs.schema["key"], *T.StructType.fromDDL("start int, size int, items array<string>").fields]))
     few = known.count() <= BROADCAST_SHINGLES
     known = F.broadcast(known) if few else known
-    split = docs.select(key, words(F.col(text_col)).alias("w"))
-    reach = window - min(shingle, window)
-    hits = []
-    for n in lengths:
-        # One row for each run of n words, with the words that a window around it could span.
-        runs = F.arrays_zip(*(F.slice("w", i + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)))
-        placed = split.select(key, "w", F.posexplode(runs).alias("at", "run"))
-        placed = placed.withColumn("hash", F.xxhash64(F.concat_ws(" ", *(F.col("run")[f"w{i}"] for i in range(n)))))
-        found = placed.join(known.where(F.col("length") == n).select("hash"), "hash")
-        low = F.greatest(F.col("at") - reach, F.lit(0))
-        hits.append(found.select(key, "hash", F.lit(n).alias("length"), (F.col("at") + 1).alias("at"), (low + 1).alias("low"), F.slice("w", low + 1, window + reach).alias("near")))
-    seen = hits[0]
-    for more in hits[1:]:
-        seen = seen.unionByName(more)
-    seen = written(seen, "shingle-hits")
+    seen = written(placed_shingles(docs, "key", "text", lengths).join(known.select("hash", "length"), ["hash", "length"]), "shingle-hits")
     rarity = seen.groupBy("hash", "length").agg(F.count("*").alias("freq"))
     ranked = parts.join(rarity, ["hash", "length"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     # The prefix: the rarest shingle of each window; where it never occurs the window can't.
     prefix = ranked.groupBy("win", "size", "items", "length").agg(F.min_by(F.struct("hash", "offset", "freq"), F.struct("freq", "hash", "offset")).alias("p"))
     prefix = prefix.where("p.freq > 0").select("win", "size", "items", "length", "p.hash", "p.offset")
     prefix = F.broadcast(prefix) if few else prefix  # no more windows than shingles
-    start = F.col("at") - F.col("offset")
-    pairs = seen.join(prefix, ["hash", "length"]).withColumn("start", start)
-    fits = (F.col("start") >= F.col("low")) & (F.col("start") >= 1) & (F.col("start") - F.col("low") + F.col("size") <= F.size("near"))
-    same = F.slice("near", F.greatest(F.col("start") - F.col("low") + 1, F.lit(1)), F.col("size")) == F.col("win")
-    return pairs.where(fits).where(same).select(key, "start", "size", "items")
+    start = (F.col("at") - F.col("offset")).alias("start")
+    pairs = seen.join(prefix, ["hash", "length"]).select("key", start, "size", "win", "items").where("start >= 1")
+    pairs = written(pairs.groupBy("key").agg(F.collect_set(F.struct("start", "size", "win", "items")).alias("asked")), "prefix-hits")
+    keys = F.broadcast(pairs.select("key")) if pairs.count() <= BROADCAST_SHINGLES else pairs.select("key")
+    texts = docs.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    split = texts.join(pairs, "key").select("key", words(F.col("text")).alias("w"), "asked").select("key", "w", F.inline("asked"))
+    fits = F.col("start") + F.col("size") - 1 <= F.size("w")
+    return split.where(fits & (F.slice("w", F.col("start"), F.col("size")) == F.col("win"))).select("key", "start", "size", "items")
 
 
-def hit_spans(found: DataFrame, key: str) -> DataFrame:
+def hit_spans(found: DataFrame) -> DataFrame:
     """key, n_hit (words inside any window), n_items, items_sha256."""
-    from pyspark.sql import Window as W
+    spans = F.array_sort(F.collect_set(F.struct("start", F.col("size").alias("size"))))
+    each = found.groupBy("key").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("every"))
+
+    def covered(so_far: Column, span: Column) -> Column:
+        end = span["start"] + span["size"]
+        more = F.greatest(end - F.greatest(span["start"], so_far["reached"]), F.lit(0))
+        return F.struct((so_far["hit"] + more).alias("hit"), F.greatest(so_far["reached"], end).alias("reached"))
 
-    spans = found.groupBy(key, "start").agg(F.max("size").alias("size"))
-    before = W.partitionBy(key).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    end = F.col("start") + F.col("size")
-    spans = spans.withColumn("reached", F.coalesce(F.max(end).over(before), F.lit(0)))
-    hit = spans.groupBy(key).agg(F.sum(F.greatest(end - F.greatest(F.col("start"), F.col("reached")), F.lit(0))).cast("long").alias("n_hit"))
-    items = found.select(key, "items").distinct().select(key, F.explode("items").alias("item")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("all"))
-    items = items.select(key, F.size("all").cast("long").alias("n_items"), F.sha2(F.array_join("all", ","), 256).alias("items_sha256"))
-    return hit.join(items, key)
+    hit = F.aggregate("spans", F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reached")), covered)["hit"]
+    return each.select("key", hit.cast("long").alias("n_hit"), F.size("every").cast("long").alias("n_items"), F.sha2(F.array_join("every", ","), 256).alias("items_sha256"))
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,8 +119,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     Repeated rows and null doc_ids get a row each; other columns don't matter.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = matches(docs.withColumn("key", text_key("text")), "key", "text", item_windows(items, window), window, shingle)
-    spans = hit_spans(found, "key")
+    spans = hit_spans(matches(docs.withColumn("key", text_key("text")), item_windows(items, window), window, shingle))
     counted = docs.select("doc_id", text_key("text").alias("key"), word_count(F.col("text")).alias("n_words"))
     zero = F.lit(0).cast("long")
     return counted.join(spans, "key", "left").select(
@@ -125,5 +135,5 @@ def clean(documents: DataFrame, items: DataFrame, window: int = WINDOW, text_col
     """The rows of *documents* without any window of an item, with their own columns."""
     key = fresh(documents, "text_key")
     keyed = documents.withColumn(key, text_key(documents[text_col]))
-    found = matches(keyed.select(F.col(key).alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", item_windows(items, window), window)
+    found = matches(keyed.select(F.col(key).alias("key"), F.col(f"`{text_col}`").alias("text")), item_windows(items, window), window)
     return keyed.join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
