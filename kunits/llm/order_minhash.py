@@ -45,6 +45,8 @@ HEAD = 32
 SLACK = 1e-6
 #: Keys of 16 bytes that are broadcast at most; beyond, texts are joined by shuffling.
 BROADCAST_KEYS = 400_000
+#: Word hashes that a worker keeps.
+KEPT_HASHES = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.default_rng(17).integers(1, 2**63, 256).astype(np.uint64)
 _WORD = re.compile(r"[^\W_]+")
@@ -52,7 +54,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > KEPT_HASHES:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -219,7 +221,7 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
         order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)), F.lit(turn))
         heads = open_rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "label", "marks")).alias("head"))
         enough = (_agreeing("marks", "head.marks") >= AGREED) | (F.least("n", "head.n") <= SHORT)
-        pairs = open_rows.join(heads, "key").where(_apart("head", least) & enough).select("node", F.col("head.node").alias("leader")).distinct()
+        pairs = open_rows.join(written(heads, "heads"), "key").where(_apart("head", least) & enough).select("node", F.col("head.node").alias("leader")).distinct()
         labels = joined(pairs, labels)
         open_rows = written(left_of(open_rows, labels), "buckets")
         if open_rows.isEmpty():
@@ -229,9 +231,9 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
 
 
 def _opened(rows: DataFrame) -> DataFrame:
-    """The rows of keys with two components at least."""
+    """The rows of keys with two components at least. The keys are written first, so that Spark can split the join at a common one."""
     several = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    return rows.join(several.select("key"), "key", "left_semi")
+    return rows.join(written(several.select("key"), "keys"), "key", "left_semi")
 
 
 def _agreeing(marks: str, others: str) -> Column:
@@ -270,7 +272,7 @@ def _by_rarest(texts: DataFrame, nodes: DataFrame, shingle: int, least: float) -
     n = F.size("tokens")
     first = F.posexplode(F.slice("tokens", 1, n - F.ceil(n * least - SLACK).cast("int") + 1)).alias("at", "key")
     each = each.join(nodes, "node").select("node", "label", "marks", n.alias("n"), F.slice("tokens", 1, HEAD).alias("head"), first)
-    rows = written(_opened(each.where(F.shiftright("key", 48) > 1)), "rarest")
+    rows = written(_opened(written(each.where(F.shiftright("key", 48) > 1), "rarest")), "shared")
     per = rows.groupBy("key", "label").agg(F.count("*").alias("members"))
     major = written(per.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("major")), "majors")
     rows = rows.join(major, "key")
