@@ -10,6 +10,7 @@ from kunits.functions import lang
 from kunits.functions.text import clean, clean_text, json_text, unique_first
 from kunits.schema import BLOCK_KINDS, LAYOUT_KINDS, LOCATOR
 
+#: Lines that are noise by themselves (fixed values).
 PAGE_OR_CONTENTS = r"(?i)^(第\s*\d+\s*页|page\s+\d+|目录|table of contents)$"
 BARE_SIGNATURE = r"(?i)^(签字|签名|signature|免责声明|disclaimer)\s*[:：]?$"
 #: Line classes of Markdown and plain text (fixed values).

@@ -152,7 +152,7 @@ def validate_chunks(chunks: DataFrame, id_col: str) -> DataFrame:
     w = W.partitionBy(id_col).orderBy("chunk_no")
     before, ended = F.lag("start").over(w), F.lag("end").over(w)
     ok = (before.isNull() & (F.col("start") == 0)) | ((F.col("start") > before) & (F.col("start") <= ended))
-    return chunks.select(id_col, ok.alias("ok")).groupBy(id_col).agg(F.every("ok").alias("valid"))
+    return chunks.select(id_col, F.coalesce(ok, F.lit(False)).alias("ok")).groupBy(id_col).agg(F.every("ok").alias("valid"))
 
 
 def breadcrumbs(lines: DataFrame, id_col: str, order: str = "ord", text_col: str = "text") -> DataFrame:

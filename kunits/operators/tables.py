@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kunits.functions.numbers import column_number
 from kunits.functions.text import nfkc
 
+#: What counts as an empty cell, a header and a subject; header rows that a table has at most (fixed values).
 EMPTY_CELL = r"(?i)^(?:[-—/\\]|n/?a|无|合计|小计|序号)$"
 HEADER_WORDS = r"(?i)材料|产品|部位|位置|区域|系统|规格|型号|单位|性能|要求|做法|施工|验收|责任|适用|备注|名称"
 SUBJECT_WORDS = r"(?i)材料|产品|名称|部位|位置|区域|系统|做法"

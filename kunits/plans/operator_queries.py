@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kunits.functions import lang, numbers, text
-from kunits.operators import ops, provenance
-from kunits.plans import writer
+from kunits.operators import candidates, gate, ops, provenance, records, split, tables, units
+from kunits.plans import commit, writer
 from kunits.plans.queries import _t, query
 from kunits.schema import KIND_FOLDER, KIND_PREFIX, PRODUCTION
 from kunits.streaming import events as E
@@ -569,3 +569,176 @@ SELECT event_id, coalesce((event_type = 'purchase' AND ts = done) OR done IS NUL
 def late_progress(spark: SparkSession, sf: str) -> DataFrame:
     """T-04: progress after a user's first purchase is late."""
     return E.late_progress(_t(spark, sf, "events"), "user_id", "ts", "event_type", ("purchase",)).select("event_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+_CELLS = "SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS \"row\", CAST(l_suppkey % 4 AS INTEGER) AS col, CASE WHEN l_partkey % 3 = 0 THEN '' WHEN l_partkey % 7 = 0 THEN 'n/a' ELSE 'v' || (l_partkey % 50) END AS value, l_partkey % 2 = 0 AS merged, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey % 4 ORDER BY l_partkey, l_suppkey) AS n FROM lineitem"
+_FULL = "value <> '' AND NOT regexp_matches(value, '(?i)^(?:[-—/\\\\]|n/?a|无|合计|小计|序号)$')"
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as cells of their order's table, one for each place."""
+    from pyspark.sql import Window as W
+
+    value = F.when(F.col("l_partkey") % 3 == 0, "").when(F.col("l_partkey") % 7 == 0, "n/a").otherwise(F.concat(F.lit("v"), (F.col("l_partkey") % 50).cast("string")))
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("row"), (F.col("l_suppkey") % 4).cast("int").alias("col"), value.alias("value"), (F.col("l_partkey") % 2 == 0).alias("merged"), "l_partkey", "l_suppkey")
+    first = F.row_number().over(W.partitionBy("l_orderkey", "row", "col").orderBy("l_partkey", "l_suppkey"))
+    return rows.withColumns({"n": first, "ord": F.lit(0)}).where("n = 1").drop("n", "l_partkey", "l_suppkey")
+
+
+@query(f"""
+WITH c AS (SELECT * FROM ({_CELLS}) WHERE n = 1), f AS (SELECT l_orderkey, "row" AS r, col AS c, value AS v FROM c WHERE {_FULL}),
+b AS (SELECT c.l_orderkey, c."row", c.col, arg_max(f.v, f.r * 10 + f.c) AS filled FROM c JOIN f ON c.l_orderkey = f.l_orderkey AND f.r <= c."row" AND f.c <= c.col WHERE merged AND NOT ({_FULL}) GROUP BY ALL)
+SELECT c.l_orderkey, c."row", c.col, CASE WHEN {_FULL} THEN value ELSE coalesce(filled, '') END AS value FROM c LEFT JOIN b ON c.l_orderkey = b.l_orderkey AND c."row" = b."row" AND c.col = b.col""")
+def merged_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """J-15, F-09: blank cells of merges take the last meaningful one above or before them."""
+    return tables.fill_merged(_cells(spark, sf), ["l_orderkey"]).select("l_orderkey", "row", "col", "value")
+
+
+@query(f"""
+WITH c AS (SELECT * FROM ({_CELLS}) WHERE n = 1), f AS (SELECT l_orderkey, "row", arg_min(value, col) AS label FROM c WHERE value <> '' GROUP BY 1, 2)
+SELECT l_orderkey, "row", label FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, label) AS n FROM f WHERE NOT regexp_matches(label, '^-?\\d+(\\.\\d+)?$')) WHERE n = 1""")
+def row_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A-13: labels that stand in one row of their table only."""
+    return tables.unique_row_labels(_cells(spark, sf), ["l_orderkey"]).select("l_orderkey", "row", "label")
+
+
+@query("""
+WITH r AS (SELECT s_suppkey, 1 + s_suppkey % 3 AS c1, 1 + s_suppkey % 5 AS r1, 1 + s_suppkey % 3 + s_suppkey % 2 AS c2, 1 + s_suppkey % 5 + s_suppkey % 4 AS r2 FROM supplier),
+x AS (SELECT *, unnest(range(r1, r2 + 1)) AS "row" FROM r) SELECT s_suppkey, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, "row" = r1 AND col = c1 AS anchor FROM (SELECT *, unnest(range(c1, c2 + 1)) AS col FROM x)""")
+def merge_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """J-13: the cells of merges."""
+    k = F.col("s_suppkey")
+    cell = lambda col, row: F.concat(F.char(64 + col), row.cast("string"))
+    c1, r1 = 1 + k % 3, 1 + k % 5
+    rows = _t(spark, sf, "supplier").select("s_suppkey", F.concat(cell(c1, r1), F.lit(":"), cell(c1 + k % 2, r1 + k % 4)).alias("range"))
+    return tables.expand_ranges(rows).select("s_suppkey", "row", "col", "anchor")
+
+
+@query("""
+WITH p AS (SELECT c_custkey, lower(c_mktsegment) AS content FROM customer) SELECT c_custkey, c_mktsegment AS content FROM customer WHERE NOT (c_custkey % 2 = 0)""")
+def fresh_points(spark: SparkSession, sf: str) -> DataFrame:
+    """O-03: points that a document's summary doesn't have yet, whatever their case and white space."""
+    points = _t(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("content"))
+    there = points.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit(" "), F.lower("content"), F.lit("\n")).alias("content"))
+    return tables.new_points(points, there, ["c_custkey"]).select("c_custkey", "content")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber AS chunk_no, (l_linenumber - 1) * 100 + CASE WHEN l_partkey % 40 = 0 THEN 60 ELSE 0 END AS s, l_linenumber * 100 + 20 AS e FROM lineitem),
+w AS (SELECT *, lag(s) OVER (PARTITION BY l_orderkey ORDER BY chunk_no, s) AS b, lag(e) OVER (PARTITION BY l_orderkey ORDER BY chunk_no, s) AS le FROM c)
+SELECT l_orderkey, bool_and(coalesce(CASE WHEN b IS NULL THEN s = 0 ELSE s > b AND s <= le END, false)) AS valid FROM w GROUP BY 1""")
+def chunk_order(spark: SparkSession, sf: str) -> DataFrame:
+    """X-20: chunks whose starts ascend without a gap; equal numbers stand in order of their starts."""
+    rows = _t(spark, sf, "lineitem")
+    start = (F.col("l_linenumber") - 1) * 100 + F.when(F.col("l_partkey") % 40 == 0, 60).otherwise(0)
+    chunks = rows.select("l_orderkey", F.struct(F.col("l_linenumber"), start.alias("s")).alias("chunk_no"), start.alias("start"), (F.col("l_linenumber") * 100 + 20).alias("end"))
+    return split.validate_chunks(chunks, "l_orderkey")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '# T' || turn WHEN turn % 3 = 1 THEN '## U' || turn ELSE 'body' END AS t FROM conversations),
+w AS (SELECT *, max(CASE WHEN turn % 3 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS h1, max(CASE WHEN turn % 3 = 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS h2 FROM l)
+SELECT conv_id, turn, concat_ws(' > ', CASE WHEN h1 IS NOT NULL THEN 'T' || h1 END, CASE WHEN h2 IS NOT NULL AND (h1 IS NULL OR h2 > h1) THEN 'U' || h2 END) AS breadcrumb FROM w""")
+def headings_in_force(spark: SparkSession, sf: str) -> DataFrame:
+    """W-14: the headings in force at each turn."""
+    k = F.col("turn") % 3
+    said = F.when(k == 0, F.concat(F.lit("# T"), F.col("turn").cast("string"))).when(k == 1, F.concat(F.lit("## U"), F.col("turn").cast("string"))).otherwise("body")
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", said.alias("text"))
+    return split.breadcrumbs(rows, "conv_id", "turn").select("conv_id", "turn", "breadcrumb")
+
+
+@query("""SELECT item_id, item_id % 3 <> 0 AND trim(text) <> '' AS full, item_id % 2 = 0 AS inside FROM benchmark""")
+def verifiable_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """F-03, F-04: evidence with a quote, a block and a place; quotes within their block."""
+    quote = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("  "), F.substring("text", 3, 30))).otherwise("no such quote")
+    full = gate.verifiable(F.col("text"), F.lit("b"), F.lit("block"), F.when(F.col("item_id") % 3 != 0, "p1"))
+    return _t(spark, sf, "benchmark").select("item_id", full.alias("full"), candidates.evidence_within(quote, F.col("text")).alias("inside"))
+
+
+@query("""
+WITH g AS (SELECT o_orderkey, o_orderpriority = '1-URGENT' AS hard, CASE WHEN o_custkey % 3 = 0 THEN 'accept' WHEN o_custkey % 3 = 1 THEN 'reject' END AS decision FROM orders)
+SELECT o_orderkey AS group_id, CASE WHEN decision IS NULL THEN 'open' WHEN hard AND decision = 'accept' THEN 'rejected_approval' ELSE decision END AS result FROM g""")
+def reviewed_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """C-33: reviewers' decisions; hard conflicts can't be approved."""
+    orders = _t(spark, sf, "orders")
+    groups = orders.select(F.col("o_orderkey").alias("group_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "critical_fact_conflict").otherwise("missing_evidence").alias("root_cause"))
+    decisions = orders.where("o_custkey % 3 < 2").select(F.col("o_orderkey").alias("group_id"), F.when(F.col("o_custkey") % 3 == 0, "accept").otherwise("reject").alias("decision"))
+    return gate.group_actions(groups, decisions).select("group_id", "result")
+
+
+@query("""
+SELECT 'left' AS side, value FROM (SELECT DISTINCT c_custkey AS value FROM customer WHERE c_custkey % 5 <> 0 EXCEPT SELECT o_custkey FROM orders) UNION ALL
+SELECT 'right', value FROM (SELECT DISTINCT o_custkey AS value FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)""")
+def visible_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """O-05: what was planned against what is visible, with differences on both sides."""
+    return commit.set_difference(_t(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey"), _t(spark, sf, "orders").select("o_custkey"))
+
+
+@query(r"""
+WITH f AS (SELECT p_partkey, 'kb/' || p_partkey || '.md' AS path, 'record_id: r' || p_partkey || chr(10) || 'record_kind: project' || chr(10) AS content FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'missing_file' WHEN p_partkey % 5 = 1 THEN 'empty_file' WHEN p_partkey % 5 = 2 THEN 'identity_or_source_mismatch' WHEN p_partkey % 5 = 3 THEN 'hash_mismatch' END AS reason,
+  CASE WHEN p_partkey % 2 = 0 THEN 'unchanged' ELSE 'create' END AS disposition, CAST(CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN 1 ELSE length(content) END AS INTEGER) AS bytes FROM f""")
+def read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """C-18, C-20: what reading back shows: missing, empty, of another record, changed, or as planned."""
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    rows = _t(spark, sf, "part").select("p_partkey", F.concat(F.lit("kb/"), key, F.lit(".md")).alias("path"), F.concat(F.lit("record_id: r"), key, F.lit("\nrecord_kind: project\n")).alias("content"))
+    actions = rows.select(
+        "p_partkey", "path", F.concat(F.lit("r"), F.when(k == 2, "x").otherwise(key)).alias("record_id"), F.lit("project").alias("record_kind"), F.lit(None).cast("string").alias("owner_source_id"),
+        F.when(F.col("p_partkey") % 2 == 0, "noop").otherwise("create").alias("action"), F.sha2(F.when(k == 3, "other").otherwise(F.col("content")), 256).alias("content_hash"),
+    )
+    files = rows.where(k != 0).select("path", F.when(k == 1, " ").otherwise(F.col("content")).alias("content"))
+    return commit.verify(actions, files).select("p_partkey", "reason", "disposition", F.col("bytes").cast("int").alias("bytes"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS task_id, 'kb/' || l_partkey % 40 || '.md' AS path FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag <> 'N' AND l_linenumber <> 3)
+SELECT task_id, count(DISTINCT path) AS verified, sha256(string_agg(DISTINCT path, '|' ORDER BY path)) AS paths FROM r GROUP BY 1""")
+def verified_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """A-24, F-07, F-08: distinct final paths of the verified records of a task's own run."""
+    key = F.col("l_orderkey").cast("string")
+    rows = _t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("nth"), F.when(F.col("l_linestatus") == "F", "visible_verified").otherwise("planned").alias("state"), F.lit("r").alias("record_id"),
+        F.lit(commit.KNOWLEDGE_KINDS[0]).alias("record_kind"), F.concat(F.lit("/kb\\"), (F.col("l_partkey") % 40).cast("string"), F.lit(".md/")).alias("final_path"), F.when(F.col("l_returnflag") == "N", "other").otherwise(key).alias("run_id"), key.alias("task_run_id"),
+        F.lit("markdown").alias("vault_file_type"), F.lit("business").alias("target_library"), F.when(F.col("l_linenumber") == 3, "none").otherwise(F.sha2(key, 256)).alias("content_hash"), F.lit("t").alias("transaction_id"),
+    )
+    return commit.verified_facts(rows).select("task_id", "verified", F.sha2(F.array_join("paths", "|"), 256).alias("paths"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 AS hit FROM orders")
+def checkpointed(spark: SparkSession, sf: str) -> DataFrame:
+    """S-31, U-10: stored stages; corrupt artifacts are misses."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.lit("split").alias("stage"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("input_fingerprint"))
+    payload = F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))
+    stored = orders.where("o_orderkey % 3 <> 0").select("stage", "input_fingerprint", payload.alias("payload"), F.sha2(F.when(F.col("o_orderkey") % 2 == 0, payload).otherwise("torn"), 256).alias("payload_hash"))
+    hits, misses = commit.checkpoint_hits(orders, stored)
+    return hits.select("o_orderkey", F.lit(True).alias("hit")).unionByName(misses.select("o_orderkey", F.lit(False).alias("hit")))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, [{", ".join(_q(s) for s in _STATES)}, 'lost'][1 + event_id % {len(_STATES) + 1}] AS a, [{", ".join(_q(s) for s in _STATES)}, 'lost'][1 + (event_id // 7) % {len(_STATES) + 1}] AS b, event_id % 2 = 0 AS ok, CAST(event_id % 101 AS INTEGER) AS percent FROM events)
+SELECT event_id, CASE WHEN b = 'lost' THEN 'UNKNOWN_STATE' WHEN NOT ({" OR ".join(f"(a = {_q(a)} AND b IN ({', '.join(_q(x) for x in (a, *b))}))" for a, b in PRODUCTION.items())}) THEN 'PRODUCTION_STATE_TRANSITION_REJECTED'
+  WHEN b = 'stored' AND NOT ok THEN 'AUTHORITATIVE_MANIFEST_REQUIRED' WHEN b = 'stored' AND percent <> 100 THEN 'COMPLETED_PERCENT_MISMATCH' END AS reason FROM e""")
+def guarded_states(spark: SparkSession, sf: str) -> DataFrame:
+    """T-06: why a task may not go to a production state."""
+    names = F.array(*(F.lit(s) for s in (*_STATES, "lost")))
+    at = lambda n: F.element_at(names, (n % (len(_STATES) + 1) + 1).cast("int"))
+    k = F.col("event_id")
+    return _t(spark, sf, "events").select("event_id", commit.production_transition(at(k), at(F.floor(k / 7)), k % 2 == 0, k % 101).alias("reason"))
+
+
+@query("""
+WITH u AS (SELECT o_custkey AS source_document_id, o_orderkey AS unit_id, unnest(list_filter([CASE WHEN o_orderstatus = 'O' THEN 'ambiguous_library_route' END, CASE WHEN o_totalprice > 200000 THEN 'material_conflict' END], lambda x: x IS NOT NULL)) AS cause FROM orders)
+SELECT source_document_id, cause, 'review-' || left(sha256('["' || source_document_id || '","' || cause || '"]'), 20) AS review_id, string_agg(CAST(unit_id AS VARCHAR), '|' ORDER BY unit_id) AS unit_ids FROM u GROUP BY 1, 2""")
+def unit_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """A-07: orders as units, by why they need review."""
+    conflict = F.when(F.col("o_totalprice") > 200000, F.array(F.lit("material_conflict"))).otherwise(F.array().cast("array<string>"))
+    planned = _t(spark, sf, "orders").select(F.col("o_custkey").alias("source_document_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("unit_id"), F.struct((F.col("o_orderstatus") == "O").alias("ambiguous")).alias("route"), conflict.alias("uncertainty"))
+    return units.review_groups(planned).select("source_document_id", "cause", "review_id", F.array_join("unit_ids", "|").alias("unit_ids"))
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS kept_old, '2' AS new_value FROM events")
+def merged_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """X-46: unknown fields of a task stay, new values win."""
+    old = F.when(F.col("event_id") % 3 != 0, F.lit('{"unknown":"kept","a":"1"}')).otherwise(F.lit('{"a":"1"}'))
+    out = records.merge_unknown(old, F.lit('{"a":"2"}'))
+    return _t(spark, sf, "events").select("event_id", F.get_json_object(out, "$.unknown").eqNullSafe("kept").alias("kept_old"), F.get_json_object(out, "$.a").alias("new_value"))

@@ -431,9 +431,11 @@ def quote_containment(spark: SparkSession, sf: str) -> DataFrame:
     # The first and last word of a quote may be parts of longer words in a text: inner words make the key.
     q = q.withColumn("w", words(F.col("quote"))).withColumn("key", F.xxhash64(F.slice("w", 2, 3)))
     docs = _t(spark, sf, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    keys = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3))))).alias("key"))
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3))))).alias("key"))
     long = q.where(F.size("w") >= 5)
-    hit = keys.join(long.select("key", "quote_id", "quote"), "key").where(F.contains("text", F.col("quote"))).select("quote_id", "doc_id")
+    # Ids are joined first; only texts that share a key with a quote are fetched.
+    near = keys.join(long.select("key", "quote_id", "quote"), "key").select("doc_id", "quote_id", "quote")
+    hit = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote"))).select("quote_id", "doc_id").distinct()
     short = q.where(F.size("w") < 5).select("quote_id", "quote")  # few words: compared with every text, in blocks
     if not short.isEmpty():
         hit = hit.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("quote"))).select("quote_id", "doc_id"))
