@@ -136,12 +136,19 @@ def split_markdown(docs: DataFrame, id_col: str, text_col: str, max_chars: int =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            rows: list[tuple] = []
+            held = 0
             for doc, text in zip(pdf[id_col], pdf["text"], strict=True):
-                text, rows = text or "", []
+                text = text or ""
                 for i, c in enumerate(split_text(text, max_chars, coalesce, overlap)):
                     body = text[c["start"] - c["overlap"] : c["end"]]
                     made = hashlib.sha256(f"{c['start']}:{c['end']}:{text[c['start'] : c['end']]}".encode()).hexdigest()[:20]
                     rows.append((doc, i, f"chunk-{made}", body, c["headings"], " > ".join(c["path"]), c["start"], c["end"], c["overlap"], -(-len(body) // 3)))
+                held += len(text)
+                if held > 4_000_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=names)
 
     return docs.select(id_col, F.col(text_col).alias("text")).mapInPandas(run, f"{id_col} {key}, {CHUNKS}")

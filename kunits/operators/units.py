@@ -167,12 +167,12 @@ def review_groups(planned: DataFrame, id_col: str = "source_document_id") -> Dat
 
 def telemetry(blocks: DataFrame, regions: DataFrame, planned: DataFrame, ledger: DataFrame, reviews: DataFrame, id_col: str = "source_document_id") -> DataFrame:
     """One row a document: blocks, regions, units, coverage, compression, accepted, review, rejected."""
-    n = lambda df, name, cond=None: df.groupBy(id_col).agg((F.count_if(cond) if cond is not None else F.count("*")).alias(name))
-    rows = n(blocks, "parse_blocks")
-    noise = F.col("semantic_kind") == "noise"
+    n = lambda df, **counts: df.groupBy(id_col).agg(*(c.alias(k) for k, c in counts.items()))
+    noise, every = F.col("semantic_kind") == "noise", F.count("*")
+    rows = n(blocks, parse_blocks=every)
     for more in (
-        n(regions, "semantic_regions"), n(regions, "meaningful", ~noise), n(regions, "rejected", noise), n(planned, "planned_units"),
-        n(ledger, "covered", F.col("status").isin("covered", "merged")), n(reviews, "review"), reviews.groupBy(id_col).agg(F.sum(F.size("unit_ids")).alias("held")),
+        n(regions, semantic_regions=every, meaningful=F.count_if(~noise), rejected=F.count_if(noise)), n(planned, planned_units=every),
+        n(ledger, covered=F.count_if(F.col("status").isin("covered", "merged"))), n(reviews, review=every, held=F.sum(F.size("unit_ids"))),
     ):
         rows = rows.join(more, id_col, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
