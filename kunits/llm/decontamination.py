@@ -119,7 +119,8 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     Repeated rows and null doc_ids get a row each; other columns don't matter.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = hit_spans(matches(docs.withColumn("key", text_key("text")), item_windows(items, window), window, shingle))
+    # Written first, so that Spark can split the join at a text with many copies.
+    spans = written(hit_spans(matches(docs.withColumn("key", text_key("text")), item_windows(items, window), window, shingle)), "spans")
     counted = docs.select("doc_id", text_key("text").alias("key"), word_count(F.col("text")).alias("n_words"))
     zero = F.lit(0).cast("long")
     return counted.join(spans, "key", "left").select(
