@@ -43,7 +43,7 @@ AGREED = 3
 HEAD = 32
 #: For sums of fractions that should be whole numbers.
 SLACK = 1e-6
-#: Keys of 16 bytes that are broadcast at most; beyond, texts are joined by shuffling.
+#: Keys of 16 bytes, each with a number, that are broadcast at most; beyond, texts are joined by shuffling.
 BROADCAST_KEYS = 400_000
 #: Word hashes that a worker keeps.
 KEPT_HASHES = 150_000
@@ -181,11 +181,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
     both = pairs.join(texts, "node").select("node", "leader", F.col("text").alias("a"))
     both = both.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader")
-    return both.select("node", "leader", "a", "b").mapInArrow(run, "node binary, leader binary, ok boolean")
+    return both.select("node", "leader", "a", "b").mapInArrow(run, "node long, leader long, ok boolean")
 
 
 def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame | None:
-    """node, label: components of verified links; None without candidates. *nodes*: node, n, sketch.
+    """node, label: components of verified links; None without candidates. *nodes*: id, node, n, sketch.
+
+    In here and in the result a node is its number, the id, which takes less of
+    a shuffle than the key of a text. Sketches are bucketed by number alone;
+    what else is needed of a node joins those that are in an open bucket.
 
     Candidates are pairs that share a bucket. A bucket is open while it holds
     nodes of several components. A few rounds compare open buckets with a
@@ -194,8 +198,7 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
     are compared, but those that their rarest k-mers rule out.
     """
     marks = F.transform("sketch", lambda x: (x.bitwiseAND(F.lit(0xFFFF).cast("long")) - 32768).cast("smallint"))
-    rows = nodes.where("n > 0").select("node", "n", marks.alias("marks"), F.explode("sketch").alias("key"))
-    rows = rows.select("key", "node", "n", "marks", F.col("node").alias("label"))
+    rows = nodes.where("n > 0").select(F.explode("sketch").alias("key"), F.col("id").alias("node"), F.col("id").alias("label"))
 
     def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The components after the pairs are verified."""
@@ -208,14 +211,17 @@ def _linked(documents: DataFrame, nodes: DataFrame, text_col: str, shingle: int,
         known = buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         return _opened(known.select(*buckets.columns))
 
-    open_rows = written(_opened(rows), "buckets")
-    wanted = open_rows.select("node").distinct()
-    count = wanted.count()
+    open_rows = written(_opened(rows), "numbers")
+    about = nodes.select(F.col("id").alias("node"), F.col("node").alias("text_key"), "n", marks.alias("marks"))
+    about = written(about.join(open_rows.select("node").distinct(), "node", "left_semi"), "candidates")
+    count = about.count()
     if not count:
         return None
+    open_rows = written(open_rows.join(about.drop("text_key"), "node"), "buckets")
+    wanted = about.select("text_key", "node")
     wanted = F.broadcast(wanted) if count <= BROADCAST_KEYS else wanted
-    keyed = documents.select(F.unhex(text_key(text_col)).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-    texts = written(keyed.dropDuplicates(["node"]), "texts")  # equal texts but for one
+    keyed = documents.select(F.unhex(text_key(text_col)).alias("text_key"), F.col(text_col).alias("text")).join(wanted, "text_key")
+    texts = written(keyed.select("node", "text").dropDuplicates(["node"]), "texts")  # equal texts but for one
     labels: DataFrame | None = None
     for turn in range(ROUNDS):
         order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)), F.lit(turn))
@@ -263,7 +269,7 @@ def _by_rarest(texts: DataFrame, nodes: DataFrame, shingle: int, least: float) -
                 owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(found).view(np.int64))], ["node", "kmer"])
 
-    kmers = written(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node binary, kmer long"), "kmers")
+    kmers = written(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, kmer long"), "kmers")
     seen = kmers.groupBy("kmer").agg(F.count("*").alias("seen")).where("seen > 1")
     # Rarity above, 48 bits of the k-mer below: one number whose order is that of all k-mers. Chance equals only add candidates.
     rarity = F.least(F.coalesce("seen", F.lit(1)), F.lit(0x7FFF)).cast("long")
@@ -325,16 +331,19 @@ def _components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _grouped(documents: DataFrame, id_col: str, text_col: str, shingle: int, least: float, functions: int) -> DataFrame:
-    """doc_id, node, label for each document; label is null for texts without any characters."""
+    """doc_id, node (text key), label for each document; label is null for texts without any characters."""
     found = written(_sketched(documents, text_col, id_col, shingle, least, functions), "sketches")
     nodes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # the numbers are fixed by writing them
     links = _linked(documents, nodes, text_col, shingle, least)
     nothing = F.unhex(text_key(F.lit("")))
     rows = found.select("doc_id", "node")
     if links is None:
         labelled_rows = rows.withColumn("label", F.col("node"))
     else:
+        # A label of eight bytes can't equal a text key, which has sixteen.
+        label = F.unhex(F.lpad(F.hex("label"), 16, "0")).alias("label")
+        links = links.withColumnRenamed("node", "id").join(nodes.select("id", "node"), "id").select("node", label)
         labelled_rows = rows.join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return labelled_rows.withColumn("label", F.when(F.col("node") != nothing, F.col("label")))
 
