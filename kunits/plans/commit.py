@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,33 +58,49 @@ def commit_counts(verified: DataFrame) -> DataFrame:
 class VersionedStore:
     """Records as versioned folders with a pointer; a version shows only once its pointer is written.
 
-    ``root/v=<n>`` holds all records of version n, ``root/pointer`` names the
-    current one, ``root/manifest`` holds a row for each transaction. Paths may
-    be of any file system that Spark reads and writes.
+    ``root/v=<n>`` holds all records of version n, ``root/manifest`` a row for
+    each transaction. ``root/pointers/<i>`` names the version shown by the i-th
+    move; the last one that is whole holds, so a crash while one is written
+    shows what was shown before. A pointer is only created, never replaced: of
+    two commits that began at the same one, the later is refused. Writers of
+    one store must still take turns, since both write the same next version.
+    Paths may be of any file system that Spark reads and writes.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _moves(self) -> list[int]:
+        """Numbers of all pointers, the last one first."""
+        fs, folder = self._path("pointers")
+        names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted((int(name) for name in names if name.isdigit()), reverse=True)
+
     def version(self) -> int:
         """The visible version, 0 before the first."""
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return 0
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/pointer").collect()))["version"]  # one line
-
-    def _point(self, version: int) -> None:
-        fs, path = self._fs()
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer-{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
+        for move in self._moves():
+            lines = self.spark.read.text(f"{self.root}/pointers/{move}").collect()  # one line
+            try:
+                return json.loads("".join(r.value for r in lines))["version"]
+            except ValueError:
+                continue  # cut off by a crash
+        return 0
+
+    def _point(self, version: int, move: int) -> None:
+        """Show a version by pointer *move*, which nobody else may have made."""
+        fs, path = self._path(f"pointers/{move}")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as error:
+            if fs.exists(path):
+                raise CommitError("OPTIMISTIC_VERSION_MISMATCH", f"pointer {move} was made by another commit") from error
+            raise
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         version = self.version() if version is None else version
@@ -100,6 +117,7 @@ class VersionedStore:
             raise CommitError("CURRENT_RUN_REQUIRED", "生产提交必须绑定当前 run_id 和 task_id。")
         if blocked:
             raise CommitError("PLAN_BLOCKED", "计划包含冲突或待处理项，禁止提交")
+        move = max(self._moves(), default=0) + 1
         now = self.version()
         if expected is not None and expected != now:
             raise CommitError("OPTIMISTIC_VERSION_MISMATCH", f"expected version {expected}, found {now}")
@@ -119,14 +137,15 @@ class VersionedStore:
         self._log(now + 1, transaction, run_id, task_id, "failed" if bad else "committed", seen.count())
         if bad:
             raise CommitError("STRUCTURED_WRITE_NOT_PERSISTED", "最终知识文件集合不一致，禁止完成任务")
-        self._point(now + 1)
+        self._point(now + 1, move)
         return checked.withColumns({"transaction_id": F.lit(transaction), "run_id": F.lit(run_id), "state": F.lit("visible_verified")})
 
     def rollback(self, version: int, expected_hash: str | None = None) -> None:
         """Show an earlier version again, if the visible one is still as committed."""
+        move = max(self._moves(), default=0) + 1
         if expected_hash is not None and self.fingerprint() != expected_hash:
             raise CommitError("CHANGED_SINCE", "文件已被后续修改，停止回滚")
-        self._point(version)
+        self._point(version, move)
 
     def fingerprint(self, version: int | None = None) -> str:
         """Order-free hash of a version's ids and contents."""

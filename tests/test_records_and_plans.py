@@ -150,6 +150,14 @@ def test_commit_verify_rollback(spark, tmp_path):
     store.rollback(1, expected_hash=store.fingerprint())
     assert store.fingerprint() == mark
     assert {r.status for r in store.manifest().collect()} == {"committed", "failed"}
+    with pytest.raises(commit.CommitError) as e:  # another commit has made this pointer
+        store._point(2, 3)
+    assert (e.value.code, store.version()) == ("OPTIMISTIC_VERSION_MISMATCH", 1)
+    for move, cut in ((4, ""), (5, '{"vers')):  # crashes while a pointer is written
+        (tmp_path / "store" / "pointers" / str(move)).write_text(cut)
+        assert store.version() == 1
+    store.rollback(2)
+    assert store.version() == 2
 
 
 def test_verified_facts_and_audit(spark):
