@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kunits.llm import adaptive_scan, chat_templates, decontamination, html_extraction, order_minhash, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
+from kunits.llm import adaptive_scan, chat_templates, decontamination, filter_audit, html_extraction, order_minhash, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
 from kunits.llm.common import table
 
 #: Vocabulary file of ops 4 and 8; a parameter, the file stays where it is.
@@ -63,6 +63,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_templates.format_digests(rows)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _escaped(column: str) -> str:
     """SQL for the length that escaping adds: one for each backslash, two for each control string."""
     controls = "|".join(c.replace("|", "\\|").replace("[", "\\[").replace("]", "\\]") for c in chat_templates.CONTROL)
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
+    "op13_filter_audit": op13_filter_audit,
 }
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP2_SQL = f"""
@@ -120,4 +125,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL}
+#: Walks every order over the distinct sets of failures: what fails a step's filter and none before it goes there.
+OP13_SQL = """
+WITH l AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(bool_or(quality = 1), false) AS INTEGER) AS good, CAST(coalesce(bool_or(toxic = 1), false) AS INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part,
+  CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+  CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, k, substr(o, k, 1) AS f, substr(o, 1, k - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+m AS (SELECT part, o, k, f, n, good, toxic, contains(fails, f) AS failing, translate(before, fails, '') = before AS there, translate(fails, f, '') = '' AS alone FROM c, s),
+r AS (SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, f, coalesce(sum(n) FILTER (there AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (there AND failing), 0) AS removed,
+  coalesce(sum(n) FILTER (failing AND NOT there), 0) AS redundant, coalesce(sum(n) FILTER (failing AND alone), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (there AND failing), 0) AS good_lost, coalesce(sum(toxic) FILTER (there AND failing), 0) AS toxic_lost FROM m GROUP BY part, o, k, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL, "op13_filter_audit": OP13_SQL}
