@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kunits.llm import adaptive_scan, chat_templates, decontamination, filter_audit, html_extraction, order_minhash, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
+from kunits.llm import adaptive_scan, chat_templates, decontamination, filter_audit, html_extraction, impact_search, order_minhash, rank_profiles, rule_ensemble, sentencepiece_codec, substring_dedup, url_rules, wordpiece_counts
 from kunits.llm.common import table
 
 #: Vocabulary file of ops 4 and 8; a parameter, the file stays where it is.
@@ -63,6 +63,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_templates.format_digests(rows)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return rank_profiles.identify(documents, rank_profiles.learn(documents))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -96,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
+    "op11_language_id": op11_language_id,
+    "op12_lexical_search": op12_lexical_search,
     "op13_filter_audit": op13_filter_audit,
 }
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -125,6 +136,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Scores every pair of an item and a document that share a term.
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * c.n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * p.n * c.n) // c.l)))) AS score FROM qt JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 20
+"""
+
 #: Walks every order over the distinct sets of failures: what fails a step's filter and none before it goes there.
 OP13_SQL = """
 WITH l AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(bool_or(quality = 1), false) AS INTEGER) AS good, CAST(coalesce(bool_or(toxic = 1), false) AS INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
@@ -145,4 +169,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
