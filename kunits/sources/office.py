@@ -1,400 +1,8 @@
-"""Readers of word-processing, spreadsheet and presentation packages: bytes to block rows."""
+"""Readers of office packages, bytes to block rows: word processing, spreadsheets, presentations."""
 
-from __future__ import annotations
+from kunits.sources.markup import Block
+from kunits.sources.sheets import cells_of, letters_number, number_letters, read_xlsx
+from kunits.sources.slides import read_pptx
+from kunits.sources.word import read_docx
 
-import re
-from collections import Counter
-from dataclasses import dataclass, field
-
-from kunits.sources.archive import Package, PackageError
-
-#: Built-in number formats that are dates (fixed values).
-DATE_FORMATS = frozenset((14, 15, 16, 17, 22))
-LINES_OF_NOTES = frozenset(("sldNum", "hdr", "ftr", "dt"))
-
-
-@dataclass
-class Block:
-    kind: str
-    text: str
-    locator: str
-    metadata: dict = field(default_factory=dict)
-    eligible: bool = True
-    reason: str = ""
-
-
-def letters_number(letters: str) -> int:
-    n = 0
-    for c in letters.upper():
-        n = n * 26 + ord(c) - 64
-    return n
-
-
-def number_letters(n: int) -> str:
-    out = ""
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
-def cells_of(area: str) -> list[str]:
-    """Cells of a range such as B2:C3, row by row."""
-    corners = [re.fullmatch(r"\$?([A-Za-z]+)\$?(\d+)", c) for c in (area.split(":") * 2)[:2]]
-    if not all(corners):
-        return []
-    (c1, r1), (c2, r2) = ((letters_number(m[1]), int(m[2])) for m in corners)
-    return [f"{number_letters(c)}{r}" for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)]
-
-
-class _Paragraph:
-    def __init__(self):
-        self.text, self.style, self.outline, self.number, self.level = "", "", None, "", 0
-        self.links: list[str] = []
-        self.refs: list[str] = []
-        self.images: list[str] = []
-
-
-def _styles(package: Package) -> tuple[dict[str, dict], str]:
-    found: dict[str, dict] = {}
-    now: dict | None = None
-    language = ""
-    for kind, tag, a in package.events("word/styles.xml"):
-        if kind == "start":
-            if tag == "style":
-                now = found.setdefault(a.get("styleId", ""), {"name": "", "outline": None})
-            elif tag == "lang" and not language:
-                language = a.get("val", "")
-            elif now is not None and tag == "name":
-                now["name"] = a.get("val", "")
-            elif now is not None and tag == "outlineLvl":
-                now["outline"] = int(a.get("val", 0))
-        elif kind == "end" and tag == "style":
-            now = None
-    return found, language
-
-
-def _heading(p: _Paragraph, styles: dict[str, dict]) -> int | None:
-    style = styles.get(p.style, {})
-    if p.outline is not None:
-        return p.outline
-    if style.get("outline") is not None:
-        return style["outline"]
-    name = style.get("name") or p.style
-    return int(re.search("[1-9]", name)[0]) - 1 if re.match(r"(?i)(heading|标题)\s*[1-9]", name) else None
-
-
-def read_docx(data: bytes) -> list[Block]:
-    """Blocks of the body, headers, footers, notes and comments, in that order."""
-    package = Package(data)
-    if package.read("[Content_Types].xml") is None or "word/document.xml" not in package.entries:
-        raise PackageError("OOXML_UNSUPPORTED", "Package is not a supported DOCX")
-    styles, language = _styles(package)
-    parts = [("document", "word/document.xml")]
-    for name in sorted(package.entries):
-        if m := re.fullmatch(r"(?i)word/(header|footer)\d*\.xml", name):
-            parts.append((m[1].lower(), name))
-    parts += [(k, n) for k, n in (("footnote", "word/footnotes.xml"), ("endnote", "word/endnotes.xml"), ("comment", "word/comments.xml")) if n in package.entries]
-    return [b for kind, name in parts for b in _docx_part(package, kind, name, styles, language)]
-
-
-def _docx_part(package: Package, part: str, name: str, styles: dict, language: str) -> list[Block]:
-    out: list[Block] = []
-    links = package.relations(name)
-    paragraph: _Paragraph | None = None
-    cell: dict | None = None
-    row: list[dict] = []
-    tables = rows = places = 0
-    section, taking = 1, False
-    for kind, tag, a in package.events(name):
-        if kind == "text":
-            if taking:
-                if cell is not None:
-                    cell["text"] += tag
-                if paragraph is not None:
-                    paragraph.text += tag
-        elif kind == "start":
-            if tag == "p":
-                paragraph = _Paragraph()
-            elif tag in ("t", "instrText"):
-                taking = True
-            elif tag == "tbl":
-                tables, rows = tables + 1, 0
-            elif tag == "tr":
-                row, rows = [], rows + 1
-            elif tag == "tc":
-                cell = {"text": "", "span": 1, "vertical": "none"}
-            elif tag == "gridSpan" and cell is not None:
-                cell["span"] = int(a.get("val", 1))
-            elif tag == "vMerge" and cell is not None:
-                cell["vertical"] = a.get("val", "continue")
-            elif tag == "sectPr":
-                section += 1
-            elif paragraph is not None:
-                if tag == "pStyle":
-                    paragraph.style = a.get("val", "")
-                elif tag == "outlineLvl":
-                    paragraph.outline = int(a.get("val", 0))
-                elif tag == "numId":
-                    paragraph.number = a.get("val", "")
-                elif tag == "ilvl":
-                    paragraph.level = int(a.get("val", 0))
-                elif tag == "hyperlink":
-                    paragraph.links.append(links.get(a.get("id", ""), {}).get("target", ""))
-                elif tag in ("blip", "imagedata"):
-                    paragraph.images.append(links.get(a.get("embed") or a.get("id", ""), {}).get("target", ""))
-                elif tag in ("footnoteReference", "endnoteReference", "commentReference"):
-                    paragraph.refs.append(f"{tag}:{a.get('id', '')}")
-        elif tag in ("t", "instrText"):
-            taking = False
-        elif tag == "tc" and cell is not None:
-            row.append(cell)
-            cell = None
-        elif tag == "tr":
-            for i, c in enumerate(row, 1):
-                real = c["span"] > 1 or c["vertical"] != "none"
-                out.append(Block("table_cell", c["text"].strip(), f"{name}#table={tables}/row={rows}/cell={i}", {"part": part, "table": tables, "row": rows, "cell": i, "merge": f"{c['span']}:{c['vertical']}" if real else "none"}))
-            row = []
-        elif tag == "p" and paragraph is not None:
-            places += 1
-            if cell is None:
-                level = _heading(paragraph, styles)
-                what = "heading" if level is not None else "list_item" if paragraph.number else part
-                meta = {"part": part, "paragraph": places, "section": section, "style": paragraph.style, "language": language or "unknown"}
-                if level is not None:
-                    meta["outline_level"] = level
-                meta |= {k: " ".join(v) for k, v in (("hyperlinks", paragraph.links), ("references", paragraph.refs), ("images", paragraph.images)) if v}
-                out.append(Block(what, paragraph.text.strip(), f"{name}#section={section}/p={places}", meta))
-            paragraph = None
-    return out
-
-
-def read_xlsx(data: bytes) -> list[Block]:
-    """A block for each cell, sheets in the workbook's order."""
-    package = Package(data)
-    if "xl/workbook.xml" not in package.entries:
-        raise PackageError("OOXML_UNSUPPORTED", "Package is not a supported XLSX")
-    strings, now, taking = [], None, False
-    for kind, tag, _ in package.events("xl/sharedStrings.xml"):
-        if kind == "start" and tag == "si":
-            now = ""
-        elif kind == "end" and tag == "si":
-            strings.append(now or "")
-            now = None
-        elif tag == "t" and kind != "text":
-            taking = kind == "start"
-        elif kind == "text" and taking and now is not None:
-            now += tag
-    codes, formats, inside = {}, [], False
-    for kind, tag, a in package.events("xl/styles.xml"):
-        if tag == "cellXfs" and kind != "text":
-            inside = kind == "start"
-        elif kind == "start" and tag == "numFmt":
-            codes[int(a.get("numFmtId", 0))] = a.get("formatCode", "")
-        elif kind == "start" and tag == "xf" and inside:
-            formats.append(int(a.get("numFmtId", 0)))
-    links = package.relations("xl/workbook.xml")
-    out: list[Block] = []
-    number = 0
-    for kind, tag, a in package.events("xl/workbook.xml"):
-        if kind == "start" and tag == "sheet":
-            number += 1
-            link = links.get(a.get("r:id") or a.get("id", ""))
-            if link is None:
-                raise PackageError("OOXML_MALFORMED_RELATIONSHIP", "Worksheet relationship is missing")
-            out += _sheet(package, link["target"], a.get("name", ""), number, a.get("state", "visible"), strings, codes, formats)
-    return out
-
-
-def _cell_value(cell: dict, strings: list[str], codes: dict, formats: list[int]) -> tuple[str, str, str]:
-    """(text, type, number format)."""
-    form = formats[cell["style"]] if cell["style"] < len(formats) else 0
-    code = codes.get(form) or ("builtin-date" if form in DATE_FORMATS else "")
-    raw = cell["inline"] if cell["type"] == "inlineStr" else cell["value"]
-    if cell["type"] == "s":
-        if not raw.isdigit() or int(raw) >= len(strings):
-            raise PackageError("OOXML_MALFORMED_XML", "Shared string index is invalid")
-        return strings[int(raw)], "shared_string", code
-    kinds = {"inlineStr": "inline_string", "str": "formula_string_cache", "b": "boolean", "e": "error"}
-    if cell["type"] in kinds:
-        return {"1": "TRUE"}.get(raw, "FALSE") if cell["type"] == "b" else raw, kinds[cell["type"]], code
-    date = code == "builtin-date" or bool(re.search(r"(?i)(^|[^\\])[ymdhis]", re.sub(r'"[^"]*"', "", code)))
-    return raw, "date_serial" if date else "number", code
-
-
-def _sheet(package: Package, path: str, title: str, number: int, state: str, strings: list[str], codes: dict, formats: list[int]) -> list[Block]:
-    if path not in package.entries:
-        raise PackageError("OOXML_MALFORMED_RELATIONSHIP", "Worksheet part is missing")
-    links = package.relations(path)
-    out: dict[str, Block] = {}
-    hidden_columns: list[tuple[int, int]] = []
-    merges, drawings = [], []
-    cell: dict | None = None
-    row, hidden, taking = 0, False, ""
-    for kind, tag, a in package.events(path):
-        if kind == "text":
-            if cell is not None and taking:
-                cell[taking] += tag
-        elif kind == "start":
-            if tag == "row":
-                row, hidden = int(a.get("r", row + 1)), a.get("hidden") in ("1", "true")
-            elif tag == "col" and a.get("hidden") in ("1", "true"):
-                hidden_columns.append((int(a["min"]), int(a["max"])))
-            elif tag == "c":
-                cell = {"ref": a.get("r", ""), "type": a.get("t", "n"), "style": int(a.get("s", 0)), "value": "", "formula": "", "inline": ""}
-            elif tag in ("v", "f", "t"):
-                taking = {"v": "value", "f": "formula", "t": "inline"}[tag]
-            elif tag == "mergeCell":
-                merges.append(a.get("ref", ""))
-            elif tag == "drawing" and a.get("id") in links:
-                drawings.append(links[a["id"]]["target"])
-        elif tag in ("v", "f", "t"):
-            taking = ""
-        elif tag == "c" and cell is not None:
-            text, typed, code = _cell_value(cell, strings, codes, formats)
-            m = re.fullmatch(r"([A-Za-z]+)(\d+)", cell["ref"])
-            letters = m[1].upper() if m else ""
-            meta = {"sheet": title, "sheet_index": number, "sheet_visibility": state, "coordinate": cell["ref"], "row": int(m[2]) if m else row, "column": letters, "row_hidden": hidden, "cell_type": typed, "number_format": code}
-            meta["column_hidden"] = any(a <= letters_number(letters) <= b for a, b in hidden_columns)
-            if cell["formula"]:
-                meta |= {"formula": cell["formula"], "cached_value": cell["value"], "cached_value_status": "present" if cell["value"] else "missing"}
-            if typed == "date_serial" and text:
-                meta["date_serial"] = text
-            out[cell["ref"]] = Block("spreadsheet_cell", text, f"{path}#sheet={number}/cell={cell['ref']}", meta)
-            cell = None
-    for area in merges:
-        refs = cells_of(area)
-        for ref in refs:
-            m = re.fullmatch(r"([A-Z]+)(\d+)", ref)
-            block = out.setdefault(ref, Block("spreadsheet_cell", "", f"{path}#sheet={number}/cell={ref}", {"sheet": title, "sheet_index": number, "coordinate": ref, "row": int(m[2]), "column": m[1]}))
-            block.metadata |= {"merge": area, "merge_role": "anchor" if ref == refs[0] else "inherited", "inherited_header": out[refs[0]].text if ref != refs[0] else ""}
-    _row_labels(list(out.values()))
-    pictures = [Block("image_metadata", "", f"{d}#sheet={number}", {"sheet": title, "drawing": d}, False, "non-card metadata") for d in drawings]
-    return [*out.values(), *pictures]
-
-
-def _row_labels(blocks: list[Block]) -> None:
-    """The leftmost text of a row names it, if no other row has the same."""
-    first: dict[int, Block] = {}
-    for b in sorted(blocks, key=lambda b: letters_number(str(b.metadata.get("column", "")))):
-        if b.text and not b.metadata.get("row_hidden"):
-            first.setdefault(b.metadata["row"], b)
-    named = {r: b.text.strip() for r, b in first.items() if b.metadata.get("cell_type") != "number" and not b.metadata.get("formula")}
-    times = Counter(named.values())
-    for b in blocks:
-        label = named.get(b.metadata["row"])
-        if label and times[label] == 1:
-            b.metadata["row_identity"] = label
-
-
-def read_pptx(data: bytes) -> list[Block]:
-    """Blocks of slides in order of the presentation, each with its notes."""
-    package = Package(data)
-    if "ppt/presentation.xml" not in package.entries:
-        raise PackageError("OOXML_UNSUPPORTED", "Package is not a supported PPTX")
-    links = package.relations("ppt/presentation.xml")
-    out: list[Block] = []
-    number = 0
-    for kind, tag, a in package.events("ppt/presentation.xml"):
-        if kind == "start" and tag == "sldId":
-            number += 1
-            link = links.get(a.get("r:id", ""))
-            if link is None or link["target"] not in package.entries or not re.fullmatch(r"(?i)ppt/slides/slide[^/]*\.xml", link["target"]):
-                raise PackageError("OOXML_MALFORMED_RELATIONSHIP", "Slide relationship is missing or invalid")
-            out += _slide(package, link["target"], number)
-    return out
-
-
-def _slide(package: Package, path: str, number: int) -> list[Block]:
-    out: list[Block] = []
-    links = package.relations(path)
-    shape: dict | None = None
-    text, bullet, cell = None, False, None
-    row: list[dict] = []
-    shapes = places = tables = rows = 0
-    hidden, taking, table, pictures, charts, transition = False, False, False, [], [], ""
-    for kind, tag, a in package.events(path):
-        if kind == "text":
-            if taking:
-                if cell is not None:
-                    cell["text"] += tag
-                elif text is not None:
-                    text += tag
-        elif kind == "start":
-            if tag == "sld":
-                hidden = a.get("show") == "0"
-            elif tag == "transition":
-                transition = a.get("spd", "present")
-            elif tag in ("sp", "pic", "graphicFrame", "cxnSp") and shape is None:
-                shapes += 1
-                shape = {"n": shapes, "tag": tag, "name": "", "description": "", "placeholder": ""}
-            elif tag in ("t", "fld"):
-                taking = True
-            elif tag == "p":
-                text, bullet = "", False
-            elif tag in ("buChar", "buAutoNum"):
-                bullet = True
-            elif tag == "tbl":
-                table, tables, rows = True, tables + 1, 0
-            elif tag == "tr":
-                row, rows = [], rows + 1
-            elif tag == "tc":
-                cell = {"text": "", "span": a.get("gridSpan", "1"), "rows": a.get("rowSpan", "1"), "continued": "1" in (a.get("hMerge"), a.get("vMerge"))}
-            elif shape is not None:
-                if tag == "cNvPr":
-                    shape |= {"name": a.get("name", ""), "description": a.get("descr") or a.get("title", "")}
-                elif tag == "ph":
-                    shape["placeholder"] = a.get("type", "body")
-                elif tag in ("blip", "imagedata"):
-                    pictures.append((shape, links.get(a.get("embed") or a.get("id", ""), {}).get("target", "")))
-                elif tag == "chart":
-                    charts.append((shape, links.get(a.get("id", ""), {}).get("target", "")))
-        elif tag in ("t", "fld"):
-            taking = False
-        elif tag == "tc" and cell is not None:
-            row.append(cell)
-            cell = None
-        elif tag == "tr":
-            for i, c in enumerate(row, 1):
-                real = c["span"] != "1" or c["rows"] != "1" or c["continued"]
-                out.append(Block("table_cell", c["text"].strip(), f"{path}#slide={number}/table={tables}/row={rows}/cell={i}", {"slide": number, "table": tables, "row": rows, "column": i, "hidden": hidden, "merge": f"{c['rows']}x{c['span']}" if real else "none"}))
-            row = []
-        elif tag == "tbl":
-            table = False
-        elif tag == "p" and text is not None:
-            places += 1
-            if text.strip() and not table and shape is not None:
-                title = shape["placeholder"] in ("title", "ctrTitle")
-                out.append(Block("heading" if title else "list_item" if bullet else "paragraph", text.strip(), f"{path}#slide={number}/shape={shape['n']}/p={places}", {"slide": number, "shape": shape["name"], "hidden": hidden, "transition": transition}))
-            text = None
-        elif shape is not None and tag == shape["tag"]:
-            shape = None
-    note = next((v["target"] for v in links.values() if not v["external"] and (v["type"].endswith("/notesSlide") or "notesSlides/" in v["target"])), None)
-    out += _notes(package, note, number) if note else []
-    out += [Block("image_metadata", s["description"], f"{path}#slide={number}/image={s['n']}", {"slide": number, "target": t}, False, "non-card metadata") for s, t in pictures]
-    out += [Block("chart_metadata", "", f"{path}#slide={number}/chart={s['n']}", {"slide": number, "target": t}, False, "non-card metadata") for s, t in charts]
-    return out
-
-
-def _notes(package: Package, path: str, number: int) -> list[Block]:
-    out, text, taking, kind_of, places = [], "", False, "", 0
-    for kind, tag, a in package.events(path):
-        if kind == "text":
-            text += tag if taking else ""
-        elif kind == "start":
-            if tag == "sp":
-                kind_of = ""
-            elif tag == "ph":
-                kind_of = a.get("type", "")
-            elif tag == "p":
-                text = ""
-            elif tag in ("t", "fld"):
-                taking = True
-        elif tag in ("t", "fld"):
-            taking = False
-        elif tag == "p":
-            places += 1
-            if text.strip() and kind_of not in LINES_OF_NOTES:
-                out.append(Block("speaker_note", text.strip(), f"{path}#slide={number}/p={places}", {"slide": number}))
-            text = ""
-    return out
+__all__ = ["Block", "cells_of", "letters_number", "number_letters", "read_docx", "read_pptx", "read_xlsx"]

@@ -281,3 +281,148 @@ def test_foreach_batch_pipeline(spark, tmp_path):
     q = events.run_pipeline(events.file_intake(spark, str(tmp_path / "in")), lambda rows, n: seen.extend(r.source_hash for r in rows.collect()), str(tmp_path / "ck"), once=True)
     q.awaitTermination(60)
     assert len(seen) == 1
+
+
+# Word processing: lists, nested tables, sections
+
+
+def _p(text: str, properties: str = "") -> str:
+    return f"<w:p><w:pPr>{properties}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+
+def _item(text: str, number: int, level: int = 0) -> str:
+    return _p(text, f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{number}"/></w:numPr>')
+
+
+def _cell(inner: str, properties: str = "") -> str:
+    return f"<w:tc><w:tcPr>{properties}</w:tcPr>{inner}</w:tc>"
+
+
+def _document(body: str, numbering: str = "", styles: str = "", **parts: str) -> list[office.Block]:
+    names = 'xmlns:w="w" xmlns:r="r" xmlns:mc="mc" xmlns:a="a"'
+    given = {"[Content_Types].xml": "<Types/>", "word/document.xml": f"<w:document {names}><w:body>{body}</w:body></w:document>"}
+    if numbering:
+        given["word/numbering.xml"] = f"<w:numbering {names}>{numbering}</w:numbering>"
+    if styles:
+        given["word/styles.xml"] = f"<w:styles {names}>{styles}</w:styles>"
+    return office.read_docx(zipped(given | parts))
+
+
+def _level(n: int, form: str, text: str, more: str = "") -> str:
+    return f'<w:lvl w:ilvl="{n}"><w:start w:val="1"/><w:numFmt w:val="{form}"/>{more}<w:lvlText w:val="{text}"/></w:lvl>'
+
+
+RESTART = '<w:lvlRestart w:val="1"/>'
+NUMBERING = (
+    f'<w:abstractNum w:abstractNumId="1">{_level(0, "decimal", "%1.")}{_level(1, "lowerLetter", "%1.%2)")}{_level(2, "upperRoman", "%3", RESTART)}</w:abstractNum>'
+    f'<w:abstractNum w:abstractNumId="2">{_level(0, "bullet", "•")}{_level(1, "chineseCounting", "（%2）", "<w:isLgl/>")}</w:abstractNum>'
+    '<w:num w:numId="1"><w:abstractNumId w:val="1"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num>'
+    '<w:num w:numId="3"><w:abstractNumId w:val="1"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="7"/></w:lvlOverride></w:num><w:num w:numId="5"><w:abstractNumId w:val="2"/></w:num>'
+)
+
+
+def _labels(blocks: list[office.Block]) -> list[tuple[str, str]]:
+    return [(b.text, b.metadata["list_label"]) for b in blocks if "list_label" in b.metadata]
+
+
+def test_list_counters():
+    asked = [("a", 1, 0), ("b", 1, 1), ("c", 1, 1), ("d", 1, 0), ("e", 1, 1), ("f", 2, 0), ("g", 3, 0), ("h", 3, 0), ("i", 1, 0), ("j", 5, 0)]
+    got = _document("".join(_item(*x) for x in asked), NUMBERING)
+    assert {b.kind for b in got} == {"list_item"}
+    # Lists of one definition count on together; one that overrides its start begins anew.
+    assert _labels(got) == list(zip("abcdefghij", ["1.", "1.a)", "1.b)", "2.", "2.a)", "3.", "7.", "8.", "9.", "•"], strict=True))
+    assert got[-1].metadata["list_format"] == "bullet"
+
+
+def test_list_levels_restart_as_told():
+    asked = [("a", 1, 0), ("b", 1, 1), ("c", 1, 2), ("d", 1, 1), ("e", 1, 2), ("f", 1, 0), ("g", 1, 2)]
+    # The third level goes on after an item of the second one, and restarts after one of the first.
+    assert _labels(_document("".join(_item(*x) for x in asked), NUMBERING)) == list(zip("abcdefg", ["1.", "1.a)", "I", "1.b)", "II", "2.", "I"], strict=True))
+
+
+def test_list_without_definition_or_upper_item():
+    assert _labels(_document(_item("x", 9) + _item("y", 1, 1), NUMBERING)) == [("x", "1"), ("y", "1.a)")]
+    assert [b.kind for b in _document(_item("x", 0), NUMBERING)] == ["document"]
+
+
+def test_lists_and_headings_by_style():
+    styles = (
+        '<w:style w:styleId="Base"><w:name w:val="base"/><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr></w:pPr></w:style><w:style w:styleId="Sub"><w:name w:val="sub"/><w:basedOn w:val="Base"/></w:style>'
+        '<w:style w:styleId="T"><w:name w:val="title of part"/><w:basedOn w:val="H"/></w:style><w:style w:styleId="H"><w:name w:val="heading 2"/><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style>'
+        '<w:style w:styleId="R1"><w:basedOn w:val="R2"/></w:style><w:style w:styleId="R2"><w:basedOn w:val="R1"/></w:style>'
+    )
+    got = _document(_p("one", '<w:pStyle w:val="Sub"/>') + _p("none", '<w:pStyle w:val="Sub"/><w:numPr><w:numId w:val="0"/></w:numPr>') + _p("part", '<w:pStyle w:val="T"/>') + _p("ring", '<w:pStyle w:val="R1"/>') + _p("body", '<w:outlineLvl w:val="2"/>'), NUMBERING, styles)
+    assert [(b.kind, b.metadata.get("list_label"), b.metadata.get("outline_level")) for b in got] == [("list_item", "1.", None), ("document", None, None), ("heading", None, 1), ("document", None, None), ("heading", None, 2)]
+
+
+@pytest.mark.parametrize(("form", "want"), [("decimal", ["1", "9", "10", "27"]), ("lowerLetter", ["a", "i", "j", "aa"]), ("upperRoman", ["I", "IX", "X", "XXVII"]), ("chineseCounting", ["一", "九", "十", "二十七"]), ("decimalZero", ["01", "09", "10", "27"]), ("none", [""] * 4), ("other", ["1", "9", "10", "27"])])
+def test_number_formats(form, want):
+    from kunits.sources.word import shown
+
+    assert [shown(n, form) for n in (1, 9, 10, 27)] == want
+    assert (shown(105, "chineseCounting"), shown(1010, "chineseCounting"), shown(110, "chineseCounting")) == ("一百零五", "一千零一十", "一百一十")
+
+
+def test_nested_tables():
+    inner = f"<w:tbl><w:tr>{_cell(_p('x'))}{_cell(_p('y') + '<w:tbl><w:tr>' + _cell(_p('deep')) + '</w:tr></w:tbl>')}</w:tr></w:tbl>"
+    body = f"<w:tbl><w:tr>{_cell(_p('a') + inner + _p('after'))}{_cell(_p('b'))}</w:tr><w:tr>{_cell(_p('c'))}</w:tr></w:tbl>{_p('end')}<w:tbl><w:tr>{_cell(_p('z'))}</w:tr></w:tbl>"
+    got = _document(body)
+    assert [(b.text, b.metadata.get("table"), b.metadata.get("row"), b.metadata.get("cell")) for b in got] == [("aafter", 1, 1, 1), ("x", 2, 1, 1), ("y", 2, 1, 2), ("deep", 3, 1, 1), ("b", 1, 1, 2), ("c", 1, 2, 1), ("end", None, None, None), ("z", 4, 1, 1)]
+    of = {b.text: b for b in got}
+    assert of["deep"].metadata["inside"] == of["y"].locator and of["x"].metadata["inside"] == of["aafter"].locator and "inside" not in of["b"].metadata
+    assert len({b.locator for b in got}) == len(got)
+
+
+def test_merges_of_cells():
+    restart, go_on = '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = [_cell(_p("wide"), '<w:gridSpan w:val="2"/>') + _cell(_p("tall"), restart), _cell(_p("p")) + _cell(_p("q")) + _cell(_p(""), go_on), "<w:trPr><w:gridBefore w:val='2'/></w:trPr>" + _cell(_p(""), go_on)]
+    got = _document("<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>")
+    assert [(b.metadata["grid_column"], b.metadata["merge"]) for b in got] == [(1, "2:none"), (3, "1:restart"), (1, "none"), (2, "none"), (3, "1:continue"), (3, "1:continue")]
+    assert [b.metadata.get("merged_into") for b in got][-2:] == [got[1].locator] * 2
+
+
+def test_sections_breaks_boxes_and_alternatives():
+    body = (
+        _p("first", "<w:sectPr/>") + '<w:p><w:r><w:t>se</w:t><w:br w:type="page"/><w:t>cond</w:t><w:br/></w:r></w:p>'
+        + '<w:p><w:r><mc:AlternateContent><mc:Choice><w:drawing><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:drawing></mc:Choice><mc:Fallback><w:pict><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:pict></mc:Fallback></mc:AlternateContent><w:t>around</w:t></w:r></w:p>'
+        + "<w:sdt><w:sdtContent>" + _p("held") + "</w:sdtContent></w:sdt><w:p><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:del><w:r><w:delText>old</w:delText></w:r></w:del></w:p><w:sectPr/>"
+    )
+    got = _document(body)
+    assert [(b.text, b.metadata["section"]) for b in got] == [("first", 1), ("second", 2), ("around", 2), ("boxed", 2), ("held", 2), ("new", 2)]
+    assert got[1].metadata["breaks"] == "page line"
+
+
+def test_macros_are_a_warning():
+    got = _document(_p("text"), **{"word/vbaProject.bin": "x"})
+    assert [(b.kind, b.eligible, b.reason) for b in got] == [("document", True, ""), ("package_warning", False, "OOXML_PARTIAL_FEATURE_SUPPORT")]
+
+
+def test_sheet_filters_drawings_and_shared_formulas():
+    sheet = (
+        '<worksheet xmlns:r="r"><dimension ref="A1:B3"/><sheetData><row r="1"><c t="inlineStr"><is><t>Item</t></is></c><c t="inlineStr"><is><r><t>Am</t></r><r><t>ount</t></r><rPh><t>reading</t></rPh></is></c></row>'
+        '<row r="2"><c r="A2"><f t="shared" ref="A2:A3" si="0">B2*2</f><v>4</v></c><c r="B2"><v>2</v></c></row><row r="3"><c r="A3"><f t="shared" si="0"/></c></row></sheetData><mergeCells><mergeCell ref="A1:A2"/></mergeCells><autoFilter ref="A1:B3"/><drawing r:id="rD"/></worksheet>'
+    )
+    drawing = '<d xmlns:a="a" xmlns:r="r"><twoCellAnchor><from><col>0</col><row>1</row></from><to><col>1</col><row>3</row></to><pic><cNvPr name="p" descr="shown"/><a:blip r:embed="rI"/></pic></twoCellAnchor></d>'
+    got = office.read_xlsx(zipped(XLSX | {"xl/worksheets/sheet1.xml": sheet, "xl/drawings/drawing1.xml": drawing, "xl/worksheets/_rels/sheet1.xml.rels": REL.format('<Relationship Id="rD" Target="../drawings/drawing1.xml"/>'), "xl/drawings/_rels/drawing1.xml.rels": REL.format('<Relationship Id="rI" Target="../media/image1.png"/>')}))
+    of = {b.metadata.get("coordinate"): b for b in got if b.kind == "spreadsheet_cell"}
+    assert [of[c].text for c in ("A1", "B1", "A2", "B2", "A3")] == ["Item", "Amount", "4", "2", ""]
+    assert (of["A3"].metadata["formula"], of["A3"].metadata["cached_value_status"]) == ("B2*2", "missing")
+    assert (of["A1"].metadata["filter_role"], of["B2"].metadata["filter_role"]) == ("header", "filtered")
+    assert of["A2"].metadata["inherited_header"] == "Item"
+    about = next(b for b in got if b.kind == "sheet_metadata")
+    assert (about.metadata["autofilters"], about.metadata["used_range"], about.eligible) == ("A1:B3", "A1:B3", False)
+    picture = next(b for b in got if b.kind == "image_metadata")
+    assert (picture.text, picture.metadata["target"], picture.metadata["anchor"]) == ("shown", "xl/media/image1.png", "A2:B4")
+
+
+def test_slide_levels_links_and_groups():
+    slide = (
+        '<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="r" show="0"><p:cSld><p:spTree><p:grpSp><p:sp><p:nvSpPr><p:cNvPr name="in group"/></p:nvSpPr><p:spPr><a:xfrm><a:off x="1" y="2"/><a:ext cx="3" cy="4"/></a:xfrm></p:spPr>'
+        '<p:txBody><a:p><a:pPr lvl="1"><a:buChar char="-"/></a:pPr><a:r><a:rPr><a:hlinkClick r:id="rL"/></a:rPr><a:t>key point</a:t></a:r></a:p><a:p/></p:txBody></p:sp></p:grpSp>'
+        '<p:pic><p:nvPicPr><p:cNvPr name="photo" descr="a room"/></p:nvPicPr><p:blipFill><a:blip r:embed="rI"/></p:blipFill></p:pic></p:spTree></p:cSld><p:transition spd="fast"/><p:timing/></p:sld>'
+    )
+    rels = REL.format('<Relationship Id="rL" Target="https://x.y/z" TargetMode="External"/><Relationship Id="rI" Target="../media/image1.png"/>')
+    got = office.read_pptx(zipped(PPTX | {"ppt/slides/slide1.xml": slide, "ppt/slides/_rels/slide1.xml.rels": rels}))
+    assert [(b.kind, b.text) for b in got] == [("list_item", "key point"), ("image_metadata", "a room")]
+    assert {k: got[0].metadata[k] for k in ("level", "hyperlinks", "bounds", "hidden", "transition", "timing")} == {"level": 1, "hyperlinks": "https://x.y/z", "bounds": "1,2,3,4", "hidden": True, "transition": "fast", "timing": True}
+    assert got[1].metadata["target"] == "ppt/media/image1.png"
