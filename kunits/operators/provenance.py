@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kunits.functions import lang
-from kunits.functions.text import ascii_edges, nfkc
+from kunits.functions.text import ascii_edges
+from kunits.operators.quotes import reconcile  # noqa: F401  quotes to blocks, beside the other steps of provenance
 
 #: Words of modality, by strength (fixed values).
 MUST, MUST_NOT, SHOULD, MAY = r"必须|应当|须|shall|must|required", r"不得|禁止|shall not|must not|prohibited", r"宜|应该|should", r"可以|允许|may\b"
@@ -37,32 +38,6 @@ def band_join(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str
     return rows.join(F.broadcast(bands), F.col(value).between(F.col(low), F.col(high)))
 
 
-def normal_text(column: Column) -> Column:
-    """NFKC without white space: how quotes are compared beyond exact equality."""
-    return F.regexp_replace(nfkc(F.coalesce(column, F.lit(""))), r"\s+", "")
-
-
-def reconcile(quotes: DataFrame, blocks: DataFrame, doc: str = "source_document_id") -> DataFrame:
-    """quote_id, status, block_id, exact: where each quote stands in its document's eligible blocks.
-
-    Exact containment goes before containment without white space; never
-    across blocks, never fuzzy. Several blocks are ``ambiguous_quote`` unless
-    the quote's ``hint`` names one; none is ``quote_not_found``.
-    """
-    b = blocks.where(~F.col("card_eligible").eqNullSafe(False)).select(doc, "block_id", F.col("text").alias("t"), normal_text(F.col("text")).alias("n"))
-    q = quotes.withColumn("qn", normal_text(F.col("quote")))
-    found = q.join(b, doc).where((F.col("qn") != "") & F.contains("n", F.col("qn"))).withColumn("exact", F.contains("t", F.col("quote")))
-    per = found.groupBy("quote_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("block_id")))).alias("e"), F.array_sort(F.collect_set("block_id")).alias("all"), F.first("hint").alias("hint"),
-    )
-    pool = F.when(F.size("e") > 0, F.col("e")).otherwise(F.col("all"))
-    per = per.withColumn("pool", pool).withColumn("hinted", F.array_contains("pool", F.col("hint")).eqNullSafe(True))
-    rows = quotes.select("quote_id").join(per, "quote_id", "left")
-    status = F.when(F.col("pool").isNull(), "quote_not_found").when((F.size("pool") == 1) | F.col("hinted"), "resolved").otherwise("ambiguous_quote")
-    block = F.when(status == "resolved", F.when(F.col("hinted"), F.col("hint")).otherwise(F.col("pool")[0]))
-    return rows.select("quote_id", status.alias("status"), block.alias("block_id"), (F.size("e") > 0).alias("exact"))
-
-
 def _normal_with_offsets(text: str) -> tuple[str, list[int]]:
     out, places = [], []
     for i, c in enumerate(text):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,10 +18,15 @@ def _majority(hashes: Column, i: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1)
 
 
-def simhash(text: Column) -> Column:
+def md5_long(word: Column) -> Column:
+    """The first 64 bits of a word's MD5: a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 16), 16, -10).cast("long")
+
+
+def simhash(text: Column, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """64-bit SimHash of a text's lower-case words: each bit is the majority over the words' hashes."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(words, lambda w: hashed(w))
     out = F.lit(0).cast("long")
     for i in range(64):
         mark = F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
@@ -135,20 +142,22 @@ def infer_relation(a: Column, b: Column, score: Column, least: float = 0.8) -> C
 
 
 def consolidate_atoms(atoms: DataFrame, doc: str = "source_document_id", text_col: str = "text", most: int = 32) -> DataFrame:
-    """Adds group_id: atoms of one document, figures and modality within *most* bits of SimHash of the group's first.
+    """Adds group_id: atoms of one document, figures and modality within *most* bits of SimHash of the group's leader.
 
     Different figures or modality stay apart, since they are the blocking key;
-    atoms without words go as noise. Each atom is only compared with the first
-    of its block, so nothing is paired with everything.
+    atoms without words go as noise. Within a block every atom is compared
+    with the leaders before it, in order of ids, so two paraphrases meet
+    whatever stands before them (:func:`similar.leader_groups`).
     """
     from kunits.operators.provenance import modality
+    from kunits.operators.similar import leader_groups
 
     rows = atoms.where(F.col(text_col).rlike(r"[\p{L}\p{N}]"))
     figures = F.array_join(F.array_sort(F.concat(lang.extract_numbers(F.col(text_col), True), lang.extract_dates(F.col(text_col)))), "|")
     rows = rows.withColumns({"_sim": simhash(F.col(text_col)), "_key": F.concat_ws("#", figures, modality(F.col(text_col)))})
-    head = rows.groupBy(doc, "_key").agg(F.min_by(F.struct(F.col("atom_id").alias("id"), "_sim"), "atom_id").alias("_h"))
-    rows = rows.join(head, [doc, "_key"])
-    return rows.withColumn("group_id", F.when(hamming(F.col("_sim"), F.col("_h._sim")) < most, F.col("_h.id")).otherwise(F.col("atom_id"))).drop("_sim", "_key", "_h")
+    grouped = leader_groups(rows.select(doc, "_key", "atom_id", "_sim"), [doc, "_key"], "atom_id", most, "_sim")
+    found = grouped.select(F.col(doc).alias("_doc"), F.col("atom_id").alias("_atom"), F.col("leader").alias("group_id")).distinct()
+    return rows.join(found, F.col(doc).eqNullSafe(F.col("_doc")) & F.col("atom_id").eqNullSafe(F.col("_atom"))).drop("_sim", "_key", "_doc", "_atom")
 
 
 def reverse_relations(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable, Collection
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from kunits.functions.text import front_value, has_source
 from kunits.schema import KNOWLEDGE_KINDS, LIBRARIES, PRODUCTION
 
+STORED_NAMES = ("path", "record_id", "record_kind", "owner_source_id", "content", "content_hash")
+STORED = ", ".join(f"{name} string" for name in STORED_NAMES)
 MANIFEST = "version int, transaction_id string, run_id string, task_id string, status string, created_at double, records long"
 
 
@@ -55,106 +59,203 @@ def commit_counts(verified: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Lease:
+    """The right to write a store until a time; its number only grows, so a later lease fences an earlier one off."""
+
+    number: int
+    holder: str
+    until: float
+
+
 class VersionedStore:
-    """Records as versioned folders with a pointer; a version shows only once its pointer is written.
-
-    ``root/v=<n>`` holds all records of version n, ``root/manifest`` a row for
-    each transaction. ``root/pointers/<i>`` names the version shown by the i-th
-    move; the last one that is whole holds, so a crash while one is written
-    shows what was shown before. A pointer is only created, never replaced: of
-    two commits that began at the same one, the later is refused. Writers of
-    one store must still take turns, since both write the same next version.
-    Paths may be of any file system that Spark reads and writes.
+    """Records as versions over buckets of ids, with pointers; a version shows only once its pointer is written.
+
+    A commit writes the buckets that its records fall in, and no others, to a
+    folder of its own (``root/data/<transaction>``); ``root/versions/<n>``
+    lists for each bucket the folder that holds it. ``root/manifest`` has a
+    row for each transaction. ``root/pointers/<i>`` names the version shown by
+    the i-th move; the last one that is whole holds, so a crash while one is
+    written shows what was shown before.
+
+    Writers hold a lease with an end (``root/leases/<n>``). Whoever finds it
+    run out takes the next number, and a pointer is only made under the last
+    number. Versions, leases and pointers are created, never replaced: of two
+    writers that still meet at one pointer the later is refused, and what it
+    wrote is never shown. Paths may be of any file system that Spark reads
+    and writes, if creating a file that exists fails there.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, lease_seconds: float = 1800, clock: Callable[[], float] = time.time):
+        self.spark, self.root, self.buckets, self.lease_seconds, self.clock = spark, root.rstrip("/"), buckets, lease_seconds, clock
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _moves(self) -> list[int]:
-        """Numbers of all pointers, the last one first."""
-        fs, folder = self._path("pointers")
-        names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted((int(name) for name in names if name.isdigit()), reverse=True)
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._path(folder)
+        return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
 
-    def version(self) -> int:
-        """The visible version, 0 before the first."""
-        for move in self._moves():
-            lines = self.spark.read.text(f"{self.root}/pointers/{move}").collect()  # one line
-            try:
-                return json.loads("".join(r.value for r in lines))["version"]
-            except ValueError:
-                continue  # cut off by a crash
-        return 0
+    def _numbers(self, folder: str) -> list[int]:
+        """Numbers of the folder's files, the last one first."""
+        return sorted((int(name) for name in self._names(folder) if name.isdigit()), reverse=True)
 
-    def _point(self, version: int, move: int) -> None:
-        """Show a version by pointer *move*, which nobody else may have made."""
-        fs, path = self._path(f"pointers/{move}")
+    def _create(self, name: str, value: dict, taken: CommitError) -> None:
+        """Write a small file that nobody else may have made; else *taken* is raised."""
+        fs, path = self._path(name)
         try:
             out = fs.create(path, False)
         except Py4JJavaError as error:
             if fs.exists(path):
-                raise CommitError("OPTIMISTIC_VERSION_MISMATCH", f"pointer {move} was made by another commit") from error
+                raise taken from error
             raise
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps(value).encode()))
         out.close()
 
-    def read(self, version: int | None = None) -> DataFrame | None:
+    def _value(self, name: str) -> dict | None:
+        """What a small file says; null where a crash cut it off."""
+        lines = self.spark.read.text(f"{self.root}/{name}").collect()  # one line
+        try:
+            return json.loads("".join(r.value for r in lines))
+        except ValueError:
+            return None
+
+    # Leases
+
+    def lease(self) -> Lease | None:
+        """The last lease, also one that has run out; one cut off by a crash counts as run out."""
+        for number in self._numbers("leases")[:1]:
+            said = self._value(f"leases/{number}") or {"holder": "", "until": 0.0}
+            released = f"{number}.released" in self._names("leases")
+            return Lease(number, said["holder"], 0.0 if released else said["until"])
+        return None
+
+    def acquire(self, holder: str) -> Lease:
+        """Take the lease, or extend one's own; refused while another's holds."""
+        last = self.lease()
+        if last and last.until > self.clock() and last.holder != holder:
+            raise CommitError("STORE_LOCKED", f"{last.holder} writes until {last.until:.0f}")
+        number = last.number + 1 if last else 1
+        mine = Lease(number, holder, self.clock() + self.lease_seconds)
+        self._create(f"leases/{number}", {"holder": holder, "until": mine.until}, CommitError("STORE_LOCKED", f"lease {number} went to another writer"))
+        return mine
+
+    def release(self, lease: Lease) -> None:
+        self._create(f"leases/{lease.number}.released", {}, CommitError("STORE_LOCKED", "released already"))
+
+    def _fence(self, lease: Lease) -> None:
+        last = self.lease()
+        if last is None or last.number != lease.number:
+            raise CommitError("LEASE_LOST", f"lease {lease.number} was followed by {last.number if last else 0}")
+
+    # Versions
+
+    def version(self) -> int:
+        """The visible version, 0 before the first."""
+        for move in self._numbers("pointers"):
+            if said := self._value(f"pointers/{move}"):
+                return said["version"]
+        return 0
+
+    def _point(self, version: int, move: int) -> None:
+        """Show a version by pointer *move*, which nobody else may have made."""
+        self._create(f"pointers/{move}", {"version": version}, CommitError("OPTIMISTIC_VERSION_MISMATCH", f"pointer {move} was made by another commit"))
+
+    def folders(self, version: int) -> dict[int, str]:
+        """Bucket to folder of a version; buckets without records are missing."""
+        said = self._value(f"versions/{version}") if version else {}
+        if said is None:
+            raise CommitError("VERSION_UNREADABLE", f"version {version} has no list of folders")
+        return {int(bucket): folder for bucket, folder in said.items()}
+
+    def read(self, version: int | None = None, buckets: Collection[int] | None = None) -> DataFrame | None:
+        """Records of a version (the visible one), of some buckets or all; null before the first."""
         version = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/v={version}") if version else None
+        if not version:
+            return None
+        asked = [f"{self.root}/data/{folder}/bucket={bucket}" for bucket, folder in self.folders(version).items() if buckets is None or bucket in buckets]
+        rows = self.spark.read.schema(STORED)
+        return rows.parquet(*asked) if asked else self.spark.createDataFrame([], STORED)
+
+    def _written(self, rows: DataFrame, transaction: str) -> set[int]:
+        """Write rows by bucket, a file for each; which buckets hold any."""
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{transaction}")
+        return {int(name.removeprefix("bucket=")) for name in self._names(f"data/{transaction}") if name.startswith("bucket=")}
 
-    def commit(self, actions: DataFrame, run_id: str, task_id: str, blocked: bool = False, expected: int | None = None) -> DataFrame:
-        """Write the next version, read it back, verify, then show it; returns its verified rows.
+    def commit(self, actions: DataFrame, run_id: str, task_id: str, blocked: bool = False, expected: int | None = None, lease: Lease | None = None) -> DataFrame:
+        """Write the changed buckets as the next version, read them back, verify, then show it; returns its verified rows.
 
         planned = committed = visible must hold for knowledge records. Any
         failure leaves the visible version as it was. *expected* refuses the
-        commit if another has come between.
+        commit if another has come between. Without a *lease* one is taken for
+        this commit.
         """
         if not run_id or not task_id:
-            raise CommitError("CURRENT_RUN_REQUIRED", "生产提交必须绑定当前 run_id 和 task_id。")
+            raise CommitError("CURRENT_RUN_REQUIRED", "a commit names its run and its task")
         if blocked:
-            raise CommitError("PLAN_BLOCKED", "计划包含冲突或待处理项，禁止提交")
-        move = max(self._moves(), default=0) + 1
+            raise CommitError("PLAN_BLOCKED", "the plan holds conflicts or open items")
+        held = lease or self.acquire(f"{run_id}/{task_id}/{uuid.uuid4().hex[:8]}")
+        try:
+            return self._commit(actions, run_id, task_id, expected, held)
+        finally:
+            if lease is None:
+                self.release(held)
+
+    def _commit(self, actions: DataFrame, run_id: str, task_id: str, expected: int | None, lease: Lease) -> DataFrame:
+        move = max(self._numbers("pointers"), default=0) + 1
         now = self.version()
         if expected is not None and expected != now:
             raise CommitError("OPTIMISTIC_VERSION_MISMATCH", f"expected version {expected}, found {now}")
         transaction = f"txn-{uuid.uuid4().hex[:24]}"
-        fields = ["path", "record_id", "record_kind", "owner_source_id", "content", "content_hash"]
-        new = actions.select(*fields)
-        old = self.read(now)
+        bucket = F.pmod(F.xxhash64("record_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+        touched = {r.bucket for r in actions.select(bucket).distinct().collect()}  # no more than there are buckets
+        rows = actions.select(*STORED_NAMES)
+        old = self.read(now, touched)
         if old is not None:
-            gone = actions.select("record_id").unionByName(actions.where("action like '%move%'").select("record_id")).distinct()
-            new = new.unionByName(old.select(*fields).join(gone, "record_id", "left_anti"))
-        new.write.mode("overwrite").parquet(f"{self.root}/v={now + 1}")
-        seen = self.spark.read.parquet(f"{self.root}/v={now + 1}")
-        checked = verify(actions, seen.select("path", "content"))
+            rows = rows.unionByName(old.join(actions.select("record_id").distinct(), "record_id", "left_anti"))
+        held = self._written(rows.select(*STORED_NAMES, bucket), transaction)
+        folders = {b: f for b, f in self.folders(now).items() if b not in touched} | dict.fromkeys(held, transaction)
+        version = max(self._numbers("versions"), default=0) + 1
+        self._create(f"versions/{version}", {str(b): f for b, f in sorted(folders.items())}, CommitError("OPTIMISTIC_VERSION_MISMATCH", f"version {version} was made by another commit"))
+        checked = verify(actions, self.read(version, touched).select("path", "content"))
         knowledge = F.col("record_kind").isin(*KNOWLEDGE_KINDS)
         planned, visible = actions.where(knowledge).select("path"), checked.where(knowledge & F.col("reason").isNull()).select("path")
         bad = checked.where("reason is not null").limit(1).count() or set_difference(planned, visible).limit(1).count()
-        self._log(now + 1, transaction, run_id, task_id, "failed" if bad else "committed", seen.count())
+        self._log(version, transaction, run_id, task_id, "failed" if bad else "committed", self.read(version).count())
         if bad:
-            raise CommitError("STRUCTURED_WRITE_NOT_PERSISTED", "最终知识文件集合不一致，禁止完成任务")
-        self._point(now + 1, move)
+            raise CommitError("STRUCTURED_WRITE_NOT_PERSISTED", "what was read back isn't what was planned")
+        self._fence(lease)
+        self._point(version, move)
         return checked.withColumns({"transaction_id": F.lit(transaction), "run_id": F.lit(run_id), "state": F.lit("visible_verified")})
 
     def rollback(self, version: int, expected_hash: str | None = None) -> None:
         """Show an earlier version again, if the visible one is still as committed."""
-        move = max(self._moves(), default=0) + 1
-        if expected_hash is not None and self.fingerprint() != expected_hash:
-            raise CommitError("CHANGED_SINCE", "文件已被后续修改，停止回滚")
-        self._point(version, move)
+        lease = self.acquire(f"rollback/{uuid.uuid4().hex[:8]}")
+        try:
+            move = max(self._numbers("pointers"), default=0) + 1
+            if expected_hash is not None and self.fingerprint() != expected_hash:
+                raise CommitError("CHANGED_SINCE", "the store was changed since that commit")
+            self.folders(version)
+            self._fence(lease)
+            self._point(version, move)
+        finally:
+            self.release(lease)
 
     def fingerprint(self, version: int | None = None) -> str:
         """Order-free hash of a version's ids and contents."""
         rows = self.read(version)
         return "" if rows is None else str(rows.agg(F.sum(F.xxhash64("record_id", "path", "content").cast("decimal(38,0)"))).head()[0])
 
+    def unreferenced(self, keep: int = 2) -> list[str]:
+        """Folders of data that none of the last *keep* shown versions reads: failed commits and old versions."""
+        shown = list(dict.fromkeys(said["version"] for move in self._numbers("pointers") if (said := self._value(f"pointers/{move}"))))[:keep]
+        used = {folder for version in shown for folder in self.folders(version).values()}
+        return sorted(set(self._names("data")) - used)
+
     def _log(self, *row) -> None:
         version, transaction, run, task, status, records = row
-        self.spark.createDataFrame([(version, transaction, run, task, status, time.time(), records)], MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
+        self.spark.createDataFrame([(version, transaction, run, task, status, self.clock(), records)], MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
 
     def manifest(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kunits.functions import lang, numbers
 from kunits.functions.text import clean_text, digest, identity_key, redact, strip_html
 from kunits.operators import blocks as B
-from kunits.operators import candidates, gate, ops, provenance, records, segment, split, tables, units, vectors
+from kunits.operators import candidates, gate, ops, provenance, quotes, records, segment, split, tables, units, vectors
 from kunits.plans import commit, pipeline, writer
 from kunits.session import ship
 from kunits.streaming import events as E
@@ -420,25 +420,9 @@ def sliding_limiter(spark: SparkSession, sf: str) -> DataFrame:
 SELECT e.item_id AS quote_id, CASE WHEN count(d.doc_id) = 0 THEN 'quote_not_found' WHEN count(d.doc_id) = 1 THEN 'resolved' ELSE 'ambiguous_quote' END AS status, CAST(count(d.doc_id) AS BIGINT) AS blocks
 FROM benchmark e LEFT JOIN documents d ON contains(d.text, e.text) GROUP BY e.item_id""")
 def quote_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """J-22: documents that hold a benchmark item whole, word for word.
-
-    Shingles of the quotes, five words each, are joined with those of the
-    texts, so no quote meets a text that shares nothing with it; only texts
-    that hold a quote's first words are searched for the whole.
-    """
+    """J-22: documents that hold a benchmark item whole, letter by letter; each text is read once for all items."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # The first and last word of a quote may be parts of longer words in a text: inner words make the key.
-    q = q.withColumn("w", words(F.col("quote"))).withColumn("key", F.xxhash64(F.slice("w", 2, 3)))
-    docs = _t(spark, sf, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3))))).alias("key"))
-    long = q.where(F.size("w") >= 5)
-    # Ids are joined first; only texts that share a key with a quote are fetched.
-    near = keys.join(long.select("key", "quote_id", "quote"), "key").select("doc_id", "quote_id", "quote")
-    hit = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote"))).select("quote_id", "doc_id").distinct()
-    short = q.where(F.size("w") < 5).select("quote_id", "quote")  # few words: compared with every text, in blocks
-    if not short.isEmpty():
-        hit = hit.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("quote"))).select("quote_id", "doc_id"))
+    hit = quotes.texts_with_quotes(_t(spark, sf, "documents"), q, "doc_id")
     n = hit.groupBy("quote_id").agg(F.count("*").alias("n"))
     blocks = F.coalesce("n", F.lit(0))
     return q.join(n, "quote_id", "left").select("quote_id", F.when(blocks == 0, "quote_not_found").when(blocks == 1, "resolved").otherwise("ambiguous_quote").alias("status"), blocks.cast("long").alias("blocks"))

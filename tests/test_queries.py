@@ -3,7 +3,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from kunits.plans import operator_queries  # noqa: F401  registers its queries
+from kunits.plans import knowledge_queries, operator_queries  # noqa: F401  register their queries
 from kunits.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -160,6 +160,85 @@ def test_commit_verify_rollback(spark, tmp_path):
     assert store.version() == 2
 
 
+def _sizes(root) -> dict[str, int]:
+    return {folder.name: sum(f.stat().st_size for f in folder.rglob("*.parquet")) for folder in (root / "data").iterdir()}
+
+
+def test_a_commit_writes_the_buckets_that_change(spark, tmp_path):
+    store = commit.VersionedStore(spark, str(tmp_path / "store"), buckets=16)
+    made = lambda ids, body: spark.createDataFrame([("create", f"{i}.txt", f"r{i}", "project", "src", body * 400, "") for i in ids], f"action string, {commit.STORED}")
+    whole = made(range(400), "a").withColumn("content", F.concat("content", F.sha2("record_id", 512)))
+    plain = commit.verify
+    try:
+        commit.verify = lambda actions, files: actions.withColumn("reason", F.lit(None).cast("string"))
+        store.commit(whole, "r", "t")
+        first = _sizes(tmp_path / "store")
+        store.commit(made([7], "b"), "r", "t")
+    finally:
+        commit.verify = plain
+    after = _sizes(tmp_path / "store")
+    new = {name: n for name, n in after.items() if name not in first}
+    assert sum(new.values()) < sum(first.values()) / 4  # a bucket of sixteen
+    assert (store.read().count(), store.read(1).count()) == (400, 400)
+    assert store.read().where("record_id = 'r7'").head().content.startswith("bbb")
+    assert store.read(1).where("record_id = 'r7'").head().content.startswith("aaa")
+    assert sum(folder == next(iter(new)) for folder in store.folders(2).values()) == 1
+    assert store.unreferenced(1) == []
+    store.rollback(1)
+    assert store.unreferenced(1) == list(new)
+
+
+def test_of_two_writers_one_wins_and_nothing_is_lost(spark, tmp_path):
+    now = [1000.0]
+    store, other = (commit.VersionedStore(spark, str(tmp_path / "store"), lease_seconds=60, clock=lambda: now[0]) for _ in range(2))
+    one = plan_records(spark, 4).withColumn("action", F.lit("create"))
+    two = one.where("record_id = 'bi-0'")
+    mine = store.acquire("one")
+    with pytest.raises(commit.CommitError) as e:
+        other.commit(two, "r2", "t2")  # while the lease holds
+    assert (e.value.code, other.version()) == ("STORE_LOCKED", 0)
+    now[0] += 61  # the first writer hangs, its lease runs out, the other writes
+    other.commit(two, "r2", "t2")
+    assert (other.version(), other.read().count()) == (1, 1)
+    with pytest.raises(commit.CommitError) as e:
+        store.commit(one, "r1", "t1", lease=mine)  # wakes up with a lease of the past
+    assert e.value.code == "LEASE_LOST"
+    assert (store.version(), store.read().count()) == (1, 1)
+    store.commit(one, "r1", "t1")
+    assert (store.version(), store.read().count()) == (3, one.count())
+    # Both pass the fence at once: the pointer decides.
+    lease = store.acquire("one")
+    fence = other._fence
+    store._fence = other._fence = lambda _: None
+    late = commit.VersionedStore._create
+
+    def meanwhile(self, name, value, taken):
+        if self is store and name.startswith("pointers/"):
+            late(other, name, {"version": 1}, taken)
+        late(self, name, value, taken)
+
+    commit.VersionedStore._create = meanwhile
+    try:
+        with pytest.raises(commit.CommitError) as e:
+            store.commit(one, "r1", "t1", lease=lease)
+    finally:
+        commit.VersionedStore._create = late
+    assert (e.value.code, store.version(), store.read().count()) == ("OPTIMISTIC_VERSION_MISMATCH", 1, 1)
+    with pytest.raises(commit.CommitError):
+        fence(commit.Lease(1, "one", 0.0))
+
+
+def test_leases_that_end(spark, tmp_path):
+    store = commit.VersionedStore(spark, str(tmp_path / "store"))
+    first = store.acquire("a")
+    assert store.acquire("a").number == first.number + 1  # one's own is extended
+    store.release(store.lease())
+    assert store.acquire("b").holder == "b"
+    (tmp_path / "store" / "leases" / "9").write_text('{"hold')  # a crash while a lease is written
+    assert store.acquire("c").number == 10
+
+
+
 def test_verified_facts_and_audit(spark):
     h = "a" * 64
     rows = [("t", "visible_verified", "r1", "business_item", "/x/a.md", "run", "run", "markdown", "business", h, "txn", 1), ("t", "visible_verified", "r1", "business_item", "x/a.md", "run", "run", "markdown", "business", h, "txn", 2), ("t", "visible_verified", "r2", "business_item", "x/b.md", "old", "run", "markdown", "business", h, "txn", 3), ("t", "visible_verified", "r3", "source_document", "x/c.md", "run", "run", "markdown", "business", h, "txn", 4), ("t", "visible_verified", "r4", "business_item", "x/d.md", "run", "run", "markdown", "business", "zz", "txn", 5)]
