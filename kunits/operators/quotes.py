@@ -51,11 +51,12 @@ class Quotes:
         return [i for form in {form for _, form in self.automaton.iter(text)} for i in self.of[form]]
 
 
-def _dealt(rows: DataFrame, by: str, keys: list[str], text: str, most: int, name: str, out_of: str) -> DataFrame:
-    """Adds the number of a bounded share of the document's rows, and how many shares there are."""
+def _dealt(rows: DataFrame, key: str, text: str, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the number of a bounded share of their document's rows; and how many shares each document has."""
     cost = F.char_length(F.coalesce(text, F.lit(""))) + ROW
-    shares = rows.groupBy(by).agg(F.ceil(F.sum(cost) / most).cast("int").alias(out_of))
-    return rows.join(shares, by).withColumn(name, F.pmod(F.xxhash64(*keys, text), F.col(out_of)).cast("int"))
+    shares = rows.groupBy("_doc").agg(F.ceil(F.sum(cost) / most).cast("int").alias(f"{name}s"))
+    dealt = rows.join(shares, "_doc").withColumn(name, F.pmod(F.xxhash64(key, text), F.col(f"{name}s")).cast("int"))
+    return dealt.drop(f"{name}s"), shares.select(F.col("_doc").alias("_doc"), F.col(f"{name}s").alias(f"{name}s"))
 
 
 def quote_hits(quotes: DataFrame, blocks: DataFrame, doc: str = "source_document_id") -> DataFrame:
@@ -66,11 +67,11 @@ def quote_hits(quotes: DataFrame, blocks: DataFrame, doc: str = "source_document
     but white space are nowhere; null texts hold nothing. A pair comes once,
     but where ids repeat.
     """
-    q = _dealt(quotes.select(doc, "quote_id", "quote"), doc, ["quote_id"], "quote", CHUNK, "_chunk", "_chunks")
-    b = _dealt(blocks.select(doc, "block_id", "text"), doc, ["block_id"], "text", PART, "_part", "_parts")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(b.select(doc, "_parts").distinct(), doc).select(doc, "quote_id", "quote", "_chunk", every("_parts").alias("_part"))
-    b = b.join(q.select(doc, F.col("_chunk")).groupBy(doc).agg(F.max("_chunk").alias("_last")), doc).select(doc, "block_id", "text", "_part", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_chunk"))
+    # New names, since both sides may come from one table.
+    named = lambda df, *columns: df.select(F.col(doc).alias("_doc"), *(F.col(c).alias(c) for c in columns))
+    (q, chunks), (b, parts) = _dealt(named(quotes, "quote_id", "quote"), "quote_id", "quote", CHUNK, "_chunk"), _dealt(named(blocks, "block_id", "text"), "block_id", "text", PART, "_part")
+    every = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    q, b = every(q.join(parts, "_doc"), "_parts", "_part"), every(b.join(chunks, "_doc"), "_chunks", "_chunk")
     schema = T.StructType([T.StructField("quote_id", quotes.schema["quote_id"].dataType), T.StructField("block_id", blocks.schema["block_id"].dataType), T.StructField("exact", T.BooleanType())])
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -85,7 +86,8 @@ def quote_hits(quotes: DataFrame, blocks: DataFrame, doc: str = "source_document
         columns = [left.column("quote_id").take(pa.array(at, pa.int64())), right.column("block_id").take(pa.array(where, pa.int64())), pa.array(exact, pa.bool_())]
         return pa.table(columns, names=schema.names)
 
-    by = [doc, "_chunk", "_part"]
+    by = ["_doc", "_chunk", "_part"]
+    q, b = q.select(*by, "quote_id", "quote"), b.select(*by, "block_id", "text")
     return q.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda left, right: read(left, right), schema)
 
 

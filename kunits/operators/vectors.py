@@ -13,25 +13,50 @@ from pyspark.sql import functions as F
 from kunits.functions import lang
 
 
-def _majority(hashes: Column, i: int) -> Column:
-    """Hashes with bit *i* set, less those without."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1)
-
-
 def md5_long(word: Column) -> Column:
     """The first 64 bits of a word's MD5: a hash that other engines have too."""
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """*then* of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _bit_counts(hashes: Column, lanes: int) -> Column:
+    """How many hashes have each bit, several counts to a long: element k counts bits k, k + 64 / lanes and so on."""
+    step = 64 // lanes
+    ones = F.lit(sum(1 << step * i for i in range(lanes))).cast("long")
+
+    def counted(k: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, k).bitwiseAND(ones))
+
+    return F.array(*map(counted, range(step)))
+
+
+def _majority(hashes: Column, lanes: int) -> Column:
+    """The long of all bits that more than half of the hashes have."""
+    step = 64 // lanes
+    most = (1 << step) - 1
+
+    def marked(counts: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for bit in range(64):
+            n = F.shiftrightunsigned(counts[bit % step], bit // step * step).bitwiseAND(F.lit(most).cast("long"))
+            out = out.bitwiseOR(F.shiftleft((n * 2 > F.size(hashes)).cast("long"), bit))
+        return out
+
+    return let(_bit_counts(hashes, lanes), marked)
+
+
 def simhash(text: Column, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
-    """64-bit SimHash of a text's lower-case words: each bit is the majority over the words' hashes."""
+    """64-bit SimHash of a text's lower-case words: each bit is the majority over the words' hashes.
+
+    Hashes are computed once and their bits counted in lanes: four counts to
+    a long, two where a text has more words than a lane of 16 bits counts.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: hashed(w))
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        mark = F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
-        out = out.bitwiseOR(F.when(_majority(hashes, i) > 0, mark).otherwise(F.lit(0).cast("long")))
-    return out
+    return let(F.transform(words, lambda w: hashed(w)), lambda h: F.when(F.size(h) < 1 << 16, _majority(h, 4)).otherwise(_majority(h, 2)))
 
 
 def hamming(a: Column, b: Column) -> Column:

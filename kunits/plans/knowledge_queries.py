@@ -84,10 +84,10 @@ def _evolution_sql(records: str, edges: str) -> str:
 WITH RECURSIVE r AS ({records}), e AS ({edges}),
 k AS (SELECT source, target, max(o) AS o FROM e WHERE source IN (SELECT id FROM r) AND target IN (SELECT id FROM r) GROUP BY ALL),
 n AS (SELECT target AS id, arg_max(source, {{'o': o, 's': source}}) AS next, count(*) AS n_successors FROM k GROUP BY target),
-walk AS (SELECT id, id AS at, 0 AS depth, [id] AS seen FROM r UNION ALL SELECT walk.id, n.next, walk.depth + 1, list_append(seen, n.next) FROM walk JOIN n ON n.id = walk.at WHERE NOT list_contains(seen[:-2], walk.at)),
-last AS (SELECT id, arg_max(at, depth) AS at, max(depth) AS depth, arg_max(seen, depth) AS seen FROM walk GROUP BY id)
-SELECT id, CASE WHEN ring THEN NULL ELSE at END AS newest, CAST(CASE WHEN ring THEN NULL ELSE depth END AS BIGINT) AS depth, CASE WHEN NOT ring THEN 'none' WHEN at = id THEN 'on' ELSE 'into' END AS cycle, coalesce(n_successors, 0) AS n_successors
-FROM (SELECT *, list_contains(seen[:-2], at) AS ring FROM last) LEFT JOIN n USING (id)"""
+walk AS (SELECT id, id AS here, 0 AS depth, [id] AS seen FROM r UNION ALL SELECT walk.id, n.next, walk.depth + 1, list_append(seen, n.next) FROM walk JOIN n ON n.id = walk.here WHERE NOT list_contains(seen[:-2], walk.here)),
+last AS (SELECT id, arg_max(here, depth) AS here, max(depth) AS depth, arg_max(seen, depth) AS seen FROM walk GROUP BY id)
+SELECT id, CASE WHEN ring THEN NULL ELSE here END AS newest, CAST(CASE WHEN ring THEN NULL ELSE depth END AS BIGINT) AS depth, CASE WHEN NOT ring THEN 'none' WHEN here = id THEN 'on' ELSE 'into' END AS cycle, coalesce(n_successors, 0) AS n_successors
+FROM (SELECT *, list_contains(seen[:-2], here) AS ring FROM last) LEFT JOIN n USING (id)"""
 
 
 @query(_evolution_sql("SELECT o_orderkey AS id FROM orders", "SELECT o_orderkey AS source, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target, o_orderdate AS o FROM orders"))
@@ -99,10 +99,10 @@ def order_evolution(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.evolution_index(orders, edges, key="o_orderkey")
 
 
-@query(_evolution_sql("SELECT p_partkey AS id FROM part", "SELECT l_partkey AS source, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS target, l_shipdate AS o FROM lineitem"))
+@query(_evolution_sql("SELECT p_partkey AS id FROM part", "SELECT l_partkey AS source, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_shipdate) AS target, l_shipdate AS o FROM lineitem"))
 def part_evolution(spark: SparkSession, sf: str) -> DataFrame:
     """J-21: a part supersedes the part on the line before it; forks, and rings of parts that have no newest one."""
     lines = _t(spark, sf, "lineitem")
-    before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_shipdate"))
     edges = lines.select(F.col("l_partkey").alias("source"), before.alias("target"), F.lit(lineage.SUPERSEDES).alias("type"), F.col("l_shipdate").alias("order"))
     return lineage.evolution_index(_t(spark, sf, "part"), edges, key="p_partkey")
