@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,19 +168,21 @@ def review_groups(planned: DataFrame, id_col: str = "source_document_id") -> Dat
 
 
 def telemetry(blocks: DataFrame, regions: DataFrame, planned: DataFrame, ledger: DataFrame, reviews: DataFrame, id_col: str = "source_document_id") -> DataFrame:
-    """One row a document: blocks, regions, units, coverage, compression, accepted, review, rejected."""
-    n = lambda df, **counts: df.groupBy(id_col).agg(*(c.alias(k) for k, c in counts.items()))
-    noise, every = F.col("semantic_kind") == "noise", F.count("*")
-    rows = n(blocks, parse_blocks=every)
-    for more in (
-        n(regions, semantic_regions=every, meaningful=F.count_if(~noise), rejected=F.count_if(noise)), n(planned, planned_units=every),
-        n(ledger, covered=F.count_if(F.col("status").isin("covered", "merged"))), n(reviews, review=every, held=F.sum(F.size("unit_ids"))),
-    ):
-        rows = rows.join(more, id_col, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    """One row a document that has blocks: blocks, regions, units, coverage, compression, accepted, review, rejected.
+
+    What each table counts is put under one another and added up by document
+    at once, so five tables cost one shuffle of counts.
+    """
+    noise, one = F.col("semantic_kind") == "noise", F.lit(1)
+    counted = [
+        (blocks, {"parse_blocks": one}), (regions, {"semantic_regions": one, "meaningful": (~noise).cast("int"), "rejected": noise.cast("int")}), (planned, {"planned_units": one}),
+        (ledger, {"covered": F.col("status").isin("covered", "merged").cast("int")}), (reviews, {"review": one, "held": F.size("unit_ids")}),
+    ]
+    names = [name for _, counts in counted for name in counts]
+    parts = [df.select(id_col, *(counts.get(name, F.lit(0)).cast("long").alias(name) for name in names)) for df, counts in counted]
+    rows = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names)).where("parse_blocks > 0")
+    share = lambda part, usual: F.coalesce(F.try_divide(F.col(part).cast("double"), F.col("meaningful").cast("double")), F.lit(usual))
     return rows.select(
-        id_col, "parse_blocks", z("semantic_regions").alias("semantic_regions"), z("planned_units").alias("planned_units"),
-        F.coalesce(F.try_divide(z("covered").cast("double"), z("meaningful").cast("double")), F.lit(1.0)).alias("semantic_coverage"),
-        F.coalesce(F.try_divide(z("planned_units").cast("double"), z("meaningful").cast("double")), F.lit(0.0)).alias("compression_ratio"),
-        (z("planned_units") - z("held")).alias("accepted"), z("review").alias("review"), z("rejected").alias("rejected"),
+        id_col, "parse_blocks", "semantic_regions", "planned_units", share("covered", 1.0).alias("semantic_coverage"), share("planned_units", 0.0).alias("compression_ratio"),
+        (F.col("planned_units") - F.col("held")).alias("accepted"), "review", "rejected",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kunits.operators import blocks as B
-from kunits.operators import lineage, quotes, similar, vectors
+from kunits.operators import lineage, quotes, schemas, similar, spans, summaries, vectors
 from kunits.plans.queries import _t, query
 
 #: Bits in which texts (of documents, of their lines) may differ.
@@ -106,3 +106,86 @@ def part_evolution(spark: SparkSession, sf: str) -> DataFrame:
     before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_shipdate"))
     edges = lines.select(F.col("l_partkey").alias("source"), before.alias("target"), F.lit(lineage.SUPERSEDES).alias("type"), F.col("l_shipdate").alias("order"))
     return lineage.evolution_index(_t(spark, sf, "part"), edges, key="p_partkey")
+
+
+EVENT_PROPS = {"type": "object", "required": ["k", "source"], "properties": {"k": {"type": "integer", "minimum": 5, "maximum": 89, "not": {"enum": [7, 77]}}}, "additionalProperties": False}
+
+
+@query("""
+WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, concat_ws(' ', '$.source:required', CASE WHEN k < 5 THEN '$.k:minimum' END, CASE WHEN k > 89 THEN '$.k:maximum' END, CASE WHEN k IN (7, 77) THEN '$.k:not' END) AS errors FROM k""")
+def event_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """X-44: properties of events against a schema."""
+    return _t(spark, sf, "events").select("event_id", F.array_join(schemas.violations(F.col("props"), EVENT_PROPS), " ").alias("errors"))
+
+
+ORDER_SCHEMA = {
+    "type": "object", "required": ["id", "lines"], "properties": {
+        "id": {"type": "integer", "exclusiveMinimum": 0},
+        "lines": {"type": "array", "minItems": 2, "items": {"$ref": "#/$defs/line"}},
+    }, "$defs": {"line": {"type": "object", "required": ["quantity"], "properties": {
+        "quantity": {"type": "number", "maximum": 45}, "flag": {"enum": ["A", "N"]}, "ship": {"type": "string", "format": "date", "pattern": "^199[2-7]"},
+    }}},
+}
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_quantity, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS ship, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) - 1 AS i FROM lineitem),
+e AS (SELECT l_orderkey, i, concat_ws(' ', CASE WHEN l_quantity > 45 THEN '$.lines[' || i || '].quantity:maximum' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN '$.lines[' || i || '].flag:enum' END, CASE WHEN ship NOT SIMILAR TO '199[2-7].*' THEN '$.lines[' || i || '].ship:pattern' END) AS e FROM l)
+SELECT l_orderkey, concat_ws(' ', CASE WHEN count(*) < 2 THEN '$.lines:minItems' END, nullif(string_agg(nullif(e, ''), ' ' ORDER BY i), '')) AS errors FROM e GROUP BY l_orderkey""")
+def order_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """X-44: each order with its lines as nested JSON, against a schema with references, items, formats and bounds."""
+    ship = F.col("l_shipdate").cast("date").cast("string").alias("ship")
+    line = F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_returnflag").alias("flag"), ship)
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    said = F.to_json(F.struct(F.col("l_orderkey").alias("id"), "lines"))
+    return orders.select("l_orderkey", F.array_join(schemas.violations(said, ORDER_SCHEMA), " ").alias("errors"))
+
+
+_ATOMS = """
+WITH p AS (SELECT o_custkey AS doc, CAST(o_orderkey AS VARCHAR) AS point, CAST(o_orderkey AS VARCHAR) || '-' || o_orderstatus AS ev FROM orders WHERE o_orderstatus != 'P'),
+a AS (SELECT o_custkey AS doc, CAST(l_orderkey AS VARCHAR) AS k, l_linenumber AS n, l_returnflag AS f, count(*) AS times FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+j AS (SELECT a.*, p.point, p.ev, CASE WHEN f = 'R' AND n % 2 = 0 THEN 'no_point_attribution' WHEN p.point IS NULL THEN 'point_id_mismatch' ELSE 'kept' END AS outcome FROM a LEFT JOIN p ON a.doc = p.doc AND a.k = p.point)"""
+
+
+def _normalised_atoms(spark: SparkSession, sf: str) -> tuple:
+    """Lines of orders as atoms of their customer, orders as its points: some lines name none, some an order that is no point."""
+    orders, key = _t(spark, sf, "orders"), F.col("o_orderkey").cast("string")
+    points = orders.where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("doc"), key.alias("point_id"), F.array(F.concat_ws("-", key, "o_orderstatus")).alias("evidence_ids"))
+    evidence = points.select("doc", F.explode("evidence_ids").alias("evidence_id"), F.concat(F.lit("order "), "point_id").alias("quote"), F.lit("b").alias("block_id"))
+    lines = _t(spark, sf, "lineitem").join(orders.select("o_orderkey", F.col("o_custkey").alias("doc")), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = F.col("l_orderkey").cast("string")
+    silent = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 2 == 0)
+    atoms = lines.select("doc", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_returnflag").alias("atom_id"), F.when(~silent & (F.col("l_returnflag") == "A"), F.array(named, F.lit(" nowhere "), named)).alias("content_point_ids"), F.when(~silent & (F.col("l_returnflag") != "A"), F.array(named)).alias("point_ids")).distinct()
+    return summaries.normalise_atoms(atoms, points, evidence, "doc")
+
+
+@query(f"{_ATOMS} SELECT doc, k || ':' || n || ':' || f AS atom_id, point AS first_point, 1 AS n_points, 'order ' || point AS evidence_quote FROM j WHERE outcome = 'kept'")
+def normalised_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """X-43: atoms with explicit, known points alone, and the evidence of the first."""
+    return _normalised_atoms(spark, sf)[0].select("doc", "atom_id", F.col("point_ids")[0].alias("first_point"), F.size("point_ids").alias("n_points"), "evidence_quote")
+
+
+@query(f"""{_ATOMS} SELECT count(*) AS atoms, count(*) FILTER (outcome = 'kept') AS kept, count(*) FILTER (outcome = 'no_point_attribution') AS dropped_no_point_attribution,
+  count(*) FILTER (outcome = 'point_id_mismatch') AS dropped_point_id_mismatch, CAST(sum(CASE WHEN outcome = 'no_point_attribution' THEN 0 ELSE (f = 'A')::INT + (point IS NULL)::INT END) AS BIGINT) AS unknown_point_ids FROM j""")
+def atom_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """X-43: why atoms went, counted by the pass that wrote the others."""
+    kept, counts = _normalised_atoms(spark, sf)
+    kept.write.format("noop").mode("overwrite").save()
+    said = counts.get
+    return spark.createDataFrame([tuple(said.values())], ", ".join(f"{name} long" for name in said))
+
+
+@query("""
+WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '[\x00-\x08\x0E-\x1F\x7F]+', '', 'g') AS t, length(text) AS size FROM documents)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, sha256(substr(t, k * 6000 + 1, 6000)) AS chunk_hash, sha256(substr(t, k * 6000 + 1, 6000)) AS source_hash, length(t) > 6000 AS bounded,
+  CASE WHEN k = greatest((length(t) + 5999) // 6000, 1) - 1 THEN size END AS ends_at
+FROM (SELECT *, unnest(range(greatest((length(t) + 5999) // 6000, 1))) AS k FROM n)""")
+def bounded_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """C-34: chunks of normalised texts, and what their spans cut out of the source once that is normalised."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    made = spans.chunks(docs, "doc_id").join(docs.select("doc_id", F.col("text").alias("source")), "doc_id")
+    cut = F.substring("source", F.col("source_start") + 1, F.col("source_end") - F.col("source_start"))
+    again = F.regexp_replace(F.regexp_replace(cut, r"[ \t\n\x0B\f\r]+", " "), r"[\x00-\x08\x0E-\x1F\x7F]+", "")
+    last = F.when(F.col("source_end") == F.char_length("source"), F.col("source_end").cast("long"))
+    return made.select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("chunk_hash"), F.sha2(again, 256).alias("source_hash"), "bounded", last.alias("ends_at"))

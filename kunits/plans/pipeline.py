@@ -9,6 +9,7 @@ from kunits.operators import blocks as B
 from kunits.operators import segment as S
 from kunits.operators import units as U
 from kunits.schema import RAW_BLOCKS
+from kunits.session import Scratch
 
 
 def raw_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,15 +25,18 @@ def raw_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return lines.withColumns(full).select(*names)
 
 
-def run(raw: DataFrame, documents: DataFrame | None = None, scoped: bool = True, explicit_library: str | None = None) -> dict[str, DataFrame]:
+def run(raw: DataFrame, documents: DataFrame | None = None, scoped: bool = True, explicit_library: str | None = None, scratch: Scratch | None = None) -> dict[str, DataFrame]:
     """All stages from raw blocks; *documents* may give metadata by source_document_id.
 
-    Units of an identity that has too many for pairs in "relations" are in "crowded".
+    Units of an identity that has too many for pairs in "relations" are in
+    "crowded". With *scratch* blocks, regions and units are written once and
+    what depends on them reads them; without, each result is a plan of its own.
     """
-    blocks = B.canonical_blocks(raw)
+    kept = scratch.stored if scratch else lambda df, name: df
+    blocks = kept(B.canonical_blocks(raw), "blocks")
     profiles = B.profiles(blocks, documents)
-    regions = S.regions(S.segments(blocks, scoped=scoped))
-    units = U.units(regions, profiles, explicit_library=explicit_library)
+    regions = kept(S.regions(S.segments(blocks, scoped=scoped)), "regions")
+    units = kept(U.units(regions, profiles, explicit_library=explicit_library), "units")
     ledger = U.coverage(regions, units)
     reviews = U.review_groups(units)
     return {

@@ -12,7 +12,7 @@ from kunits.functions.text import clean_text, digest, identity_key, redact, stri
 from kunits.operators import blocks as B
 from kunits.operators import candidates, gate, ops, provenance, quotes, records, segment, split, tables, units, vectors
 from kunits.plans import commit, pipeline, writer
-from kunits.session import ship
+from kunits.session import Scratch, ship
 from kunits.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,7 +456,7 @@ def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def universal_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     """C-01 to C-03, P-06, P-10, W-02 to W-05, X-02, X-03, X-24, A-03, A-04: the whole pipeline over all documents."""
-    return pipeline.run(pipeline.raw_lines(_t(spark, sf, "documents")), scoped=False)["telemetry"]
+    return pipeline.run(pipeline.raw_lines(_t(spark, sf, "documents")), scoped=False, scratch=Scratch(spark))["telemetry"]
 
 
 @query()
@@ -488,7 +488,8 @@ def simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
 def table_subjects(spark: SparkSession, sf: str) -> DataFrame:
     """Y-04, Y-05, W-08, W-09, J-15, J-16: subjects in the tables of documents with bars."""
     cells = table_cells(spark, sf).select("doc_id", F.concat(F.lit("text:"), F.col("doc_id").cast("string")).alias("table_key"), "row", "col", "value", F.col("doc_id").cast("string").alias("block_id"), F.lit(False).alias("merged"), F.col("row").alias("ord"))
-    found = tables.subjects(cells, ["doc_id", "table_key"])
+    scratch = Scratch(spark)
+    found = scratch.stored(tables.subjects(scratch.stored(cells, "cells"), ["doc_id", "table_key"]), "subjects")
     return tables.key_points(found, ["doc_id", "table_key"]).select("doc_id", "row", "point_id", F.sha2("content", 256).alias("content_hash"), F.size("evidence_ids").alias("evidence"))
 
 
