@@ -72,15 +72,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))), F.lit(0.0))
 
 
+#: Queries that are broadcast at most; more are joined by their filter columns, or searched in blocks.
+BROADCAST_QUERIES = 10_000
+
+
 def top_k_cosine(index: DataFrame, query: DataFrame, k: int, vector: str = "vector", key: str = "id", filters: list[str] | None = None, limit: int = 0) -> DataFrame:
-    """query_id, id, score, rank: exact search of a few queries among rows of equal filter columns.
+    """query_id, id, score, rank: exact search among rows of equal filter columns, in native columns.
 
-    *query* holds a stated, small set of vectors (it is broadcast). With
-    *limit* only so many candidates a query, the first by key, are scored:
-    the hard cap is the feature.
+    Queries are counted: up to BROADCAST_QUERIES are broadcast, more are
+    joined by the filter columns, and without those go the way of
+    :func:`top_k_cosine_many`. With *limit* only so many candidates a query,
+    the first by key, are scored: the hard cap is the feature.
     """
+    few = query.count() <= BROADCAST_QUERIES
+    if not few and not filters and not limit:
+        return top_k_cosine_many(index, query, k, vector, key)
     q = query.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), *(filters or []))
-    rows = index.join(F.broadcast(q), filters) if filters else index.crossJoin(F.broadcast(q))
+    q = F.broadcast(q) if few else q
+    rows = index.join(q, filters) if filters else index.crossJoin(q)
     if limit:
         rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(key))).where(F.col("_n") <= limit)
     rows = rows.where(F.col(key) != F.col("query_id")).withColumn("score", cosine(F.col(vector), F.col("_q")))
@@ -106,6 +115,29 @@ def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_of_block(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """query_id, id, score: the *k* best rows of *left* (id, v) for each query of *right*, itself left out."""
+    ids, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
+    found: list[tuple] = []
+    width = max((len(v) for c in (left, right) for v in c.column("v").to_pylist() if v is not None), default=0)
+    rows, wanted = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
+    size, length = np.sqrt(_fold(rows, rows)), np.sqrt(_fold(wanted, wanted))
+    unit = np.divide(rows, size[:, None], out=np.zeros_like(rows), where=size[:, None] > 0)
+    for i in range(len(asked)):
+        others = np.flatnonzero(ids != asked[i])
+        if not len(others):
+            continue
+        rough = (unit[others] @ wanted[i]) / (length[i] or 1.0)
+        if len(others) > k:  # all that may be among the best, whatever the rounding
+            others = others[rough >= np.partition(rough, -k)[-k] - 1e-9]
+        below = size[others] * length[i]
+        score = np.divide(_fold(rows[others], wanted[i]), below, out=np.zeros(len(others)), where=below > 0)
+        for j in np.lexsort((ids[others], -score))[:k]:
+            found.append((asked[i], ids[others[j]], score[j]))
+    columns = list(zip(*found, strict=True)) or [(), (), ()]
+    return pa.table({"query_id": pa.array(columns[0], right.schema.field("id").type), "id": pa.array(columns[1], left.schema.field("id").type), "score": pa.array(columns[2], pa.float64())})
+
+
 def top_k_cosine_many(index: DataFrame, query: DataFrame, k: int, vector: str = "vector", key: str = "id", filters: list[str] | None = None, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank as :func:`top_k_cosine`, of any number of queries.
 
@@ -122,29 +154,8 @@ def top_k_cosine_many(index: DataFrame, query: DataFrame, k: int, vector: str =
     b = query.select(*own, block(turns).alias("_turn"), every(parts).alias("_part"))
     kind = index.schema[key].dataType
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
-        found: list[tuple] = []
-        width = max((len(v) for c in (left, right) for v in c.column("v").to_pylist() if v is not None), default=0)
-        rows, wanted = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
-        size, length = np.sqrt(_fold(rows, rows)), np.sqrt(_fold(wanted, wanted))
-        unit = np.divide(rows, size[:, None], out=np.zeros_like(rows), where=size[:, None] > 0)
-        for i in range(len(asked)):
-            others = np.flatnonzero(ids != asked[i])
-            if not len(others):
-                continue
-            rough = (unit[others] @ wanted[i]) / (length[i] or 1.0)
-            if len(others) > k:  # all that may be among the best, whatever the rounding
-                others = others[rough >= np.partition(rough, -k)[-k] - 1e-9]
-            below = size[others] * length[i]
-            score = np.divide(_fold(rows[others], wanted[i]), below, out=np.zeros(len(others)), where=below > 0)
-            for j in np.lexsort((ids[others], -score))[:k]:
-                found.append((asked[i], ids[others[j]], score[j]))
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], right.schema.field("id").type), "id": pa.array(columns[1], left.schema.field("id").type), "score": pa.array(columns[2], pa.float64())})
-
     by = [*names, "_part", "_turn"]
-    scored = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: best(x, y), f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
+    scored = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: best_of_block(x, y, k), f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "score", "rank")
 

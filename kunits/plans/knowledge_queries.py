@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kunits.operators import blocks as B
-from kunits.operators import lineage, quotes, schemas, similar, spans, summaries, vectors
+from kunits.operators import lineage, pivots, quotes, schemas, similar, spans, summaries, vectors
 from kunits.plans.queries import _t, query
 
 #: Bits in which texts (of documents, of their lines) may differ.
@@ -132,7 +132,7 @@ ORDER_SCHEMA = {
 @query("""
 WITH l AS (SELECT l_orderkey, l_quantity, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS ship, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) - 1 AS i FROM lineitem),
 e AS (SELECT l_orderkey, i, concat_ws(' ', CASE WHEN l_quantity > 45 THEN '$.lines[' || i || '].quantity:maximum' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN '$.lines[' || i || '].flag:enum' END, CASE WHEN ship NOT SIMILAR TO '199[2-7].*' THEN '$.lines[' || i || '].ship:pattern' END) AS e FROM l)
-SELECT l_orderkey, concat_ws(' ', CASE WHEN count(*) < 2 THEN '$.lines:minItems' END, nullif(string_agg(nullif(e, ''), ' ' ORDER BY i), '')) AS errors FROM e GROUP BY l_orderkey""")
+SELECT l_orderkey, concat_ws(' ', CASE WHEN l_orderkey <= 0 THEN '$.id:exclusiveMinimum' END, CASE WHEN count(*) < 2 THEN '$.lines:minItems' END, nullif(string_agg(nullif(e, ''), ' ' ORDER BY i), '')) AS errors FROM e GROUP BY l_orderkey""")
 def order_schema(spark: SparkSession, sf: str) -> DataFrame:
     """X-44: each order with its lines as nested JSON, against a schema with references, items, formats and bounds."""
     ship = F.col("l_shipdate").cast("date").cast("string").alias("ship")
@@ -189,3 +189,14 @@ def bounded_chunks(spark: SparkSession, sf: str) -> DataFrame:
     again = F.regexp_replace(F.regexp_replace(cut, r"[ \t\n\x0B\f\r]+", " "), r"[\x00-\x08\x0E-\x1F\x7F]+", "")
     last = F.when(F.col("source_end") == F.char_length("source"), F.col("source_end").cast("long"))
     return made.select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("chunk_hash"), F.sha2(again, 256).alias("source_hash"), "bounded", last.alias("ends_at"))
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, label, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) AS score FROM embeddings v JOIN q ON v.label = q.label WHERE v.vec_id <> query_id)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def topk_cosine_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """L-03, P-16: as topk_cosine_all, but a query only meets the cells of pivots that may hold one of its ten nearest."""
+    v = _t(spark, sf, "embeddings")
+    found, _ = pivots.top_k_cosine_pruned(v, v.where("vec_id % 20 = 0"), 10, "embedding", "vec_id", ["label"])
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
