@@ -311,7 +311,7 @@ def test_templates_are_sandboxed(source):
 def test_queries_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = db.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf)
