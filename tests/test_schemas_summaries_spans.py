@@ -125,8 +125,8 @@ def test_counts_are_those_of_a_second_count(spark):
 
 
 def test_summaries_keep_what_the_source_says(spark):
-    blocks = [("d", "block-a", "项目概况与范围。", True), ("d", "block-b", "验收合格后方可投入使用。", True), ("d", "block-c", "重复。", True), ("d", "block-d", "重复。", True)]
-    evidence = [("d", f"EV-{i}", f"模型改写且来源不存在 {i}", "block-a") for i in range(12)] + [("d", "EV-moved", "验收合格后 方可投入使用。", "block-a"), ("d", "EV-twice", "重复", None), ("d", "EV-hint", "重复", "block-d")]
+    blocks = [("d", "block-a", "What the plan covers.", True), ("d", "block-b", "Ｐumps run only after two inspections.", True), ("d", "block-c", "Twice here.", True), ("d", "block-d", "Twice here.", True)]
+    evidence = [("d", f"EV-{i}", f"nobody wrote this {i}", "block-a") for i in range(12)] + [("d", "EV-moved", "Pumps run only  after two inspections.", "block-a"), ("d", "EV-twice", "Twice", None), ("d", "EV-hint", "Twice", "block-d")]
     points = [("d", f"P{i}", [f"EV-{i}"]) for i in range(12)] + [("d", "P-valid", ["EV-0", "EV-moved", "EV-none"]), ("d", "P-twice", ["EV-twice"]), ("d", "P-hint", ["EV-hint"]), ("d", "P-bare", None)]
     kept, whole, of_points, of_evidence = summaries.normalise_summary(spark.createDataFrame(points, POINTS), spark.createDataFrame(evidence, EVIDENCE), spark.createDataFrame(blocks, BLOCKS), "doc")
     assert {r.point_id: r.evidence_ids for r in kept.collect()} == {"P-valid": ["EV-moved"], "P-hint": ["EV-hint"]}
