@@ -107,7 +107,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     """Fit on labelled rows outside the held-out fold, at most *sample* of them.
 
     Rows with a null id or label don't count; of several labels of one id the
-    largest counts. Without rows of both labels the model is a constant: the
+    largest counts, of several documents of one id that of the least
+    statistics. Without rows of both labels the model is a constant: the
     share of label 1, or one half without any label.
     """
     spark = documents.sparkSession
@@ -121,9 +122,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     )
     given = documents.select(ids.alias("id"), F.col(text_col).alias("text")).where("id is not null").join(F.broadcast(known), "id")  # at most *sample* rows
     names = list(NAMES)
-    counted = given.select("label", *(c.alias(n) for n, c in counts(F.col("text")).items()))
+    counted = given.select("id", "label", *(c.alias(n) for n, c in counts(F.col("text")).items()))
     of = features({c: F.col(c) for c in counted.columns})
-    rows = sorted(counted.select("label", *(of[n].alias(n) for n in names)).take(2 * sample))  # bounded, as the sample is
+    one = counted.select("id", F.struct("label", *(of[n].alias(n) for n in names)).alias("row")).groupBy("id").agg(F.min("row").alias("row"))
+    rows = sorted(one.select("row.*").collect())  # at most *sample* rows, one an id
     share = sum(r[0] for r in rows) / len(rows) if rows else 0.5
     if share in (0.0, 1.0) or not rows:
         inside = min(max(share, 0.01), 0.99)

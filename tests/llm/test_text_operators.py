@@ -304,6 +304,14 @@ def test_quality_scores_against_plain_python(spark):
     assert all(abs(got[i] - score(t)) < 1e-9 for i, t in texts.items())
 
 
+def test_quality_of_documents_that_repeat_in_any_order(spark):
+    rows = [doc(i, f"word {i} " + ("bad ### " if i % 3 else "good, plain text. ") * (i % 7 + 1)) for i in range(1, 61)]
+    rows += [doc(i, f"another text of {i}") for i in range(1, 61) for _ in range(3)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 61)], "doc_id long, quality int")
+    one, other = (rule_ensemble.train(spark.createDataFrame(given, DOCS).repartition(n), labels, sample=40) for given, n in ((rows, 1), (rows[::-1], 7)))
+    assert one == other
+
+
 def test_quality_of_odd_rows(spark):
     docs = clashing(spark, odd_documents())
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (12, 0, 0), (13, 0, 1), (4, 0, None), (None, 1, 0), (7, None, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
