@@ -48,13 +48,15 @@ def near_pairs(marks: DataFrame, radius: int, mark: str = "mark", spare: int = S
     no shuffle is needed to make pairs distinct. Signatures that share a key
     but aren't within the radius are compared and dropped; a key of *spare*
     of radius + *spare* blocks has about 64 * spare / (radius + spare) bits.
+    Both sides are shuffled: Spark takes the table before its keys were made
+    for its size, and would broadcast all keys of a table that is small itself.
     """
     masks = F.array(*(F.lit(m).cast("long") for m in key_masks(radius, spare)))
     once = marks.select(F.col(mark).cast("long").alias("mark")).where("mark is not null").distinct()
     keyed = once.select("mark", F.posexplode(F.transform(masks, lambda m: F.col("mark").bitwiseAND(m))).alias("nth", "key"))
     a, b = (keyed.select("nth", "key", F.col("mark").alias(side)) for side in ("left", "right"))
     differs = F.col("left").bitwiseXOR(F.col("right"))
-    met = a.join(b, ["nth", "key"]).where(F.col("left") < F.col("right")).where(F.bit_count(differs) <= radius)
+    met = a.hint("merge").join(b.hint("merge"), ["nth", "key"]).where(F.col("left") < F.col("right")).where(F.bit_count(differs) <= radius)
     before = F.exists(F.slice(masks, F.lit(1), F.col("nth")), lambda m: differs.bitwiseAND(m) == 0)
     return met.where(~before).select("left", "right", F.bit_count(differs).cast("int").alias("distance"))
 
@@ -74,7 +76,7 @@ def class_pairs(rows: DataFrame, key: str, radius: int, mark: str = "mark", spar
     known = scratch.stored(classes(rows.where(F.col(mark).isNotNull()), key, mark), "mark-classes")
     pairs = near_pairs(known, radius, "mark", spare)
     side = lambda name: known.select(F.col("mark").alias(name), F.struct(F.col("class_id").alias("id"), "n").alias(f"{name}_class"))
-    named = pairs.join(side("left"), "left").join(side("right"), "right")
+    named = pairs.hint("merge").join(side("left"), "left").hint("merge").join(side("right"), "right")
     one, two = F.least("left_class", "right_class"), F.greatest("left_class", "right_class")
     return named.select(one["id"].alias("left_id"), two["id"].alias("right_id"), one["n"].alias("left_n"), two["n"].alias("right_n"), "distance")
 
@@ -91,8 +93,8 @@ def neighbours(rows: DataFrame, key: str, radius: int, mark: str = "mark", spare
     ends = pairs.select(F.explode(F.array("left", "right")).alias("mark"), "distance")
     linked = ends.groupBy("mark").agg(F.count("*").alias("n_links"), F.min("distance").alias("nearest"))
     # Written first, so that Spark can split the join at a signature with many rows.
-    of = scratch.stored(known.join(linked, "mark", "left"), "mark-links")
-    found = rows.select(F.col(key), F.col(mark).alias("mark")).join(of, "mark", "left")
+    of = scratch.stored(known.hint("merge").join(linked, "mark", "left"), "mark-links")
+    found = rows.select(F.col(key), F.col(mark).alias("mark")).hint("merge").join(of, "mark", "left")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     return found.select(key, F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n", one).alias("n_same"), F.coalesce("n_links", none).alias("n_links"), "nearest")
 
