@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,14 +86,36 @@ def dominant_language(text: Column) -> Column:
     return F.when(best["n"] > 0, best["name"]).otherwise("unknown")
 
 
+def _ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, for literals in lower case; the two other characters whose lower case has an ASCII letter go first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\0")), F.lit("\u0130"), F.lit("\0")))
+
+
+def _occurs(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in any case; *low* is the text from :func:`_ascii_lower`.
+
+    Alternatives that are plain literals are looked up as such: a pattern
+    tries every one of them at every character.
+    """
+    parts = [] if re.search(r"[()\\]", pattern) else pattern.split("|")
+    plain = [p for p in parts if not re.search(r"[\[\]?*+.{}^$]", p)]
+    rest = "|".join(p for p in parts if p not in plain) if parts else pattern
+    found = [F.contains(low, F.lit(p.lower())) for p in plain]
+    return reduce(lambda a, b: a | b, found + ([text.rlike("(?i)" + ascii_edges(rest))] if rest else []))
+
+
+def _signal(text: Column, low: Column, kind: str) -> Column:
+    return sum((_occurs(text, low, p).cast("int") for p in SIGNALS[kind]), F.lit(0))
+
+
 def signal(text: Column, kind: str) -> Column:
     """Score of a semantic kind: how many of its patterns occur, in any case."""
-    return sum((text.rlike("(?i)" + ascii_edges(p)).cast("int") for p in SIGNALS[kind]), F.lit(0))
+    return _signal(text, _ascii_lower(text), kind)
 
 
 def semantic_signals(text: Column) -> Column:
-    """struct of the scores of all kinds."""
-    return F.struct(*(signal(text, k).alias(k) for k in SIGNALS))
+    """struct of the scores of all kinds; the text is put in lower case once."""
+    return F.get(F.transform(F.array(_ascii_lower(text)), lambda low: F.struct(*(_signal(text, low, k).alias(k) for k in SIGNALS))), 0)
 
 
 def ranked_kinds(signals: Column) -> Column:
@@ -101,9 +126,14 @@ def ranked_kinds(signals: Column) -> Column:
 
 def dominant_kind(text: Column) -> Column:
     """The best kind, ``fact`` without any signal. Only ``parameter`` can score two."""
-    chain = F.when(signal(text, "parameter") == 2, "parameter")
+    return kind_of(semantic_signals(text))
+
+
+def kind_of(signals: Column) -> Column:
+    """The best kind of the scores from :func:`semantic_signals`, as :func:`dominant_kind`."""
+    chain = F.when(signals["parameter"] == 2, "parameter")
     for kind in SIGNALS:
-        chain = chain.when(signal(text, kind) > 0, kind)
+        chain = chain.when(signals[kind] > 0, kind)
     return chain.otherwise("fact")
 
 

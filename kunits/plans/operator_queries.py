@@ -226,8 +226,8 @@ def _score_sql(kind: str) -> str:
 @query(f"SELECT doc_id, CASE WHEN {_score_sql('parameter')} = 2 THEN 'parameter' {' '.join(f'WHEN {_score_sql(k)} > 0 THEN {_q(k)}' for k in lang.SIGNALS)} ELSE 'fact' END AS kind, {' + '.join(_score_sql(k) for k in lang.SIGNALS)} AS total FROM documents")
 def semantic_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """X-02, L-02, A-03: the dominant kind of each document, and the sum of its signals."""
-    signals = lang.semantic_signals(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", lang.dominant_kind(F.col("text")).alias("kind"), sum((signals[k] for k in lang.SIGNALS), F.lit(0)).alias("total"))
+    scored = F.transform(F.array(lang.semantic_signals(F.col("text"))), lambda s: F.struct(lang.kind_of(s).alias("kind"), sum((s[k] for k in lang.SIGNALS), F.lit(0)).alias("total")))
+    return _t(spark, sf, "documents").select("doc_id", F.inline(scored))
 
 
 _DATES = f"list_slice(regexp_extract_all(text, {_q(lang.DATE)}), 1, 10)"
