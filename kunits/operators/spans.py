@@ -52,7 +52,10 @@ class Normaliser:
         for m in self.pattern.finditer(text):
             if m.end() == m.start():
                 continue
-            kept, new = text[done : m.start()], self.by[m.lastindex - 1]
+            new = self.by[m.lastindex - 1]
+            if len(new) == 1 and m[0] == new:  # a space for a space: the piece goes on
+                continue
+            kept = text[done : m.start()]
             out += (kept, new)
             at += len(kept)
             if new:
