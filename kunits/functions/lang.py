@@ -173,16 +173,34 @@ def extract_facts(text: Column, whole_units: bool = False) -> Column:
 
 def protected_tokens(text: Column) -> Column:
     """What a translation must keep: facts, standards and hyphenated names."""
-    return F.array_distinct(F.concat(extract_numbers(text), extract_dates(text), extract_models(text), _extract(text, STANDARD, case=False), _extract(text, NAME)))
+    return F.array_distinct(F.concat(extract_numbers(text), extract_dates(text), extract_models(text), _extract(text, STANDARD, case=False, first="[ADEGIJ]"), _extract(text, NAME, first="[A-Z]")))
+
+
+def _words(pattern: str) -> list[str]:
+    """The words of a rendering's pattern, without endings that may be missing."""
+    return [re.sub(r"\\b|\(s\)\?", "", word) for word in pattern.removeprefix("(?i)").split("|")]
+
+
+def _bare_edges(pattern: str) -> str:
+    r"""The pattern with each ``\b`` beside a word as a look at the one character outside of it."""
+    return re.sub(r"\\b(?=[a-z])", "(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def deterministic_chinese(text: Column) -> Column:
     """struct(text, safe): ordered renderings; safe if anything changed and the rest is not foreign."""
-    out = text
-    for pattern, replacement in RENDERINGS:
-        out = F.regexp_replace(out, ascii_edges(pattern), replacement)
-    rest = detect_language(out)["language"]
-    return F.struct(out.alias("text"), ((out != text) & ~rest.isin("ja", "en", "mixed")).alias("safe"))
+
+    def rendered(out: Column, low: Column, rule: Column) -> Column:
+        # A pattern is only run where one of its words is. No rendering makes an English word; some make words of later patterns.
+        there = F.exists(rule["words"], lambda w: F.contains(F.when(rule["any_case"], low).otherwise(out), w))
+        return F.when(there, F.regexp_replace(out, rule["pattern"], rule["replacement"])).otherwise(out)
+
+    rules = F.array(*(
+        F.struct(F.lit(p.startswith("(?i)")).alias("any_case"), F.array(*map(F.lit, _words(p))).alias("words"), F.lit(_bare_edges(p)).alias("pattern"), F.lit(r).alias("replacement"))
+        for p, r in RENDERINGS
+    ))
+    out = _with_lower(text, lambda low: F.aggregate(rules, text, lambda out, rule: rendered(out, low, rule)))
+    safe = F.get(F.transform(F.array(out), lambda o: (o != text) & ~detect_language(o)["language"].isin("ja", "en", "mixed")), 0)
+    return F.struct(out.alias("text"), safe.alias("safe"))
 
 
 def translation_problem(source: Column, translated: Column) -> Column:
