@@ -148,8 +148,11 @@ def first_of(text: Column, rules: tuple[tuple[str, str], ...], otherwise: str) -
     return found
 
 
-def _extract(text: Column, pattern: str, most: int | None = None, case: bool = True) -> Column:
-    found = F.regexp_extract_all(text, F.lit(("" if case else "(?i)") + ascii_edges(pattern)), F.lit(0))
+def _extract(text: Column, pattern: str, most: int | None = None, case: bool = True, first: str = "") -> Column:
+    r"""Distinct matches in order. *first*: the class of characters that a match starts with, where the pattern starts
+    with ``\b``: it is looked at before the character in front of it, so most places are left at once."""
+    edged = f"(?={first})(?<![A-Za-z0-9_])" + pattern.removeprefix(r"\b") if first else pattern
+    found = F.regexp_extract_all(text, F.lit(("" if case else "(?i)") + ascii_edges(edged)), F.lit(0))
     found = found if most is None else F.slice(found, 1, most)
     return unique_first(F.transform(found, lambda v: F.substring(F.trim(F.regexp_replace(v, CONTROL, "")), 1, 160)))
 
@@ -159,11 +162,11 @@ def extract_numbers(text: Column, whole_units: bool = False) -> Column:
 
 
 def extract_dates(text: Column) -> Column:
-    return _extract(text, DATE, 10)
+    return _extract(text, DATE, 10, first="[0-9]")
 
 
 def extract_models(text: Column) -> Column:
-    return _extract(text, MODEL, 10)
+    return _extract(text, MODEL, 10, first="[A-Z]")
 
 
 def extract_facts(text: Column, whole_units: bool = False) -> Column:

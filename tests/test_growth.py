@@ -29,3 +29,13 @@ def test_renderings_run_where_their_words_are(spark):
     got = rows.select(lang.deterministic_chinese(F.col("t"))["text"].alias("got"), plain(F.col("t")).alias("want"))
     assert [r for r in got.collect() if r.got != r.want] == []
     assert "exists(" in _plan(rows.select(lang.deterministic_chinese(F.col("t"))["text"]))
+
+
+def test_facts_start_where_their_first_character_is(spark):
+    words = ["2024-01-05", "12024-01", "x2024/3", "3月5日", "AB-123", "xAB-123", "_AB12", "ISO 9001", "iso9001", "XISO 1", "GB/T-5.", "Foo-bar/baz", "foo-Bar", "éFoo-bar", "5 MPa"]
+    rng = random.Random(5)
+    rows = spark.createDataFrame([("".join(rng.choice(words) + rng.choice([" ", "", ",", "日", "é", "_"]) for _ in range(6)),) for _ in range(300)], "t string")
+    kinds = [(lang.DATE, True, "[0-9]"), (lang.MODEL, True, "[A-Z]"), (lang.STANDARD, False, "[ADEGIJ]"), (lang.NAME, True, "[A-Z]")]
+    pairs = rows.select(*(F.struct(lang._extract(F.col("t"), p, case=c, first=f).alias("got"), lang._extract(F.col("t"), p, case=c).alias("want")) for p, c, f in kinds))
+    assert all(x["got"] == x["want"] for r in pairs.collect() for x in r)
+    assert "(?=[ADEGIJ])(?<!" in _plan(rows.select(lang.protected_tokens(F.col("t"))))
