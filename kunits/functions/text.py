@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +22,21 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", ASCII_EDGE)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+#: Texts of a batch that are Python strings at a time.
+TEXTS_AT_ONCE = 256
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    pieces = (values.slice(at, TEXTS_AT_ONCE) for at in range(0, len(values), TEXTS_AT_ONCE))
+    normal = [p if p.null_count == len(p) else pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in p.to_pylist()], values.type) for p in pieces]
+    return pa.concat_arrays(normal) if normal else values
 
 
 def nfkc(column: Column) -> Column:
-    """Unicode NFKC; Spark has no native function for it."""
-    return _nfkc(column)
+    """Unicode NFKC; Spark has no native function for it. Only texts that aren't ASCII go to Python, a few at a time."""
+    plain = F.octet_length(column) == F.char_length(column)
+    return F.when(plain, column).otherwise(_nfkc(F.when(~plain, column)))
 
 
 def clean(column: Column, most: int = 8000, normal: bool = True) -> Column:

@@ -39,3 +39,10 @@ def test_facts_start_where_their_first_character_is(spark):
     pairs = rows.select(*(F.struct(lang._extract(F.col("t"), p, case=c, first=f).alias("got"), lang._extract(F.col("t"), p, case=c).alias("want")) for p, c, f in kinds))
     assert all(x["got"] == x["want"] for r in pairs.collect() for x in r)
     assert "(?=[ADEGIJ])(?<!" in _plan(rows.select(lang.protected_tokens(F.col("t"))))
+
+
+def test_only_texts_beyond_ascii_are_normalised_in_python(spark):
+    values = ["plain", "", None, "ﬁne", "é", "全角Ａ", *("é%d" % i for i in range(600))]
+    rows = spark.createDataFrame([(v,) for v in values], "t string")
+    assert [r[0] for r in rows.select(text.nfkc(F.col("t"))).collect()] == [v if v is None else unicodedata.normalize("NFKC", v) for v in values]
+    assert "octet_length" in _plan(rows.select(text.nfkc(F.col("t"))))
