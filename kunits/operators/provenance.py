@@ -134,8 +134,12 @@ def point_atoms(atoms: DataFrame, points: DataFrame, evidence: DataFrame, doc: s
     """(atom_id, point_id, evidence_id links, counts of what was dropped): many to many, explicit attribution only."""
     asked = atoms.select(doc, "atom_id", F.explode_outer("point_ids").alias("point_id"))
     known = points.select(doc, "point_id", "evidence_ids")
-    rows = asked.join(known, [doc, "point_id"], "left").withColumn("evidence_id", F.explode_outer("evidence_ids"))
-    rows = rows.join(evidence.select(doc, "evidence_id", F.lit(True).alias("held")), [doc, "evidence_id"], "left")
+    # A missing id meets nothing: it is dealt by its atom, as all of a document's missing ids would go to one task.
+    spread = lambda key: F.when(F.col(key).isNull(), F.xxhash64("atom_id")).otherwise(0).alias("_deal")
+    met = F.lit(0).cast("long").alias("_deal")
+    rows = asked.select("*", spread("point_id")).join(known.select("*", met), [doc, "point_id", "_deal"], "left").drop("_deal")
+    rows = rows.withColumn("evidence_id", F.explode_outer("evidence_ids")).select("*", spread("evidence_id"))
+    rows = rows.join(evidence.select(doc, "evidence_id", F.lit(True).alias("held"), met), [doc, "evidence_id", "_deal"], "left").drop("_deal")
     reason = F.when(F.col("point_id").isNull(), "no_attribution").when(F.col("evidence_ids").isNull(), "unknown_point").when(F.col("held").isNull(), "missing_evidence")
     rows = rows.withColumn("dropped", reason)
     return rows.where("dropped is null").select(doc, "atom_id", "point_id", "evidence_id"), rows.where("dropped is not null").groupBy(doc, "dropped").agg(F.count("*").alias("n"))

@@ -15,6 +15,19 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_missing_ids_are_dealt(spark):
+    atoms = spark.range(2000).select(F.lit(1).alias("source_document_id"), F.col("id").alias("atom_id"), F.when(F.col("id") % 4 > 0, F.array("id", F.col("id") + 10_000)).alias("point_ids"))
+    points = spark.range(2000).select(F.lit(1).alias("source_document_id"), F.col("id").alias("point_id"), F.when(F.col("id") % 4 > 1, F.array("id", F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>")).alias("evidence_ids"))
+    evidence = spark.range(0, 2000, 3).select(F.lit(1).alias("source_document_id"), F.col("id").alias("evidence_id"))
+    links, dropped = provenance.point_atoms(atoms, points, evidence)
+    with_evidence = [i for i in range(2000) if i % 4 > 1]
+    held = {i for i in with_evidence if i % 3 == 0}
+    assert {tuple(r) for r in links.collect()} == {(1, i, i, i) for i in held}
+    want = {"no_attribution": 500, "unknown_point": 1500, "missing_evidence": 500 + 2 * len(with_evidence) - len(held)}
+    assert {r.dropped: r.n for r in dropped.collect()} == want
+    assert all("_deal" in line for line in _plan(dropped).splitlines() if "Join LeftOuter" in line)
+
+
 def test_renderings_run_where_their_words_are(spark):
     words = ["shall", "Shall Not", "must", "may", "may_be", "risks", "Risk", "requirement事項", "禁止", "工程", "リスク", "action items", "process", "rеquired", "required to", "べき", "x", "。", "processing"]
     rng = random.Random(3)
