@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,9 +56,11 @@ RENDERINGS = (
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    """Characters of the text by script."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("int")
-    return {"han": count(r"\p{IsHan}"), "hiragana": count(r"\p{IsHiragana}"), "katakana": count(r"\p{IsKatakana}"), "latin": count("[A-Za-z]")}
+    """Characters of the text by script: what the text loses without them."""
+    count = lambda pattern: F.char_length(text) - F.char_length(F.regexp_replace(text, f"{pattern}+", ""))
+    ascii_alone = F.octet_length(text) == F.char_length(text)
+    other = lambda pattern: F.when(ascii_alone, 0).otherwise(count(pattern))
+    return {"han": other(r"\p{IsHan}"), "hiragana": other(r"\p{IsHiragana}"), "katakana": other(r"\p{IsKatakana}"), "latin": count("[A-Za-z]")}
 
 
 def _language_of(han: Column, kana: Column, latin: Column) -> Column:
@@ -104,6 +107,11 @@ def _occurs(text: Column, low: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, found + ([text.rlike("(?i)" + ascii_edges(rest))] if rest else []))
 
 
+def _with_lower(text: Column, then: Callable[[Column], Column]) -> Column:
+    """*then* of the text from :func:`_ascii_lower`, made once."""
+    return F.get(F.transform(F.array(_ascii_lower(text)), then), 0)
+
+
 def _signal(text: Column, low: Column, kind: str) -> Column:
     return sum((_occurs(text, low, p).cast("int") for p in SIGNALS[kind]), F.lit(0))
 
@@ -115,7 +123,7 @@ def signal(text: Column, kind: str) -> Column:
 
 def semantic_signals(text: Column) -> Column:
     """struct of the scores of all kinds; the text is put in lower case once."""
-    return F.get(F.transform(F.array(_ascii_lower(text)), lambda low: F.struct(*(_signal(text, low, k).alias(k) for k in SIGNALS))), 0)
+    return _with_lower(text, lambda low: F.struct(*(_signal(text, low, k).alias(k) for k in SIGNALS)))
 
 
 def ranked_kinds(signals: Column) -> Column:
@@ -125,11 +133,14 @@ def ranked_kinds(signals: Column) -> Column:
 
 
 def dominant_kind(text: Column) -> Column:
-    """The best kind, ``fact`` without any signal. Only ``parameter`` can score two."""
-    return kind_of(semantic_signals(text))
+    """The best kind, ``fact`` without any signal. Only ``parameter`` can score two.
 
+    The text is put in lower case once; kinds are tried in turn, none after the one that is there.
+    """
+    return _with_lower(text, lambda low: kind_of({k: _signal(text, low, k) for k in SIGNALS}))
 
-def kind_of(signals: Column) -> Column:
+
+def kind_of(signals: Column | dict[str, Column]) -> Column:
     """The best kind of the scores from :func:`semantic_signals`, as :func:`dominant_kind`."""
     chain = F.when(signals["parameter"] == 2, "parameter")
     for kind in SIGNALS:
@@ -138,14 +149,17 @@ def kind_of(signals: Column) -> Column:
 
 
 def domains(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike("(?i)" + p), tag) for tag, p in DOMAINS)))
+    return _with_lower(text, lambda low: F.array_compact(F.array(*(F.when(_occurs(text, low, p), tag) for tag, p in DOMAINS))))
 
 
 def first_of(text: Column, rules: tuple[tuple[str, str], ...], otherwise: str) -> Column:
-    found = F.lit(otherwise)
-    for name, pattern in reversed(rules):
-        found = F.when(text.rlike("(?i)" + pattern), name).otherwise(found)
-    return found
+    def first(low: Column) -> Column:
+        found = F.lit(otherwise)
+        for name, pattern in reversed(rules):
+            found = F.when(_occurs(text, low, pattern), name).otherwise(found)
+        return found
+
+    return _with_lower(text, first)
 
 
 def _extract(text: Column, pattern: str, most: int | None = None, case: bool = True, first: str = "") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,8 +29,8 @@ def capped(rows: DataFrame, partition: list[str], order: list[str], most: int, n
 
 
 def described(blocks: DataFrame, id_col: str = "source_document_id") -> DataFrame:
-    """Blocks with noise reason, semantic kind, heading and subject."""
-    rows = with_occurrence(blocks, id_col)
+    """Blocks with noise reason, semantic kind, heading and subject, dealt by document once for all that follows."""
+    rows = with_occurrence(blocks.repartition(id_col), id_col)
     rows = rows.withColumn("dropped_reason", noise_reason(F.col("text"), F.col("kind"), F.col("occurrence"), flag(F.col("metadata"), "noise", "structural_noise")))
     last = F.coalesce(F.try_element_at("hierarchy", F.lit(-1)), F.lit(""))
     heading = F.when((F.col("kind") == "heading") | (F.size("hierarchy") > 0), F.substring(F.when(F.col("text") != "", F.col("text")).otherwise(last), 1, 300)).otherwise("")
@@ -111,21 +113,29 @@ def merge_adjacent(rows: DataFrame, keys: list[str], id_col: str, order: str, te
     """Number groups of adjacent rows with equal *keys* whose text stays under *most* characters.
 
     Adds ``merged`` (from 1 in each document). The length that a row is
-    compared with is that of the group so far, line breaks included.
+    compared with is that of the group so far, line breaks included. Windows
+    number the runs of equal keys; only the runs that don't fit in one group
+    are folded, each for the places where its further groups start.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        out, number, held, last = [], 0, 0, None
-        for key, size in zip(pdf[keys].itertuples(index=False, name=None), pdf["_size"], strict=True):
-            if last == key and held + size < most:
-                held += size + 1
-            else:
-                number, held, last = number + 1, size, key
-            out.append(number)
-        return pdf[[id_col, order]].assign(merged=out)
-
-    key, at = (rows.schema[c].dataType.simpleString() for c in (id_col, order))
-    sized = rows.select(id_col, order, *keys, F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_size"))
-    numbered = sized.groupBy(id_col).applyInPandas(fold, f"{id_col} {key}, {order} {at}, merged int")
-    return rows.join(numbered, [id_col, order])
+    in_order, run = W.partitionBy(id_col).orderBy(order), W.partitionBy(id_col, "_run")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lag(k).over(in_order)) for k in keys))
+    sized = rows.withColumn("_size", F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")).withColumn("_run", F.sum((~same).cast("int")).over(in_order))
+    several = F.count("*").over(run)
+    sized = sized.withColumn("_long", (several > 1) & (F.sum("_size").over(run) + several - 2 >= most))
+
+    none = F.slice(F.array(F.col(order)), 1, 0)
+    begun = F.struct(F.lit(None).cast("long").alias("held"), none.alias("starts"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        fits = so_far["held"] + x["_size"] < most
+        return F.when(so_far["held"].isNull(), F.struct(x["_size"].alias("held"), so_far["starts"].alias("starts"))).otherwise(F.struct(
+            F.when(fits, so_far["held"] + x["_size"] + 1).otherwise(x["_size"]).alias("held"), F.when(fits, so_far["starts"]).otherwise(F.concat(so_far["starts"], F.array(x[order]))).alias("starts"),
+        ))
+
+    long_runs = sized.where("_long").groupBy(id_col, "_run").agg(F.array_sort(F.collect_list(F.struct(order, "_size"))).alias("_rows"), F.min(order).alias(order))
+    cut = long_runs.select(id_col, F.struct("_run", F.aggregate("_rows", begun, step)["starts"].alias("starts")).alias("_cut")).groupBy(id_col).agg(F.collect_list("_cut").alias("_cuts"))
+    found = sized.join(cut, id_col, "left")
+    starts = F.get(F.filter("_cuts", lambda c: c["_run"] == F.col("_run")), 0)["starts"]
+    part = F.when(F.col("_long"), F.size(F.filter(starts, lambda s: s <= F.col(order)))).otherwise(0)
+    numbered = found.withColumn("_part", part).withColumn("merged", F.dense_rank().over(W.partitionBy(id_col).orderBy("_run", "_part")))
+    return numbered.drop("_size", "_run", "_long", "_cuts", "_part")

@@ -59,3 +59,30 @@ def test_only_texts_beyond_ascii_are_normalised_in_python(spark):
     rows = spark.createDataFrame([(v,) for v in values], "t string")
     assert [r[0] for r in rows.select(text.nfkc(F.col("t"))).collect()] == [v if v is None else unicodedata.normalize("NFKC", v) for v in values]
     assert "octet_length" in _plan(rows.select(text.nfkc(F.col("t"))))
+
+
+def test_kinds_are_tried_once(spark):
+    rows = spark.createDataFrame([("a", "x must y")], "n string, t string")
+    kind = F.when(F.col("n") == "b", "noise").otherwise(lang.dominant_kind(F.col("t")))
+    assert rows.select(kind).first()[0] == "requirement"
+    assert _plan(rows.select(kind)).count("retrospective") < 4
+
+
+def test_merged_rows_without_python(spark):
+    rng = random.Random(11)
+    rows = [(doc, n, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, "x" * rng.randrange(9)])) for doc in range(40) for n in range(60)]
+    want = {}
+    for doc in range(40):
+        number, held, last = 0, 0, ()
+        for _, n, k, t in (r for r in rows if r[0] == doc):
+            size = len(t or "")
+            if last == (k,) and held + size < 20:
+                held += size + 1
+            else:
+                number, held, last = number + 1, size, (k,)
+            want[doc, n] = number
+    rng.shuffle(rows)
+    got = segment.merge_adjacent(spark.createDataFrame(rows, "doc long, ord int, k string, t string"), ["k"], "doc", "ord", "t", most=20)
+    assert got.columns == ["doc", "ord", "k", "t", "merged"]
+    assert {(r.doc, r.ord): r.merged for r in got.collect()} == want
+    assert "Pandas" not in _plan(got)
