@@ -115,6 +115,7 @@ def leader_groups(rows: DataFrame, by: list[str], key: str, most: int, mark: str
         raise ValueError("groups need a column, and a leader must be near itself")
     scratch = scratch or Scratch(rows.sparkSession)
     columns = rows.columns
+    rows = scratch.stored(rows, "signed")  # signatures are made once, not by every reader of the rows
     usable = F.col(key).isNotNull() & F.col(mark).isNotNull()
     whole = rows.where(~usable).select(*columns, F.col(key).alias("leader"))
     left, tried = rows.where(usable), FIRST_LEADERS

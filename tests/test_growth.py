@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from kunits.functions import lang, text
-from kunits.operators import provenance, segment
+from kunits.operators import provenance, segment, similar
 
 
 def _plan(df) -> str:
@@ -86,3 +86,15 @@ def test_merged_rows_without_python(spark):
     assert got.columns == ["doc", "ord", "k", "t", "merged"]
     assert {(r.doc, r.ord): r.merged for r in got.collect()} == want
     assert "Pandas" not in _plan(got)
+
+
+def test_leaders_read_signatures_that_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(i):
+        made.add(1)
+        return i % 7 * 0x111
+
+    rows = spark.range(60).select((F.col("id") % 3).alias("group"), "id", F.udf(mark, "long")("id").alias("mark"))
+    assert similar.leader_groups(rows, ["group"], "id", 2).count() == 60
+    assert made.value == 60
