@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kunits.session import parts_of
+
 #: HTTP statuses worth another try, besides all of 5xx (fixed values).
 TRANSIENT = (408, 425, 429, 529)
 #: Failure rules in order: pattern of code or status, stable code, category, retryable (fixed values).
@@ -194,10 +196,13 @@ def complete(rows: DataFrame, done: DataFrame, doc: str, key: str) -> DataFrame:
 def regeneration_plan(selected: DataFrame, atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points to make again, selected cards that are refused): closed for points that others share."""
     points = atoms.select("card_id", F.explode("point_ids").alias("point_id"))
+    parts = parts_of(points)
+    points = points.repartition(parts, "card_id")
     mine = points.join(selected.select("card_id"), "card_id", "left_semi")
     shared = points.join(selected.select("card_id"), "card_id", "left_anti").select("point_id").distinct()
-    refused = mine.join(shared, "point_id", "left_semi").select("card_id").distinct().unionByName(selected.select("card_id").join(points.select("card_id"), "card_id", "left_anti")).distinct()
-    return mine.join(refused, "card_id", "left_anti").select("point_id").distinct(), refused
+    sharing = mine.repartition(parts, "point_id").join(shared, "point_id", "left_semi").select("card_id")
+    refused = sharing.unionByName(selected.select("card_id").join(points.select("card_id"), "card_id", "left_anti")).repartition(parts, "card_id").distinct()
+    return mine.join(refused, "card_id", "left_anti").select("point_id").repartition(parts, "point_id").distinct(), refused
 
 
 def translation_requests(regions: DataFrame, cache: DataFrame, prompt: str = "universal-zh-v1", model: str = "configured-provider") -> tuple[DataFrame, DataFrame]:

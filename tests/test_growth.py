@@ -7,8 +7,9 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from kunits import session
 from kunits.functions import lang, text
-from kunits.operators import provenance, segment, similar
+from kunits.operators import ops, provenance, segment, similar
 
 
 def _plan(df) -> str:
@@ -98,3 +99,11 @@ def test_leaders_read_signatures_that_are_made_once(spark):
     rows = spark.range(60).select((F.col("id") % 3).alias("group"), "id", F.udf(mark, "long")("id").alias("mark"))
     assert similar.leader_groups(rows, ["group"], "id", 2).count() == 60
     assert made.value == 60
+
+
+def test_parts_follow_the_rows(spark):
+    assert session.parts_of(spark.range(1000), rows=10) == 100
+    atoms = spark.createDataFrame([(1, [5, 6]), (2, [6]), (3, [7])], "card_id long, point_ids array<long>")
+    points, refused = ops.regeneration_plan(spark.createDataFrame([(1,), (3,), (4,)], "card_id long"), atoms)
+    assert ([r[0] for r in points.collect()], sorted(r[0] for r in refused.collect())) == ([7], [1, 4])
+    assert "RepartitionByExpression [point_id" in _plan(points) and "RepartitionByExpression [card_id" in _plan(refused)
