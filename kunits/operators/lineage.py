@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kunits.session import Scratch
+from kunits.session import Scratch, parts_of
 
 SUPERSEDES = "supersedes"
 
@@ -36,8 +36,11 @@ def evolution_index(records: DataFrame, edges: DataFrame, order: str = "order",
     """
     scratch = scratch or Scratch(records.sparkSession)
     ids = records.select(F.col(key).alias("id")).where("id is not null").distinct()
-    known = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+    edges = scratch.stored(edges.select("source", "target", "type", F.col(order).alias(order)), "edges")
+    parts = parts_of(edges)
+    known = edges.repartition(parts, "source").join(ids.select(F.col("id").alias("source")), "source", "left_semi").repartition(parts, "target").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
     step = scratch.stored(ids.join(successors(known, order), "id", "left"), "steps")
+    scratch.drop(edges)
     # at: where the pointer is; depth: steps taken; open: whether it may go on.
     now = scratch.stored(step.select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("long").alias("depth"), F.col("next").isNotNull().alias("open")), "pointers")
     open_before, ring_before = -1, -1
