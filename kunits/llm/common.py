@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,44 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_last: list[Callable[[], None]] = []
+
+
+def _begun(forget: Callable[[], None]) -> None:
+    """Drop what a worker keeps for the operator that it worked for before, if that was another."""
+    if _last and _last[0] is not forget:
+        _last.pop()()
+    _last[:] = [forget]
+    pa.default_memory_pool().release_unused()
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory of those that are done goes back to the system before the next is read."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def lean(forget: Callable[[], None]) -> Callable[[Callable], Callable]:
+    """For functions of mapInArrow. Spark uses a worker again for other operators, and what each left behind would add up.
+
+    A worker keeps the caches of one operator at a time: *forget*, a function
+    of its module, drops them once a task of another begins. Between batches,
+    and after the last, Arrow gives free memory back.
+    """
+
+    def of(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _begun(forget)
+            yield from run(_in_turn(batches))
+            pa.default_memory_pool().release_unused()
+
+        return task
+
+    return of
+
+
 def text_key(text: str | F.Column) -> F.Column:
     """128-bit key of a text as hex; null texts share the key of no text at all."""
     column = F.col(text) if isinstance(text, str) else text

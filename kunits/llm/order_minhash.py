@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kunits.llm.common import fresh, text_key, written
+from kunits.llm.common import fresh, lean, text_key, written
 
 #: Words of a k-mer, least similarity, hash functions, k-mers of a sketch.
 SHINGLE, SIMILARITY, FUNCTIONS, KEPT = 5, 0.8, 30, 5
@@ -63,6 +63,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _M2
     h = (h ^ (h >> np.uint64(29))) * _M1
@@ -148,6 +152,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 def _sketched(documents: DataFrame, text_col: str, id_col: str, shingle: int, least: float, functions: int) -> DataFrame:
     """doc_id, node (16-byte text key), n (k-mers), sketch: a row for each document."""
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -169,6 +174,7 @@ def _sketched(documents: DataFrame, text_col: str, id_col: str, shingle: int, le
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """node, leader, ok: whether the texts of each pair are similar."""
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kmers = None, np.empty(0, np.uint64)
         for batch in batches:
@@ -261,6 +267,7 @@ def _by_rarest(texts: DataFrame, nodes: DataFrame, shingle: int, least: float) -
     the first few of both texts, follows how many they have in common at most.
     """
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):

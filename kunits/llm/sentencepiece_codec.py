@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kunits.llm.common import lean
+
 MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -230,6 +232,10 @@ def _shared(a: str, b: str) -> int:
 _models: dict[str, PieceModel] = {}
 
 
+def forget() -> None:
+    _models.clear()
+
+
 def loaded(data: bytes) -> PieceModel:
     """The model of these bytes, parsed once in each worker."""
     key = hashlib.sha256(data).hexdigest()
@@ -248,6 +254,7 @@ def encode_documents(df: DataFrame, model: bytes, id_col: str = "doc_id", text_c
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # one vocabulary file
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(shared.value)
         for batch in batches:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kunits.llm.common import lean
+
 WINDOW = 20
 #: A perfect difference cover: every remainder modulo 13 is a difference of two of these (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -51,6 +53,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of other than space and ``\\t\\n\\v\\f\\r``."""
     return (text or "").encode().split()
@@ -185,6 +191,7 @@ def _anchor_stage(buckets: int, parts: int, window: int):
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, counts, h in _chunks(batches, 2):
             docs, marks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -222,6 +229,7 @@ def _later(doc: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.nda
 def _window_stage(buckets: int, parts: int, window: int):
     """Starts of windows whose words also start earlier."""
 
+    @lean(forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, counts, h in _chunks(batches, 2):
             docs, marks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -300,6 +308,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "do
 
     schema = T.StructType([packed.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
+    @lean(forget)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

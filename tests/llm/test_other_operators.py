@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import DOCS, odd_documents
 from pyspark.sql import functions as F
 
-from kunits.llm import adaptive_scan, chat_templates, html_extraction, queries, url_rules
+from kunits.llm import adaptive_scan, chat_templates, common, html_extraction, order_minhash, queries, sentencepiece_codec, substring_dedup, url_rules
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -405,6 +407,22 @@ def test_queries_against_sql(spark, name):
     assert sorted(map(tuple, got.select(*order).collect())) == sorted(want.project(", ".join(order)).fetchall())
 
 
+def test_a_worker_keeps_the_caches_of_one_operator():
+    """Workers are used again by all stages of a pipeline: what one leaves behind would add up."""
+    model = Path(queries.PIECES).read_bytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
+    codec = sentencepiece_codec.loaded(model)
+    list(common.lean(sentencepiece_codec.forget)(lambda batches: (codec.packed(["a b"]) and b for b in batches))(iter([batch])))
+    assert sentencepiece_codec._models
+    list(common.lean(sentencepiece_codec.forget)(lambda batches: batches)(iter([batch])))
+    assert sentencepiece_codec._models  # the next task of the same operator has them still
+    list(common.lean(order_minhash.forget)(lambda batches: (len(order_minhash.labelled("a b")) and b for b in batches))(iter([batch])))
+    assert not sentencepiece_codec._models
+    assert order_minhash._hashes
+    list(common.lean(substring_dedup.forget)(lambda batches: batches)(iter([batch])))
+    assert not order_minhash._hashes
+
+
 def test_pipeline_on_odd_documents(spark, tmp_path):
     import corpus_pipeline
 
