@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kunits import session
 from kunits.functions import lang, text
-from kunits.operators import ops, provenance, segment, similar
+from kunits.operators import ops, provenance, schemas, segment, similar
 
 
 def _plan(df) -> str:
@@ -107,3 +107,14 @@ def test_parts_follow_the_rows(spark):
     points, refused = ops.regeneration_plan(spark.createDataFrame([(1,), (3,), (4,)], "card_id long"), atoms)
     assert ([r[0] for r in points.collect()], sorted(r[0] for r in refused.collect())) == ([7], [1, 4])
     assert "RepartitionByExpression [point_id" in _plan(points) and "RepartitionByExpression [card_id" in _plan(refused)
+
+
+def test_schemas_look_into_a_value_once(spark):
+    """Keys are looked up, not listed; a value is bound without an array of one."""
+    rows = spark.createDataFrame([('{"id":1,"lines":[{"n":1},{"n":"x"},{"m":null},7]}',), ('{"id":null}',), ("[]",)], "doc string")
+    line = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "m": {"type": "null"}}}
+    errors = schemas.violations(F.col("doc"), {"type": "object", "required": ["id"], "properties": {"id": {"type": ["integer", "null"]}, "lines": {"items": {"$ref": "#/$defs/line"}}}, "$defs": {"line": line}})
+    got = rows.select("doc", errors.alias("e"))
+    assert [r.e for r in got.collect()] == [["$.lines[1].n:type", "$.lines[2].n:required", "$.lines[3]:type"], [], ["$:type"]]
+    plan = _plan(got)
+    assert "map_keys" not in plan and "transform(array(" not in plan
