@@ -194,6 +194,50 @@ def test_sentencepiece_like_the_library(spark, model):
     assert sentencepiece_codec.encode_documents(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_sentencepiece_in_small_slices_encodes_frequent_words_once(model, monkeypatch):
+    """What a worker keeps is bounded; a word of every slice stays, and no limit changes a result."""
+    import pyarrow as pa
+
+    S = sentencepiece_codec
+    texts = [f"the {prose(i, 3)} {i}" for i in range(60)] + [None, "", "x" * 200, "  two  ▁ spaces "]
+    want = S.PieceModel.parse(model).encode_batch([t or "" for t in texts])
+    codec, asked, forward = S.PieceModel.parse(model), [], S.PieceModel._bpe
+    monkeypatch.setattr(S, "KEPT_WORDS", 20)
+    monkeypatch.setattr(S, "KEPT_STEPS", 30, raising=False)
+    monkeypatch.setattr(S, "SLICE_BYTES", 100, raising=False)
+    monkeypatch.setattr(codec, "_bpe", lambda words: asked.extend(words) or forward(codec, words))
+    assert [codec.encode_batch([t or ""])[0] for t in texts] == want
+    assert asked.count("▁the") == 1
+    parts = list(S._slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["a", "b"])))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == [t or "" for t in texts]
+    assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p.column(1).to_pylist()) <= 100 for p in parts)
+
+
+def test_pieces_follow_as_in_plain_bpe():
+    """Random vocabularies, with equal scores and pieces that BPE never makes."""
+    r = random.Random(7)
+    S = sentencepiece_codec
+
+    def plain(text: str, scores: dict[str, float]) -> list[str]:
+        parts = list(text)
+        while found := [(-scores[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in scores]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    for _ in range(60):
+        texts = ["▁", *"abc", *sorted({"▁" * r.randrange(2) + "".join(r.choices("abc", k=r.randrange(2, 5))) for _ in range(15)})]
+        codec = S.PieceModel([("<unk>", 0.0, S.UNKNOWN)] + [(p, -float(r.randrange(1, 9)), S.NORMAL) for p in texts], "bpe")
+        scores = {p: codec.scores[i] for p, i in codec.ids.items()}
+        for b in codec.ids:
+            assert codec.follows(-1, codec.ids[b]) == (plain(b, scores) == [b])
+            for a in codec.ids:
+                assert codec.follows(codec.ids[a], codec.ids[b]) == (plain(a + b, scores) == [a, b])
+        words = ["▁" + "".join(r.choices("abcd", k=r.randrange(1, 12))) for _ in range(20)]
+        want = [[codec.ids.get(p, codec.unknown) for p in plain(w, scores)] for w in words]
+        assert codec.encode_batch([w[1:] for w in words]) == [[x for i, x in enumerate(ids) if x != codec.unknown or ids[i - 1 : i] != [x]] for ids in want]
+
+
 def test_unigram_viterbi_against_brute_force():
     r = random.Random(3)
     S = sentencepiece_codec
