@@ -162,13 +162,14 @@ def first_of(text: Column, rules: tuple[tuple[str, str], ...], otherwise: str) -
     return _with_lower(text, first)
 
 
-def _extract(text: Column, pattern: str, most: int | None = None, case: bool = True, first: str = "") -> Column:
+def _extract(text: Column, pattern: str, most: int | None = None, case: bool = True, first: str = "", longest: int | None = 160) -> Column:
     r"""Distinct matches in order. *first*: the class of characters that a match starts with, where the pattern starts
     with ``\b``: it is looked at before the character in front of it, so most places are left at once."""
     edged = f"(?={first})(?<![A-Za-z0-9_])" + pattern.removeprefix(r"\b") if first else pattern
     found = F.regexp_extract_all(text, F.lit(("" if case else "(?i)") + ascii_edges(edged)), F.lit(0))
     found = found if most is None else F.slice(found, 1, most)
-    return unique_first(F.transform(found, lambda v: F.substring(F.trim(F.regexp_replace(v, CONTROL, "")), 1, 160)))
+    bare = lambda v: F.trim(F.regexp_replace(v, CONTROL, ""))
+    return unique_first(F.transform(found, bare if longest is None else lambda v: F.substring(bare(v), 1, longest)))
 
 
 def extract_numbers(text: Column, whole_units: bool = False) -> Column:
@@ -189,8 +190,9 @@ def extract_facts(text: Column, whole_units: bool = False) -> Column:
 
 
 def protected_tokens(text: Column) -> Column:
-    """What a translation must keep: facts, standards and hyphenated names."""
-    return F.array_distinct(F.concat(extract_numbers(text), extract_dates(text), extract_models(text), _extract(text, STANDARD, case=False, first="[ADEGIJ]"), _extract(text, NAME, first="[A-Z]")))
+    """What a translation must keep: all numbers, dates, models, standards and hyphenated names, each whole."""
+    kinds = ((NUMBER, False, ""), (DATE, True, "[0-9]"), (MODEL, True, "[A-Z]"), (STANDARD, False, "[ADEGIJ]"), (NAME, True, "[A-Z]"))
+    return F.array_distinct(F.concat(*(_extract(text, pattern, case=case, first=first, longest=None) for pattern, case, first in kinds)))
 
 
 def _words(pattern: str) -> list[str]:

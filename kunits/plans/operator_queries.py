@@ -241,13 +241,12 @@ def date_facts(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.array_join(lang.extract_dates(F.col("text")), "|").alias("dates"))
 
 
-def _facts_sql(pattern: str, most: int | None) -> str:
-    found = f"regexp_extract_all(text, {_q(pattern)})"
-    return f"list_transform({f'list_slice({found}, 1, {most})' if most else found}, lambda v: left(trim(regexp_replace(v, {_CONTROL})), 160))"
+def _facts_sql(pattern: str) -> str:
+    return f"list_transform(regexp_extract_all(text, {_q(pattern)}), lambda v: trim(regexp_replace(v, {_CONTROL})))"
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, list_filter(list_concat({_facts_sql('(?i)' + lang.NUMBER, 20)}, {_facts_sql(lang.DATE, 10)}, {_facts_sql(lang.MODEL, 10)}, {_facts_sql('(?i)' + lang.STANDARD, None)}, {_facts_sql(lang.NAME, None)}), lambda v: v <> '') AS v FROM documents)
+WITH d AS (SELECT doc_id, list_filter(list_concat({_facts_sql('(?i)' + lang.NUMBER)}, {_facts_sql(lang.DATE)}, {_facts_sql(lang.MODEL)}, {_facts_sql('(?i)' + lang.STANDARD)}, {_facts_sql(lang.NAME)}), lambda v: v <> '') AS v FROM documents)
 SELECT doc_id, CAST(len(list_distinct(v)) AS INTEGER) AS n, sha256(array_to_string(list_sort(list_distinct(v)), '|')) AS hash FROM d""")
 def protected_facts(spark: SparkSession, sf: str) -> DataFrame:
     """X-05: what a translation must keep."""

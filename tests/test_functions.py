@@ -47,6 +47,17 @@ def test_facts_use_ascii_boundaries(spark):
     assert any(t.startswith("ISO 9001") for t in tokens)
 
 
+def test_protected_tokens_are_all_kept(spark):
+    """Beyond twenty numbers, ten dates and ten models, and beyond 160 characters of a name."""
+    numbers, dates, models = [f"{i}.5 kg" for i in range(100, 130)], [f"2024-01-{i}" for i in range(10, 25)], [f"AB-{i}" for i in range(200, 215)]
+    names = ["Long-" + "x" * 200 + end for end in ("a", "b")]
+    value = "; ".join([*numbers, *dates, *models, *names])
+    tokens = one(spark, lang.protected_tokens(F.col("t")), value)
+    assert {*numbers, *dates, *models, *names} <= set(tokens) and len(tokens) == len(set(tokens))
+    rows = spark.createDataFrame([(value, "交付 " + value.replace(lost, "")) for lost in ("129.5 kg", "2024-01-24", "AB-214", names[1])], "s string, t string")
+    assert {r.p for r in rows.select(lang.translation_problem(F.col("s"), F.col("t")).alias("p")).collect()} == {"TRANSLATION_FIDELITY_INVALID"}
+
+
 def test_deterministic_chinese(spark):
     got = one(spark, lang.deterministic_chinese(F.col("t")), "shall not")
     assert (got.text, got.safe) == ("不得", True)
