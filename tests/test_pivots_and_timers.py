@@ -6,9 +6,11 @@ import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kunits.operators import pivots, vectors
+from kunits.session import Scratch
 
 VECTORS = "id long, label int, vector array<double>, score string"
 
@@ -54,6 +56,65 @@ def test_pruned_search_of_few_rows(spark):
     assert _rows(pivots.top_k_cosine_pruned(flat, flat, 3)[0]) == [(900, 1, 901, 0.0), (901, 1, 900, 0.0)]
 
 
+class _Counted(Scratch):
+    """Scratch that notes how many rows each table has."""
+
+    def stored(self, df, name):
+        back = super().stored(df, name)
+        self.rows = {**getattr(self, "rows", {}), name: back.count()}
+        return back
+
+
+@pytest.mark.parametrize("block", [20_000, 50])
+def test_queries_go_to_parts_not_to_cells(spark, block):
+    """A query's vector is written once a part of the index, however many cells it looks in there."""
+    rng = np.random.default_rng(1)
+    index = spark.createDataFrame([(i, i % 2, rng.standard_normal(16).tolist(), "x") for i in range(400)], VECTORS)
+    query, kept = index.where("id % 10 = 0"), _Counted(spark)
+    found, told = pivots.top_k_cosine_pruned(index, query, 5, index_block=block, scratch=kept)
+    assert _rows(found) == _rows(vectors.top_k_cosine_many(index, query, 5))
+    assert told["compared"] > told["all"] / 2  # so nearly all cells are looked in
+    assert kept.rows["rest-visits"] <= query.count() * (1 if block > 400 else 16)  # parts that can't be joined hold over 50 rows together
+
+
+def test_parts_of_cells():
+    cells = pivots.Cells(np.eye(4), np.array([5, 25, 0, 6, 4]), np.zeros(5), np.zeros(5))
+    first, spread = cells.parts(10)
+    assert spread.tolist() == [1, 3, 1, 1, 1]
+    held: dict[int, int] = {}
+    for c, (f, n) in enumerate(zip(first.tolist(), spread.tolist(), strict=True)):
+        for p in range(f, f + n):
+            held[p] = held.get(p, 0) + -(-int(cells.rows[c]) // n)
+    assert max(held.values()) <= 10 and sorted(held) == list(range(max(held) + 1))
+
+
+def test_visits_come_in_small_batches():
+    """A batch of queries that look in all cells of many parts isn't written as one."""
+    rng = np.random.default_rng(2)
+    found = pivots.units(pa.array(rng.standard_normal((300, 8)).tolist()), 8)
+    cells = pivots.Cells(found, np.full(301, 10), np.zeros(301), np.full(301, 2.0))
+    first, spread = cells.parts(10)
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("_part", pa.int32()), ("_cells", pa.list_(pa.int32())), ("_rows", pa.int64())])
+    batch = pa.record_batch({"id": pa.array(range(200)), "v": pa.array(rng.standard_normal((200, 8)).tolist()), "bound": pa.array([2.0] * 200)})
+    made = list(pivots._visits(batch, cells, first, spread, 5, 8, ["id", "v"], schema))
+    assert max(b.num_rows for b in made) <= pivots.VISITS_AT_ONCE
+    assert sum(b.num_rows for b in made) == 200 * 300  # all parts but that of the own cell
+    assert sum(sum(b.column(4).to_pylist()) for b in made) == 200 * 3000
+
+
+def test_missing_filter_columns_match_nothing(spark):
+    index = spark.createDataFrame([(i, [None, 1][i % 2], [float(i), 1.0], "x") for i in range(8)], VECTORS)
+    found, _ = pivots.top_k_cosine_pruned(index, index, 3, filters=["label"])
+    assert _rows(found) == _rows(vectors.top_k_cosine_many(index, index, 3, filters=["label"]))
+
+
+def test_vectors_as_matrix():
+    odd = [[1.0, 2.0], None, [3.0], [None, 1.0], [], [4.0, 5.0]]
+    assert vectors.matrix(pa.array(odd), 2).tolist() == [[1, 2], [0, 0], [0, 0], [0, 0], [0, 0], [4, 5]]
+    assert vectors.matrix(pa.chunked_array([pa.array(odd).slice(1, 3), pa.array(odd).slice(4)]), 2).tolist() == [[0, 0]] * 4 + [[4, 5]]
+    assert vectors.matrix(pa.array([None, []], pa.list_(pa.float64())), 0).shape == (2, 0)
+
+
 def test_cells_that_may_hold_a_neighbour():
     cells = pivots.Cells(np.eye(3), np.array([5, 5, 0, 1]), np.array([0.1, 0.5, 0.0, 0.0]), np.array([0.2, 0.6, 0.0, 0.0]))
     assert cells.open_to(np.array([0.5, 0.5, 0.5]), 0.1).tolist() == [1]  # the first is too far, the third empty
