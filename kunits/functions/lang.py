@@ -95,21 +95,33 @@ def _ascii_lower(text: Column) -> Column:
 
 
 def _occurs(text: Column, low: Column, pattern: str) -> Column:
-    """Whether a pattern occurs in any case; *low* is the text from :func:`_ascii_lower`.
+    """Whether a pattern occurs in any case; *low*: what :func:`_with_lower` has of the text.
 
     Alternatives that are plain literals are looked up as such: a pattern
-    tries every one of them at every character.
+    tries every one of them at every character. Those of Han or kana are only
+    looked for in texts that have any; what is no literal, where its beginning is.
     """
     parts = [] if re.search(r"[()\\]", pattern) else pattern.split("|")
     plain = [p for p in parts if not re.search(r"[\[\]?*+.{}^$]", p)]
     rest = "|".join(p for p in parts if p not in plain) if parts else pattern
-    found = [F.contains(low, F.lit(p.lower())) for p in plain]
-    return reduce(lambda a, b: a | b, found + ([text.rlike("(?i)" + ascii_edges(rest))] if rest else []))
+    either = lambda found: reduce(lambda a, b: a | b, found)
+    wide, narrow = ([F.contains(low["text"], F.lit(p.lower())) for p in plain if bool(re.search(WIDE, p)) == is_wide] for is_wide in (True, False))
+    found = [*([low["wide"] & either(wide)] if wide else []), *narrow]
+    if rest:
+        start = re.match(r"[a-z]+(?![a-z?*{])", rest)
+        there = text.rlike("(?i)" + ascii_edges(rest))
+        found.append(F.contains(low["text"], F.lit(start[0])) & there if start and "|" not in rest else there)
+    return either(found)
+
+
+#: Characters of Han and kana: literals that have one are only looked for in texts that have one.
+WIDE = "[\u3041-\u30ff\u4e00-\u9fff]"
 
 
 def _with_lower(text: Column, then: Callable[[Column], Column]) -> Column:
-    """*then* of the text from :func:`_ascii_lower`, made once."""
-    return F.get(F.transform(F.array(_ascii_lower(text)), then), 0)
+    """*then* of a struct, made once: the text from :func:`_ascii_lower`, and whether it has Han or kana (wide)."""
+    wide = (F.octet_length(text) != F.char_length(text)) & text.rlike(WIDE)
+    return F.get(F.transform(F.array(F.struct(_ascii_lower(text).alias("text"), wide.alias("wide"))), then), 0)
 
 
 def _signal(text: Column, low: Column, kind: str) -> Column:
@@ -118,7 +130,7 @@ def _signal(text: Column, low: Column, kind: str) -> Column:
 
 def signal(text: Column, kind: str) -> Column:
     """Score of a semantic kind: how many of its patterns occur, in any case."""
-    return _signal(text, _ascii_lower(text), kind)
+    return _with_lower(text, lambda low: _signal(text, low, kind))
 
 
 def semantic_signals(text: Column) -> Column:
@@ -217,7 +229,7 @@ def deterministic_chinese(text: Column) -> Column:
         F.struct(F.lit(p.startswith("(?i)")).alias("any_case"), F.array(*map(F.lit, _words(p))).alias("words"), F.lit(_bare_edges(p)).alias("pattern"), F.lit(r).alias("replacement"))
         for p, r in RENDERINGS
     ))
-    out = _with_lower(text, lambda low: F.aggregate(rules, text, lambda out, rule: rendered(out, low, rule)))
+    out = _with_lower(text, lambda low: F.aggregate(rules, text, lambda out, rule: rendered(out, low["text"], rule)))
     safe = F.get(F.transform(F.array(out), lambda o: (o != text) & ~detect_language(o)["language"].isin("ja", "en", "mixed")), 0)
     return F.struct(out.alias("text"), safe.alias("safe"))
 

@@ -26,6 +26,10 @@ def ascii_edges(pattern: str) -> str:
 TEXTS_AT_ONCE = 256
 
 
+#: Characters that NFKC leaves as they are, whatever stands beside them (fixed values): ASCII, Latin letters, Cyrillic, kana, Han and marks.
+STABLE = r"\x00-\x7f\u00c0-\u00ff\u0400-\u045f\u2013\u2014\u2018-\u201e\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff"
+
+
 @F.arrow_udf(T.StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
     pieces = (values.slice(at, TEXTS_AT_ONCE) for at in range(0, len(values), TEXTS_AT_ONCE))
@@ -34,8 +38,8 @@ def _nfkc(values: pa.Array) -> pa.Array:
 
 
 def nfkc(column: Column) -> Column:
-    """Unicode NFKC; Spark has no native function for it. Only texts that aren't ASCII go to Python, a few at a time."""
-    plain = F.octet_length(column) == F.char_length(column)
+    """Unicode NFKC; Spark has no native function for it. Only texts that it may change go to Python, a few at a time."""
+    plain = (F.octet_length(column) == F.char_length(column)) | column.rlike(rf"\A[{STABLE}]*+\z")
     return F.when(plain, column).otherwise(_nfkc(F.when(~plain, column)))
 
 

@@ -31,18 +31,25 @@ def strict_locator(locator: Column) -> Column:
     return F.when(given, locator)
 
 
-def canonical_blocks(raw: DataFrame) -> DataFrame:
+def cleaned(raw: DataFrame) -> DataFrame:
+    """Raw blocks with clean texts; those without any go, unless they are of layout. A text is cleaned once, not again for the filter."""
+    all_, given = F.array(clean(F.col("text"), 30000)), F.array_remove(F.array(clean(F.col("text"), 30000)), "")
+    some = F.when(F.col("kind").isin(*LAYOUT_KINDS), all_).otherwise(given) if "kind" in raw.columns else given
+    return raw.select(*(F.explode(some).alias("text") if c == "text" else F.col(c) for c in raw.columns))
+
+
+def canonical_blocks(raw: DataFrame, clean_texts: bool = False) -> DataFrame:
     """Raw blocks as canonical ones: cleaned text, known kind, hierarchy, id, locator, language.
 
     Blocks without text go, unless they are of layout. ``source_kind`` keeps
     the parser's kind. A missing id is derived from source, order and text.
+    With *clean_texts* they are those of :func:`cleaned` already.
     """
-    text = clean(F.col("text"), 30000)
     given = clean(F.col("block_id"), 160)
     made = F.concat(F.lit("blk-"), F.substring(F.sha2(F.concat(F.lit("["), json_text(F.col("source_document_id")), F.lit(","), F.col("ord"), F.lit(","), json_text(F.col("text")), F.lit("]")), 256), 1, 20))
     empty = F.array().cast("array<string>")
     hierarchy = F.concat(F.coalesce("hierarchy", empty), F.coalesce("heading_path", empty), F.array(F.substring(F.coalesce("heading", F.lit("")), 1, 300)))
-    rows = raw.withColumns({"text": text, "source_kind": F.col("kind")})
+    rows = (raw if clean_texts else cleaned(raw)).withColumn("source_kind", F.col("kind"))
     rows = rows.withColumns({
         "block_id": F.when(given != "", given).otherwise(made),
         "kind": F.when(F.col("kind").isin(*BLOCK_KINDS), F.col("kind")).otherwise("text"),
@@ -50,8 +57,7 @@ def canonical_blocks(raw: DataFrame) -> DataFrame:
         "parse_status": F.when(F.trim(F.coalesce("parse_status", F.lit(""))) != "", F.trim("parse_status")).otherwise(F.when(F.col("text") != "", "present").otherwise("missing")),
         "metadata": F.coalesce("metadata", F.create_map().cast("map<string,string>")),
     })
-    rows = rows.withColumns({"locator": canonical_locator(F.col("locator"), F.col("block_id")), "source_language": lang.detect_language(F.col("text"))})
-    return rows.where((F.col("text") != "") | F.col("kind").isin(*LAYOUT_KINDS))
+    return rows.withColumns({"locator": canonical_locator(F.col("locator"), F.col("block_id")), "source_language": lang.detect_language(F.col("text"))})
 
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,10 +105,11 @@ def flag(metadata: Column, *names: str) -> Column:
 
 
 def noise_reason(text: Column, kind: Column, occurrence: Column, marked: Column) -> Column:
-    """Why a block is noise; empty if it isn't."""
+    """Why a block is noise; empty if it isn't. Patterns of whole lines are tried where the first character fits."""
+    line = lambda pattern, starts: F.substring(text, 1, 1).isin(*starts) & text.rlike(pattern)
     return (
-        F.when(text == "", "空内容").when(marked, "适配器标记为结构噪声").when(text.rlike(PAGE_OR_CONTENTS), "页码或目录")
-        .when(kind.isin("header", "footer") & (occurrence > 1), "重复页眉页脚").when(text.rlike(BARE_SIGNATURE), "无义务内容的签名或声明").otherwise("")
+        F.when(text == "", "空内容").when(marked, "适配器标记为结构噪声").when(line(PAGE_OR_CONTENTS, "第pP目tT"), "页码或目录")
+        .when(kind.isin("header", "footer") & (occurrence > 1), "重复页眉页脚").when(line(BARE_SIGNATURE, "签sS免dD"), "无义务内容的签名或声明").otherwise("")
     )
 
 
@@ -112,6 +119,25 @@ def eligible(blocks: DataFrame) -> DataFrame:
     return blocks.where(ok & (clean_text(F.col("text"), 6000) != ""))
 
 
+#: Characters of a document that its profile looks at.
+PROFILED = 100_000
+
+
+def lifecycles(parts: DataFrame, text: str, order: str, id_col: str = "source_document_id") -> DataFrame:
+    """Adds the lifecycle that :func:`profiles` has without metadata, from the parts of a document's text, line breaks between them.
+
+    A part is looked at as far as it lies within the profile's characters.
+    What is looked for are literals of one line, so parts tell it together.
+    """
+    whole = W.partitionBy(id_col)
+    before = F.coalesce(F.sum(F.char_length(text) + 1).over(whole.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = tuple((str(i), pattern) for i, (_, pattern) in enumerate(lang.LIFECYCLES))
+    rows = parts.withColumn("_before", before)
+    rows = rows.withColumn("_place", lang.first_of(F.substring(F.col(text), F.lit(1), F.greatest(PROFILED - F.col("_before"), F.lit(0)).cast("int")), places, str(len(places)))).drop("_before", text)
+    names = F.array(*(F.lit(name) for name, _ in lang.LIFECYCLES), F.lit("unknown"))
+    return rows.withColumn("lifecycle", F.get(names, F.min("_place").over(whole).cast("int"))).drop("_place")
+
+
 def profiles(blocks: DataFrame, documents: DataFrame | None = None, id_col: str = "source_document_id") -> DataFrame:
     """One semantic profile a document, from its blocks' text (of 100,000 characters at most).
 
@@ -122,7 +148,7 @@ def profiles(blocks: DataFrame, documents: DataFrame | None = None, id_col: str
         F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("lines"),
         F.max((F.size("hierarchy") > 0) | F.col("kind").isin("heading", "table")).alias("structured"),
     )
-    rows = parts.withColumn("text", F.substring(F.array_join(F.transform("lines", lambda line: line["text"]), "\n"), 1, 100000)).drop("lines")
+    rows = parts.withColumn("text", F.substring(F.array_join(F.transform("lines", lambda line: line["text"]), "\n"), 1, PROFILED)).drop("lines")
     none = F.create_map().cast("map<string,string>")
     rows = rows.join(documents.select(id_col, "metadata"), id_col, "left").withColumn("metadata", F.coalesce("metadata", none)) if documents is not None else rows.withColumn("metadata", none)
     m = lambda *names: F.coalesce(*(F.nullif(F.trim(F.col("metadata")[n]), F.lit("")) for n in names))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kunits.functions import lang
-from kunits.operators.blocks import flag, noise_reason, with_occurrence
+from kunits.operators.blocks import flag, lifecycles, noise_reason, with_occurrence
 
 MOST_BLOCKS, MOST_CHARS, DEPTH = 8, 10_000, 12
 
@@ -28,13 +28,13 @@ def capped(rows: DataFrame, partition: list[str], order: list[str], most: int, n
     return rows.withColumn("part", F.floor((nth - 1) / most).cast("int"))
 
 
-def described(blocks: DataFrame, id_col: str = "source_document_id") -> DataFrame:
-    """Blocks with noise reason, semantic kind, heading and subject, dealt by document once for all that follows."""
-    rows = with_occurrence(blocks.repartition(id_col), id_col)
+def described(blocks: DataFrame, id_col: str = "source_document_id", dealt: bool = False) -> DataFrame:
+    """Blocks with noise reason, semantic kind, heading and subject, dealt by document once for all that follows, unless they are *dealt* so."""
+    rows = with_occurrence(blocks if dealt else blocks.repartition(id_col), id_col)
     rows = rows.withColumn("dropped_reason", noise_reason(F.col("text"), F.col("kind"), F.col("occurrence"), flag(F.col("metadata"), "noise", "structural_noise")))
     last = F.coalesce(F.try_element_at("hierarchy", F.lit(-1)), F.lit(""))
     heading = F.when((F.col("kind") == "heading") | (F.size("hierarchy") > 0), F.substring(F.when(F.col("text") != "", F.col("text")).otherwise(last), 1, 300)).otherwise("")
-    subject = F.coalesce(F.nullif(F.col("heading_text"), F.lit("")), F.nullif(last, F.lit("")), F.substring(F.regexp_extract("text", r"^([^。；;\n]*)", 1), 1, 160))
+    subject = F.coalesce(F.nullif(F.col("heading_text"), F.lit("")), F.nullif(last, F.lit("")), F.regexp_extract(F.substring("text", 1, 160), r"^([^。；;\n]*)", 1))
     rows = rows.withColumns({"semantic_kind": F.when(F.col("dropped_reason") != "", "noise").otherwise(lang.dominant_kind(F.col("text"))), "heading_text": heading})
     return rows.withColumns({
         "subject": subject, "level": F.size("hierarchy"),
@@ -42,7 +42,7 @@ def described(blocks: DataFrame, id_col: str = "source_document_id") -> DataFram
     })
 
 
-def segments(blocks: DataFrame, id_col: str = "source_document_id", scoped: bool = True) -> DataFrame:
+def segments(blocks: DataFrame, id_col: str = "source_document_id", scoped: bool = True, dealt: bool = False) -> DataFrame:
     """Described blocks with ``segment`` numbers (from 1 in each document).
 
     A segment starts at noise, after noise, at a heading, where the kind
@@ -50,7 +50,7 @@ def segments(blocks: DataFrame, id_col: str = "source_document_id", scoped: bool
     and after eight blocks. Scopes need a fold over the document; without
     them (*scoped* off) window functions give the same.
     """
-    rows = described(blocks, id_col)
+    rows = described(blocks, id_col, dealt)
     if not scoped:
         w = W.partitionBy(id_col).orderBy("ord")
         before = F.lag("semantic_kind").over(w)
@@ -101,6 +101,25 @@ def _collected(segmented: DataFrame, id_col: str, carried: list[str]) -> DataFra
     )
 
 
+def said(regions: DataFrame) -> Column:
+    """What a region says: its translation if it has one."""
+    return F.coalesce(F.nullif(F.col("translated_text"), F.lit("")), F.col("text")) if "translated_text" in regions.columns else F.col("text")
+
+
+def shown(blocks: Column) -> Column:
+    """Where each of the blocks stands that have a text."""
+    return F.transform(F.filter(blocks, lambda b: b["text"] != ""), lambda b: F.concat_ws("|", b["block_id"], b["locator"]["scheme"], b["locator"]["value"]))
+
+
+def outline(regions: DataFrame, id_col: str = "source_document_id") -> DataFrame:
+    """Regions without their texts: what units are told apart and counted by, with the lifecycle of their document."""
+    rows = regions.select(
+        id_col, "segment", "semantic_kind", "subject", "dropped_reason", "project_ids", "region_id", "fingerprint",
+        F.char_length(said(regions)).alias("chars"), shown(F.col("blocks")).alias("shown"), F.size("blocks").alias("parse_blocks"), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("lines"),
+    )
+    return lifecycles(rows, "lines", "segment", id_col)
+
+
 def parents(rows: DataFrame, id_col: str, order: str = "segment", level: str = "level", key: str = "region_id", depth: int = DEPTH) -> DataFrame:
     """parent_<key>: the nearest earlier row of a lower level, null without one."""
     before = W.partitionBy(id_col).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -109,9 +128,11 @@ def parents(rows: DataFrame, id_col: str, order: str = "segment", level: str = "
     return rows.withColumn(f"parent_{key}", lower[key])
 
 
-def merge_adjacent(rows: DataFrame, keys: list[str], id_col: str, order: str, text_col: str, most: int = MOST_CHARS) -> DataFrame:
+def merge_adjacent(rows: DataFrame, keys: list[str], id_col: str, order: str, text_col: str | None, most: int = MOST_CHARS, chars: Column | None = None) -> DataFrame:
     """Number groups of adjacent rows with equal *keys* whose text stays under *most* characters.
 
+    Rows without the text give its length in *chars*.
+
     Adds ``merged`` (from 1 in each document). The length that a row is
     compared with is that of the group so far, line breaks included. Windows
     number the runs of equal keys; only the runs that don't fit in one group
@@ -119,7 +140,8 @@ def merge_adjacent(rows: DataFrame, keys: list[str], id_col: str, order: str, te
     """
     in_order, run = W.partitionBy(id_col).orderBy(order), W.partitionBy(id_col, "_run")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lag(k).over(in_order)) for k in keys))
-    sized = rows.withColumn("_size", F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")).withColumn("_run", F.sum((~same).cast("int")).over(in_order))
+    size = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) if chars is None else F.coalesce(chars, F.lit(0))
+    sized = rows.withColumn("_size", size.cast("long")).withColumn("_run", F.sum((~same).cast("int")).over(in_order))
     several = F.count("*").over(run)
     sized = sized.withColumn("_long", (several > 1) & (F.sum("_size").over(run) + several - 2 >= most))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kunits.functions import lang
 from kunits.functions.text import unique_first
-from kunits.operators.segment import merge_adjacent
+from kunits.operators.segment import merge_adjacent, said, shown
 from kunits.schema import ACTIVE_STATES, HISTORICAL_STATES, KIND_OF_ITEM, KIND_TABLE, SEMANTIC_KINDS, TAG_SYNONYMS
 
 REUSABLE_KINDS = ("method", "process", "experience", "requirement")
@@ -51,6 +51,47 @@ def normalize_tags(candidates: Column, existing: Column | None = None, most: int
     return F.slice(F.array_distinct(good), 1, most)
 
 
+def _merged(rows: DataFrame, id_col: str, carried: list[str], kept: list[str], chars: Column | None = None) -> DataFrame:
+    """Adjacent compatible regions as one: their *carried* columns in order of segments (parts), projects, region_ids, ord and fingerprint.
+
+    Rows: regions that aren't noise, with what their document's profile says, ``shown`` and ``statement`` or *chars*.
+    """
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"projects": unique_first(F.concat(F.coalesce("project_scope", none), F.coalesce("project_ids", none))), "status": F.coalesce("lifecycle", F.lit(""))}).where(F.size("shown") > 0)
+    rows = rows.withColumn("scope", F.when(F.size("projects") > 0, "project").otherwise("general"))
+    rows = merge_adjacent(rows, ["semantic_kind", "subject", "scope", "status"], id_col, "segment", "statement" if chars is None else None, chars=chars)
+    one = F.array_sort(F.collect_list(F.struct("segment", "region_id", "fingerprint", "projects", "shown", *carried)))
+    merged = rows.groupBy(id_col, "merged", "semantic_kind", "scope", "status").agg(one.alias("parts"), *(F.first(c).alias(c) for c in kept))
+    p = lambda c: F.transform("parts", lambda x: x[c])
+    merged = merged.withColumns({"projects": F.col("parts")[0]["projects"], "region_ids": p("region_id"), "ord": F.col("parts")[0]["segment"]})
+    told = F.struct(F.flatten(p("shown")).alias("evidence"), F.col("semantic_kind").alias("kind"), F.col("projects").alias("projectIds"), F.array_join(p("fingerprint"), ",").alias("source_meaning"))
+    return merged.withColumn("fingerprint", F.sha2(F.to_json(told), 256))
+
+
+def _distinct(merged: DataFrame, id_col: str, joined: list[str]) -> DataFrame:
+    """Of equal fingerprints the first; ``every_`` column of *joined* has those of all."""
+    same = merged.groupBy(id_col, "fingerprint").agg(F.min_by(F.struct("*"), "ord").alias("u"), F.array_sort(F.collect_list(F.struct("ord", *joined))).alias("all"))
+    return same.select("u.*", *(F.flatten(F.col("all")[c]).alias(f"every_{c}") for c in joined))
+
+
+def _unit_id() -> Column:
+    return F.concat(F.lit("ku-"), F.substring("fingerprint", 1, 24))
+
+
+def outlined(regions: DataFrame, id_col: str = "source_document_id", explicit_library: str | None = None) -> DataFrame:
+    """Of the units that :func:`units` makes: id, unit_id, fingerprint, ord, region_ids, route (only whether it is ambiguous), uncertainty.
+
+    *regions* are outlines (:func:`segment.outline`) of documents without metadata.
+    """
+    rows = regions.where("semantic_kind <> 'noise'").withColumn("project_scope", F.array().cast("array<string>"))
+    merged = _merged(rows, id_col, [], [], F.col("chars")).drop("parts")
+    done = _distinct(merged, id_col, ["region_ids"])
+    route = route_unit(F.col("semantic_kind"), F.col("status"), F.col("scope") == "project", F.lit(False), F.lit(explicit_library) if explicit_library else None)
+    return done.select(
+        id_col, _unit_id().alias("unit_id"), "fingerprint", "ord", F.col("every_region_ids").alias("region_ids"), F.struct(route["ambiguous"].alias("ambiguous")).alias("route"), F.array().cast("array<string>").alias("uncertainty")
+    )
+
+
 def units(regions: DataFrame, profiles: DataFrame, id_col: str = "source_document_id", explicit_library: str | None = None) -> DataFrame:
     """Units of knowledge from regions: adjacent compatible ones merged, equal ones joined, routed and tagged.
 
@@ -61,38 +102,28 @@ def units(regions: DataFrame, profiles: DataFrame, id_col: str = "source_documen
     and evidence, so equal texts of different blocks stay apart.
     """
     rows = regions.where("semantic_kind <> 'noise'").join(profiles.select(id_col, "project_scope", "lifecycle", "authority", "business_domains"), id_col, "left")
-    said = F.coalesce(F.nullif(F.col("translated_text"), F.lit("")), F.col("text")) if "translated_text" in regions.columns else F.col("text")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({
-        "statement": said,
-        "projects": unique_first(F.concat(F.coalesce("project_scope", none), F.coalesce("project_ids", none))),
+        "statement": said(regions), "shown": shown(F.col("blocks")),
         "evidence": F.transform(F.filter("blocks", lambda b: b["text"] != ""), lambda b: F.struct(b["block_id"].alias("block_id"), b["locator"].alias("locator"), b["text"].alias("verbatim"))),
-        "status": F.coalesce("lifecycle", F.lit("")),
-    }).where(F.size("evidence") > 0)
-    rows = rows.withColumn("scope", F.when(F.size("projects") > 0, "project").otherwise("general"))
-    rows = merge_adjacent(rows, ["semantic_kind", "subject", "scope", "status"], id_col, "segment", "statement")
-    one = F.array_sort(F.collect_list(F.struct("segment", "statement", "text", "evidence", "region_id", "subject", "fingerprint", "projects")))
-    merged = rows.groupBy(id_col, "merged", "semantic_kind", "scope", "status").agg(one.alias("parts"), F.first("authority").alias("authority"), F.first("business_domains").alias("domains"))
+    })
+    merged = _merged(rows, id_col, ["subject", "statement", "text", "evidence"], ["authority", "business_domains"])
     p = lambda c: F.transform("parts", lambda x: x[c])
     merged = merged.withColumns({
-        "subject": F.col("parts")[0]["subject"], "projects": F.col("parts")[0]["projects"], "statement": F.array_join(p("statement"), "\n"), "original": F.array_join(p("text"), "\n"),
-        "evidence": F.flatten(p("evidence")), "region_ids": p("region_id"), "ord": F.col("parts")[0]["segment"], "meaning": F.array_join(p("fingerprint"), ","),
-    })
+        "subject": F.col("parts")[0]["subject"], "statement": F.array_join(p("statement"), "\n"), "original": F.array_join(p("text"), "\n"), "evidence": F.flatten(p("evidence")),
+    }).drop("parts")
     first = F.coalesce(F.nullif(F.regexp_extract("statement", r"^([^。；;\n]*)", 1), F.lit("")), F.lit("知识单元"))
-    shown = F.transform("evidence", lambda e: F.concat_ws("|", e["block_id"], e["locator"]["scheme"], e["locator"]["value"]))
     merged = merged.withColumns({
-        "fingerprint": F.sha2(F.to_json(F.struct(shown.alias("evidence"), F.col("semantic_kind").alias("kind"), F.col("projects").alias("projectIds"), F.col("meaning").alias("source_meaning"))), 256),
         "title": F.coalesce(F.nullif(F.substring("subject", 1, 180), F.lit("")), F.substring(first, 1, 120)),
         "reusable": F.col("semantic_kind").isin(*REUSABLE_KINDS) & ~F.col("original").rlike(THIS_PROJECT),
     })
     # Equal fingerprints: the first stays and takes the others' evidence and regions.
-    same = merged.groupBy(id_col, "fingerprint").agg(F.min_by(F.struct("*"), "ord").alias("u"), F.array_sort(F.collect_list(F.struct("ord", "evidence", "region_ids"))).alias("all"))
-    done = same.select("u.*", F.flatten(F.transform("all", lambda a: a["evidence"])).alias("every_evidence"), F.flatten(F.transform("all", lambda a: a["region_ids"])).alias("every_region"))
+    done = _distinct(merged, id_col, ["evidence", "region_ids"])
     done = done.withColumn("route", route_unit(F.col("semantic_kind"), F.col("status"), F.col("scope") == "project", F.col("reusable"), F.lit(explicit_library) if explicit_library else None))
-    tags = F.concat(F.array(_map({k: v[0] for k, v in KIND_TABLE.items()})[F.col("semantic_kind")]), F.coalesce("domains", none), F.col("projects"), F.array(F.when(F.col("route.library") == "active_tender", "在办").otherwise("业务知识")))
+    tags = F.concat(F.array(_map({k: v[0] for k, v in KIND_TABLE.items()})[F.col("semantic_kind")]), F.coalesce("business_domains", none), F.col("projects"), F.array(F.when(F.col("route.library") == "active_tender", "在办").otherwise("业务知识")))
     return done.select(
-        id_col, F.concat(F.lit("ku-"), F.substring("fingerprint", 1, 24)).alias("unit_id"), "fingerprint", "ord", "title", "statement", F.col("original").alias("original_statement"), "semantic_kind", "subject", "scope",
-        F.col("projects").alias("project_ids"), none.alias("entity_ids"), F.col("every_evidence").alias("evidence"), F.col("every_region").alias("region_ids"), lang.extract_facts(F.col("statement")).alias("structured_facts"),
+        id_col, _unit_id().alias("unit_id"), "fingerprint", "ord", "title", "statement", F.col("original").alias("original_statement"), "semantic_kind", "subject", "scope",
+        F.col("projects").alias("project_ids"), none.alias("entity_ids"), F.col("every_evidence").alias("evidence"), F.col("every_region_ids").alias("region_ids"), lang.extract_facts(F.col("statement")).alias("structured_facts"),
         lang.detect_language(F.col("original"))["language"].alias("source_language"), "reusable", "status", "authority", "route", normalize_tags(tags).alias("tags"), none.alias("uncertainty"),
     )
 
@@ -167,15 +198,17 @@ def review_groups(planned: DataFrame, id_col: str = "source_document_id") -> Dat
     return grouped.withColumn("review_id", F.concat(F.lit("review-"), F.substring(F.sha2(F.to_json(F.array(F.col(id_col).cast("string"), F.col("cause"))), 256), 1, 20)))
 
 
-def telemetry(blocks: DataFrame, regions: DataFrame, planned: DataFrame, ledger: DataFrame, reviews: DataFrame, id_col: str = "source_document_id") -> DataFrame:
+def telemetry(blocks: DataFrame | None, regions: DataFrame, planned: DataFrame, ledger: DataFrame, reviews: DataFrame, id_col: str = "source_document_id") -> DataFrame:
     """One row a document that has blocks: blocks, regions, units, coverage, compression, accepted, review, rejected.
 
     What each table counts is put under one another and added up by document
-    at once, so five tables cost one shuffle of counts.
+    at once, so five tables cost one shuffle of counts. Without *blocks*
+    regions have their number as ``parse_blocks``.
     """
     noise, one = F.col("semantic_kind") == "noise", F.lit(1)
     counted = [
-        (blocks, {"parse_blocks": one}), (regions, {"semantic_regions": one, "meaningful": (~noise).cast("int"), "rejected": noise.cast("int")}), (planned, {"planned_units": one}),
+        *([(blocks, {"parse_blocks": one})] if blocks is not None else []),
+        (regions, {"semantic_regions": one, "meaningful": (~noise).cast("int"), "rejected": noise.cast("int"), **({"parse_blocks": F.col("parse_blocks")} if blocks is None else {})}), (planned, {"planned_units": one}),
         (ledger, {"covered": F.col("status").isin("covered", "merged").cast("int")}), (reviews, {"review": one, "held": F.size("unit_ids")}),
     ]
     names = [name for _, counts in counted for name in counts]

@@ -12,9 +12,10 @@ from kunits.schema import RAW_BLOCKS
 from kunits.session import Scratch
 
 
-def raw_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Raw blocks of plain texts, one a line."""
+def raw_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dealt: bool = False) -> DataFrame:
+    """Raw blocks of plain texts, one a line; *dealt* ones have clean texts and lie by document."""
     lines = B.line_blocks(docs.select(F.col(id_col).cast("string").alias("source_document_id"), F.col(text_col).alias("text")), "source_document_id")
+    lines = B.cleaned(lines).repartition("source_document_id") if dealt else lines
     empty, none = F.array().cast("array<string>"), F.lit(None)
     locator = F.struct(F.lit("line").alias("scheme"), (F.col("ord") + 1).cast("string").alias("value"), none.cast("int").alias("page"), none.cast("string").alias("sheet"), none.cast("string").alias("range"), none.cast("int").alias("row"), none.cast("string").alias("column"), none.cast("string").alias("message_id"), none.cast("string").alias("attachment_id"), empty.alias("heading_path"))
     full = {
@@ -43,3 +44,16 @@ def run(raw: DataFrame, documents: DataFrame | None = None, scoped: bool = True,
         "blocks": blocks, "profiles": profiles, "regions": regions, "units": units, "coverage": ledger, "gaps": U.coverage_gaps(regions, ledger),
         "relations": U.relations(units), "crowded": U.crowded_members(units), "reviews": reviews, "telemetry": U.telemetry(blocks, regions, units, ledger, reviews),
     }
+
+
+def counts(raw: DataFrame, scoped: bool = True, explicit_library: str | None = None, scratch: Scratch | None = None, dealt: bool = False) -> DataFrame:
+    """The telemetry of :func:`run` without metadata of documents, from outlines of regions and units: no text is written.
+
+    Blocks that are *dealt* by document (:func:`raw_lines`) become regions
+    where they are; only outlines move after that.
+    """
+    kept = scratch.stored if scratch else lambda df, name: df
+    blocks = B.canonical_blocks(raw, clean_texts=dealt)
+    regions = kept(S.outline(S.regions(S.segments(blocks, scoped=scoped, dealt=dealt))), "regions")
+    units = kept(U.outlined(regions, explicit_library=explicit_library), "units")
+    return U.telemetry(None, regions, units, U.coverage(regions, units), U.review_groups(units))

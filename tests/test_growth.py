@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kunits import session
 from kunits.functions import lang, text
-from kunits.operators import ops, provenance, schemas, segment, similar
+from kunits.operators import blocks, ops, provenance, schemas, segment, similar, units
+from kunits.plans import pipeline, queries
 
 
 def _plan(df) -> str:
@@ -118,3 +119,78 @@ def test_schemas_look_into_a_value_once(spark):
     assert [r.e for r in got.collect()] == [["$.lines[1].n:type", "$.lines[2].n:required", "$.lines[3]:type"], [], ["$:type"]]
     plan = _plan(got)
     assert "map_keys" not in plan and "transform(array(" not in plan
+
+
+def _documents(spark):
+    """Documents with lifecycle words within and beyond the characters of a profile, on its edge, with long runs, noise, copies and without texts."""
+    long = "x" * 99_990
+    texts = [
+        "must do\nmust do more\nPage 3\n\nrisk of x\n第 2 页\nthe end", "报价与合同\nactive\nプロセス 工程", None, "", "  \n\t", "ﬁne e\u0301\nA\u030a must", f"{long}\ncompleted", f"{long}\ncomp\ncompleted", f"{'y' * 100_001}\ncompleted", f"{'z ' * 40_000}\nactive\n{'z ' * 9_000}\ncompleted",
+        "\n".join(["must " + "a" * 3000] * 20), "\n".join(["method"] * 30), "active", "completed\nactive", "招标 tender\n已完成",
+    ]
+    return spark.createDataFrame([*enumerate(texts), (None, "must\nlost"), (3, "twice\nrisk")], "doc_id long, text string")
+
+
+def test_counts_are_the_telemetry_of_the_whole_pipeline(spark):
+    docs = _documents(spark)
+    whole = pipeline.run(pipeline.raw_lines(docs), scoped=False)
+    want = sorted(map(str, whole["telemetry"].collect()))
+    assert sorted(map(str, pipeline.counts(pipeline.raw_lines(docs), scoped=False).collect())) == want
+    assert sorted(map(str, pipeline.counts(pipeline.raw_lines(docs, dealt=True), scoped=False, dealt=True).collect())) == want
+    outline = segment.outline(whole["regions"])
+    kept = ["unit_id", "fingerprint", "ord", "region_ids", "route.ambiguous"]
+    assert sorted(map(str, units.outlined(outline).select(*kept).collect())) == sorted(map(str, whole["units"].select(*kept).collect()))
+    of = lambda df: {tuple(r) for r in df.select("source_document_id", "lifecycle").distinct().collect()}
+    assert of(outline) == of(whole["profiles"])
+    assert {life for _, life in of(outline)} == {"completed", "active", "unknown"}
+
+
+def test_telemetry_writes_no_texts(spark, monkeypatch):
+    """Texts are cleaned once and dealt once; what is written are outlines."""
+    written, stored = {}, session.Scratch.stored
+
+    def noted(self, df, name):
+        written[name] = (df.columns, _plan(df))
+        return stored(self, df, name)
+
+    monkeypatch.setattr(session.Scratch, "stored", noted)
+    assert queries.universal_telemetry(spark, "/root/testdata/sf0.001").count() == 200
+    assert not {"text", "blocks", "statement", "evidence"} & {c for columns, _ in written.values() for c in columns}
+    assert written["regions"][1].count("_nfkc(") == 1 and "Join" not in written["regions"][1]
+
+
+def test_clean_texts_without_a_second_look(spark):
+    rows = spark.createDataFrame([("a", "x\x00"), ("header", " \n"), ("page_break", ""), ("a", "\x01 "), ("a", None), ("a", "ﬁ")], "kind string, text string")
+    kept = [(r.kind, r.text) for r in blocks.cleaned(rows).collect()]
+    assert kept == [("a", "x"), *((k, "") for k in ("header", "page_break") if k in blocks.LAYOUT_KINDS), ("a", "fi")]
+    assert _plan(blocks.cleaned(rows)).count("_nfkc(") == 1
+
+
+def test_stable_characters():
+    """Each is its own NFKC, and none is joined with the one before it."""
+    import re
+
+    stable = re.compile(f"[{text.STABLE}]")
+    chars = [chr(c) for c in range(0x110000) if stable.match(chr(c))]
+    joined = {parts[1] for c in range(0x110000) if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and not parts[0].startswith("<")}
+    assert len(chars) > 20_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in chars)
+    assert not joined & {f"{ord(c):04X}" for c in chars}
+
+
+def test_literals_of_han_are_looked_for_where_han_is(spark):
+    words = ["必须", "shall", "SHALL", "É", "follow-up", "Follow up", "followup", "follow", "リスク", "5 mm", "5 mmx", "型号", "ß", "\u212a", "action", "报价", "прайс", "しなければならない"]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = {k: sum((F.col("t").rlike("(?i)" + text.ascii_edges(p)).cast("int") for p in ps), F.lit(0)) for k, ps in lang.SIGNALS.items()}
+    found = rows.select(lang.semantic_signals(F.col("t")).alias("got"), F.struct(*(n.alias(k) for k, n in plain.items())).alias("want"), "t").collect()
+    assert [r.t for r in found if r.got != r.want] == []
+    assert ".wide" in _plan(rows.select(lang.dominant_kind(F.col("t"))))
+
+
+def test_lines_of_noise_by_their_first_character(spark):
+    lines = ["第 3 页", "第3页", "PAGE 4", "page  5", "目录", "Table Of Contents", "table of contents ", "xpage 5", "签字：", "Signature:", "签名", "免责声明", "DISCLAIMER", "disclaimer x", "", "t", "第"]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string")
+    made = blocks.noise_reason(F.col("t"), F.lit("paragraph"), F.lit(1), F.lit(False))
+    want = F.when(F.col("t") == "", "空内容").when(F.col("t").rlike(blocks.PAGE_OR_CONTENTS), "页码或目录").when(F.col("t").rlike(blocks.BARE_SIGNATURE), "无义务内容的签名或声明").otherwise("")
+    assert [r for r in rows.select("t", made.alias("got"), want.alias("want")).collect() if r.got != r.want] == []
